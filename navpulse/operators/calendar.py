@@ -76,7 +76,7 @@ def jalali_dates(spark: SparkSession, first: dt.date, last: dt.date) -> DataFram
     start, stop = first.year - 622, last.year - 620
     if start < FIRST_YEAR or stop > LAST_YEAR:
         raise ValueError(f"dates outside {FIRST_YEAR}-{LAST_YEAR} of the Jalali calendar")
-    years = spark.range(start, stop + 1).select(
+    years = spark.range(start, stop + 1, 1, 1).select(
         F.col("id").cast("int").alias("jalali_year"), new_year_day(F.col("id")).alias("year_start")
     )
     length = F.datediff(new_year_day(F.col("jalali_year") + 1), F.col("year_start"))
@@ -98,17 +98,24 @@ def jalali_dates(spark: SparkSession, first: dt.date, last: dt.date) -> DataFram
     )
 
 
+def constant_rows(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:
+    """A short fixed table as one JVM-side expression."""
+    structs = [
+        F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in rows
+    ]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
+
+
 def official_holidays(dates: DataFrame) -> DataFrame:
     """day, name: the listed holidays on the given dates; names of one day are joined."""
     spark = dates.sparkSession
-    solar = spark.createDataFrame(
-        [(i, m, d, n) for i, (m, d, n) in enumerate(SOLAR_HOLIDAYS)],
-        "place int, jalali_month int, jalali_day int, name string",
-    )
-    lunar = spark.createDataFrame(
-        [(100 + i, *row) for i, row in enumerate(LUNAR_HOLIDAYS)],
-        "place int, jalali_year int, jalali_month int, jalali_day int, name string",
-    )
+    month_day = ["jalali_month", "jalali_day", "name"]
+    solar = constant_rows(spark, ["place", *month_day], [
+        (i, *row) for i, row in enumerate(SOLAR_HOLIDAYS)
+    ])
+    lunar = constant_rows(spark, ["place", "jalali_year", *month_day], [
+        (100 + i, *row) for i, row in enumerate(LUNAR_HOLIDAYS)
+    ])
     by_rule = dates.join(F.broadcast(solar), ["jalali_month", "jalali_day"])
     listed = dates.join(F.broadcast(lunar), ["jalali_year", "jalali_month", "jalali_day"])
     named = by_rule.select("day", "place", "name").unionByName(
@@ -139,7 +146,7 @@ def trading_calendar(
     out = dates.join(F.broadcast(names), "day", "left")
     closures = [(d, note) for d, note in sorted(hours.extra_closures.items())]
     if closures and hours.use_holidays:
-        extra = spark.createDataFrame(closures, "day date, _extra string")
+        extra = constant_rows(spark, ["day", "_extra"], closures)
         out = out.join(F.broadcast(extra), "day", "left")
     else:
         out = out.withColumn("_extra", F.lit(None).cast("string"))

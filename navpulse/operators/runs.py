@@ -53,30 +53,12 @@ def streaks(
             "_from", F.min(F.when(F.col("_hit"), F.col(since))).over(run_so_far)
         )
     # What a block hands on is the run it ends with; a block without a break also passes
-    # on what it received. Rows after the last break are found from the order alone, so
-    # the summary is one grouped pass over the input.
+    # on what it received.
     position = F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)])
-    last_break = W.partitionBy(*scope)
-    tails = (
-        marked.withColumn("_pos", position)
-        .withColumn("_cut", F.max(F.when(~F.col("_hit"), F.col("_pos"))).over(last_break))
-        .groupBy(*scope)
-        .agg(
-            F.max("_cut").isNotNull().alias("_broken"),
-            F.count_if(F.col("_cut").isNull() | (F.col("_pos") > F.col("_cut"))).alias("_tail"),
-            *(
-                [
-                    F.min(
-                        F.when(
-                            F.col("_cut").isNull() | (F.col("_pos") > F.col("_cut")),
-                            F.col(since),
-                        )
-                    ).alias("_tail_from")
-                ]
-                if since
-                else []
-            ),
-        )
+    tails = local.groupBy(*scope).agg(
+        (F.max("_breaks") > 0).alias("_broken"),
+        F.max_by("_len", position).alias("_tail"),
+        *([F.max_by("_from", position).alias("_tail_from")] if since else []),
     )
     across = W.partitionBy(*keys).orderBy(block) if keys else W.partitionBy(F.lit(0)).orderBy(block)
     group = tails.withColumn(
