@@ -405,7 +405,7 @@ pos AS (SELECT horizon, abs(coalesce(r, 0)) AS a, row_number() OVER
     (PARTITION BY horizon ORDER BY abs(coalesce(r, 0))) AS p, count(*) OVER (PARTITION BY horizon) AS n
   FROM cells),
 lim AS (SELECT horizon, greatest(0.005, a) AS lim FROM pos WHERE p = n * 9 // 10 + 1)
-SELECT ins_code, c.horizon, round(coalesce(least(greatest(r / lim, -1), 1), 0), 3) AS heat
+SELECT ins_code, c.horizon, round(least(greatest(coalesce(r / lim, 0), -1), 1), 3) AS heat
 FROM cells c JOIN lim USING (horizon)""",
 )
 def heat_cells(spark, d):

@@ -95,7 +95,8 @@ def share_of(part: Column | str, total: Column | str) -> Column:
 
 
 def clamp(value: Column | str, low: float, high: float) -> Column:
-    return F.least(F.greatest(_col(value), F.lit(low)), F.lit(high))
+    v = _col(value)  # least and greatest would skip a null
+    return F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(low)), F.lit(high)))
 
 
 def clipped_scale(value: Column | str, limit: Column | str) -> Column:

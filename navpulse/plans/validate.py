@@ -281,8 +281,8 @@ def validate(
         feed = feed.unionByName(earlier)
     frozen = frozen_feed(feed, limits)
     grid = _one_set(feed_rows, frozen, expected, state).repartition(*KEY)
-    here_at = W.partitionBy(*KEY, "ts")
-    grid = grid.filter(F.col("here") | ~F.max("here").over(here_at))
+    grid = grid.withColumn("_came", F.max("here").over(W.partitionBy(*KEY, "ts")))
+    grid = grid.filter(F.col("here") | ~F.col("_came")).drop("_came")
     grid = check_values(grid, limits)
 
     ordered = W.partitionBy(*KEY).orderBy("ts")
