@@ -1 +1,426 @@
-"""Registered queries."""
+"""Pipeline health on the test tables: a minute with events is a cycle."""
+
+from __future__ import annotations
+
+import datetime as dt
+import zlib
+
+from pyspark.sql import functions as F
+
+from navpulse.catalog import proxies as px, query
+from navpulse.catalog.base_sql import EV, FUNDS, RUNS
+from navpulse.functions import text, times
+from navpulse.operators.calendar import from_jalali
+from navpulse.plans import ops, quality, sampling, universe
+from navpulse.sources import archive
+
+
+@query(
+    "completeness",
+    f"""
+WITH {EV}, {RUNS}
+SELECT CAST(tick AS DATE) AS trade_date,
+  round(sum(received_funds)::DOUBLE / sum(expected_funds), 6) AS completeness FROM runs GROUP BY 1""",
+)
+def completeness(spark, d):
+    return quality.completeness_report(px.runs(spark, d))
+
+
+@query(
+    "runs_by_status",
+    f"""
+WITH {EV}, {RUNS}
+SELECT CAST(tick AS DATE) AS trade_date, status, count(*) AS n, sum(received_funds)::BIGINT AS received,
+  sum(expected_funds)::BIGINT AS expected FROM runs GROUP BY 1, 2""",
+)
+def runs_by_status(spark, d):
+    return quality.runs_report(px.runs(spark, d))
+
+
+@query(
+    "quality_issues",
+    f"""
+WITH {EV}
+SELECT CAST(ts AS DATE) AS trade_date, event_type AS "check",
+  CASE WHEN k % 3 = 0 THEN 'warn' ELSE 'error' END AS severity,
+  CASE WHEN k % 2 = 0 THEN 'kept' ELSE 'flagged' END AS action, count(*) AS n
+FROM ev GROUP BY 1, 2, 3, 4""",
+)
+def quality_issues(spark, d):
+    return quality.issues_report(_issues(spark, d))
+
+
+def _issues(spark, d):
+    return px.events(spark, d).selectExpr(
+        "ts", "event_type AS check", "CASE WHEN k % 3 = 0 THEN 'warn' ELSE 'error' END AS severity",
+        "CASE WHEN k % 2 = 0 THEN 'kept' ELSE 'flagged' END AS action",
+    )
+
+
+@query(
+    "top_issues",
+    f"""
+WITH {EV}
+SELECT event_type AS "check", CASE WHEN k % 3 = 0 THEN 'warn' ELSE 'error' END AS severity,
+  CASE WHEN k % 2 = 0 THEN 'kept' ELSE 'flagged' END AS action, count(*) AS n
+FROM ev GROUP BY 1, 2, 3 ORDER BY n DESC, 1, 2, 3 LIMIT 8""",
+)
+def top_issues(spark, d):
+    return quality.top_issues(_issues(spark, d))
+
+
+@query(
+    "recent_runs",
+    f"""
+WITH {EV}, {RUNS}
+SELECT run_id, tick, status, requests, failed,
+  date_diff('microsecond', started_at, finished_at) // 1000 AS duration_ms
+FROM runs ORDER BY started_at DESC, run_id DESC LIMIT 20""",
+)
+def recent_runs(spark, d):
+    return ops.recent_runs(px.runs(spark, d))
+
+
+STREAKS = f"""
+WITH {EV}, {RUNS},
+marked AS (SELECT *, status = 'failed' AS bad, row_number() OVER (ORDER BY started_at, run_id)
+    - row_number() OVER (PARTITION BY status = 'failed' ORDER BY started_at, run_id) AS island
+  FROM runs),
+counted AS (SELECT *, CASE WHEN bad THEN row_number() OVER
+    (PARTITION BY bad, island ORDER BY started_at, run_id) ELSE 0 END AS streak FROM marked)"""
+
+
+@query("failed_streak", STREAKS + " SELECT run_id, status, streak FROM counted")
+def failed_streak(spark, d):
+    return ops.failed_streaks(px.runs(spark, d)).select("run_id", "status", "streak")
+
+
+@query(
+    "streak_alerts",
+    STREAKS
+    + """,
+b AS (SELECT *, lag(streak, 1, 0) OVER (ORDER BY started_at, run_id) AS before FROM counted)
+SELECT run_id, started_at, 'failing' AS event, streak AS failed_cycles FROM b WHERE bad AND streak = 3
+UNION ALL SELECT run_id, started_at, 'recovered', before FROM b WHERE NOT bad AND before >= 3""",
+)
+def streak_alerts(spark, d):
+    return ops.streak_alerts(px.runs(spark, d), threshold=3)
+
+
+@query(
+    "collector_state",
+    f"""
+WITH {EV}, {RUNS},
+r AS (SELECT *, row_number() OVER (ORDER BY started_at DESC, run_id DESC) AS n FROM runs
+  ORDER BY started_at DESC, run_id DESC LIMIT 10)
+SELECT CASE WHEN date_diff('second', arg_min(finished_at, n), TIMESTAMP '2024-02-01 00:00:00') <= 180
+    THEN 'ok' ELSE 'stale' END AS state,
+  arg_min(tick, n) AS last_tick, arg_min(status, n) AS last_status,
+  coalesce(min(n) FILTER (status != 'failed') - 1, count(*)) AS failed_streak FROM r""",
+)
+def collector_state(spark, d):
+    now = dt.datetime(2024, 2, 1)
+    return ops.collector_state(px.runs(spark, d), now, market_open=True).drop("lag_seconds")
+
+
+@query(
+    "sustained_condition",
+    f"""
+WITH {EV}, {RUNS},
+marked AS (SELECT *, received_funds < 2 AS low, row_number() OVER (ORDER BY tick)
+    - row_number() OVER (PARTITION BY received_funds < 2 ORDER BY tick) AS island FROM runs),
+held AS (SELECT *, date_diff('second', min(tick) OVER (PARTITION BY low, island ORDER BY tick), tick)
+    AS held_seconds FROM marked)
+SELECT tick, received_funds, held_seconds FROM held WHERE low AND held_seconds >= 600""",
+)
+def sustained_condition(spark, d):
+    rows = ops.sustained(px.runs(spark, d), [], "tick", F.col("received_funds") < 2, 10)
+    return rows.select("tick", "received_funds", "held_seconds")
+
+
+@query(
+    "alerts_inhibited",
+    f"""
+WITH {EV}, {RUNS},
+marked AS (SELECT tick, received_funds < 2 AS low, failed > 0 AS bad,
+    row_number() OVER (ORDER BY tick) - row_number() OVER (PARTITION BY received_funds < 2 ORDER BY tick)
+      AS i1,
+    row_number() OVER (ORDER BY tick) - row_number() OVER (PARTITION BY failed > 0 ORDER BY tick) AS i2
+  FROM runs),
+held AS (SELECT *, date_diff('second', min(tick) OVER (PARTITION BY low, i1 ORDER BY tick), tick) AS h1,
+    date_diff('second', min(tick) OVER (PARTITION BY bad, i2 ORDER BY tick), tick) AS h2 FROM marked),
+fired AS (SELECT tick, 'low_completeness' AS alert, 'warning' AS severity FROM held
+    WHERE low AND h1 >= 600
+  UNION ALL SELECT tick, 'collector_failing', 'critical' FROM held WHERE bad AND h2 >= 60)
+SELECT tick AS "at", alert, severity FROM fired f WHERE severity = 'critical' OR NOT EXISTS
+  (SELECT 1 FROM fired c WHERE c.severity = 'critical' AND c.tick = f.tick)""",
+)
+def alerts_inhibited(spark, d):
+    samples = px.runs(spark, d).withColumn("at", F.col("tick"))
+    rules = {
+        "low_completeness": (F.col("received_funds") < 2, 10, "warning", "collector"),
+        "collector_failing": (F.col("failed") > 0, 1, "critical", "collector"),
+    }
+    return ops.inhibit(ops.firing_alerts(samples, rules)).select("at", "alert", "severity")
+
+
+def _raw(spark, d):
+    """Events as archived responses of the endpoint of their type."""
+    return px.events(spark, d).selectExpr(
+        "event_type AS endpoint", "at AS fetched_at", "v AS latency_ms",
+        "CASE WHEN k % 20 = 0 THEN 500 ELSE 200 END AS status_code",
+    )
+
+
+@query(
+    "latency_p95",
+    f"""
+WITH {EV},
+n AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY v) AS pos,
+    count(*) OVER (PARTITION BY event_type) AS total FROM ev)
+SELECT event_type AS endpoint, count(*) AS responses, count(*) FILTER (k % 20 = 0) AS errors,
+  max(v) FILTER (pos = (total * 19 + 19) // 20) AS p95_ms
+FROM n GROUP BY 1""",
+)
+def latency_p95(spark, d):
+    return ops.latency_report(_raw(spark, d))
+
+
+@query(
+    "duration_by_status",
+    f"""
+WITH {EV}, {RUNS}
+SELECT status, count(*) AS n,
+  round(avg(date_diff('microsecond', started_at, finished_at) // 1000), 6) AS avg_ms
+FROM runs GROUP BY 1""",
+)
+def duration_by_status(spark, d):
+    return ops.duration_report(px.runs(spark, d))
+
+
+@query(
+    "error_ratio_sliding",
+    f"""
+WITH {EV},
+m AS (SELECT ts, count(*) AS n, count(*) FILTER (k % 20 = 0) AS bad FROM ev GROUP BY ts),
+w AS (SELECT unnest(range(ts - INTERVAL 9 MINUTE, ts + INTERVAL 1 MINUTE, INTERVAL 1 MINUTE)) AS s,
+    n, bad FROM m)
+SELECT s AS window_start, s + INTERVAL 10 MINUTE AS window_end, sum(n)::BIGINT AS responses,
+  sum(bad)::BIGINT AS bad, round(sum(bad)::DOUBLE / sum(n), 6) AS ratio FROM w GROUP BY s""",
+)
+def error_ratio_sliding(spark, d):
+    return ops.sliding_ratio(_raw(spark, d), "fetched_at", F.col("status_code") != 200)
+
+
+@query(
+    "market_day_corrections",
+    f"""
+WITH {EV},
+days AS (SELECT CAST(ts AS DATE) AS day, bool_or(event_type = 'purchase' AND k = 50) AS shown,
+    max(hour(seen) * 3600 + minute(seen) * 60 + second(seen)) AS latest FROM ev GROUP BY 1)
+SELECT day, false AS trading, 'closed' AS note FROM days
+WHERE isodow(day) <= 5 AND NOT shown AND latest >= 8 * 3600 + 1200""",
+)
+def market_day_corrections(spark, d):
+    shown = F.col("event_type").eqNullSafe("purchase") & (F.col("k") == 50)
+    probes = px.events(spark, d).select(
+        "at", F.when(shown, F.to_date("ts")).alias("session_day")
+    )
+    rows = ops.market_day_corrections(
+        probes, px.feed_calendar(spark), px.HOURS, "closed", "opened"
+    )
+    return rows.drop("recorded_at")
+
+
+@query(
+    "closing_snapshot",
+    f"""
+WITH {EV}
+SELECT event_type AS ins_code, CAST(ts AS DATE) + INTERVAL 18 HOUR AS ts,
+  arg_max(v, seen) AS last_price
+FROM ev WHERE hour(ts) >= 18 GROUP BY 1, 2""",
+)
+def closing_snapshot(spark, d):
+    rows = px.events(spark, d).selectExpr(
+        "event_type AS ins_code", "ts", "v AS last_price", "at AS ingested_at"
+    )
+    return ops.restamp_at_close(rows, px.HOURS).drop("ingested_at")
+
+
+SLOTS = " ".join(
+    f"WHEN '{name}' THEN {zlib.crc32(name.encode()) % 5}"
+    for name in ("click", "error", "purchase", "signup", "view")
+)
+
+
+@query(
+    "status_slots",
+    f"""
+WITH {EV}
+SELECT ts, count(*) AS asked FROM ev WHERE minute(ts) % 5 = CASE event_type {SLOTS} END
+GROUP BY ts""",
+)
+def status_slots(spark, d):
+    due = px.events(spark, d).filter(times.status_slot("event_type", "ts"))
+    return due.groupBy("ts").agg(F.count("*").alias("asked"))
+
+
+@query(
+    "live_volumes",
+    f"""
+WITH {EV}, t AS (SELECT event_type AS ins_code, ts, k AS volume,
+    CASE WHEN v % 4 = 0 THEN 256 + 16 ELSE 16 END AS flags FROM ev
+  QUALIFY row_number() OVER (PARTITION BY event_type, ts ORDER BY seen DESC) = 1)
+SELECT ins_code, ts, volume FROM t WHERE flags & 256 = 0""",
+)
+def live_volumes(spark, d):
+    rows = px.events(spark, d).selectExpr(
+        "event_type AS ins_code", "ts", "k AS volume",
+        "CASE WHEN v % 4 = 0 THEN 272 ELSE 16 END AS quality_flags", "at AS ingested_at",
+    )
+    return archive.live_volumes(rows)
+
+
+@query(
+    "active_funds",
+    f"""
+WITH {EV}, {FUNDS},
+u AS (SELECT user_id AS ins_code, CAST(ts AS DATE) AS d, arg_max(100 + k, seen) AS units
+  FROM ev WHERE event_type = 'signup' GROUP BY 1, 2)
+SELECT f.ins_code, symbol, fund_type,
+  (SELECT arg_max(units, d) FROM u WHERE u.ins_code = f.ins_code) AS units
+FROM funds f JOIN customer c ON CAST(c_custkey AS VARCHAR) = f.ins_code WHERE c_acctbal >= 0""",
+)
+def active_funds(spark, d):
+    rows = archive.active_funds(px.funds(spark, d), px.units(spark, d))
+    return rows.select("ins_code", "symbol", "fund_type", "units")
+
+
+@query(
+    "universe_report",
+    f"""
+WITH {EV}, {FUNDS}, seen_ AS (SELECT DISTINCT user_id AS ins_code FROM ev),
+both_ AS (SELECT f.*, s.ins_code IS NOT NULL AS active FROM funds f
+  LEFT JOIN seen_ s ON s.ins_code = f.ins_code)
+SELECT count(*) FILTER (active) AS funds,
+  count(*) FILTER (active AND fund_type IN ('equity', 'index', 'sector', 'leveraged')) AS equity,
+  count(*) FILTER (NOT active) AS deactivated, count(*) FILTER (active) AS info_failures FROM both_""",
+)
+def universe_report(spark, d):
+    known = px.funds(spark, d)
+    users = px.events(spark, d).select(F.col("user_id").alias("ins_code")).distinct()
+    records = known.join(users, "ins_code", "left_semi")
+    return universe.report(universe.sync(records, known, "2024-01-31 00:00:00"))
+
+
+@query(
+    "stratified_sample",
+    f"""
+WITH {EV}, c AS (SELECT user_id AS ins_code, count(*) AS trade_count FROM ev GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY trade_count DESC, ins_code) AS rank,
+    count(*) OVER () AS n FROM c),
+picks AS (SELECT DISTINCT 10 + 1 + round_even(i * ((SELECT max(n) FROM r) - 10 - 1)::DOUBLE / 19, 0)
+    ::BIGINT AS rank FROM range(20) t(i))
+SELECT ins_code, trade_count, rank FROM r
+WHERE n <= 30 OR rank <= 10 OR rank IN (SELECT rank FROM picks)""",
+)
+def stratified_sample(spark, d):
+    counts = px.events(spark, d).groupBy(F.col("user_id").alias("ins_code")).agg(
+        F.count("*").alias("trade_count")
+    )
+    return sampling.stratified_sample(counts, size=30, busiest=10)
+
+
+@query(
+    "interpolate",
+    """
+WITH pts AS (SELECT DISTINCT p_size::DOUBLE AS x, (p_size * p_size)::DOUBLE AS y FROM part),
+seg AS (SELECT x AS x0, y AS y0, lead(x) OVER (ORDER BY x) AS x1, lead(y) OVER (ORDER BY x) AS y1
+  FROM pts),
+ends AS (SELECT min(x) AS lo, max(x) AS hi, arg_min(y, x) AS ylo, arg_max(y, x) AS yhi FROM pts)
+SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey, l_quantity + l_discount AS x,
+  round(CASE WHEN l_quantity + l_discount <= lo THEN ylo WHEN l_quantity + l_discount > hi THEN yhi
+    ELSE y0 + (y1 - y0) / (x1 - x0) * (l_quantity + l_discount - x0) END, 6) AS y
+FROM lineitem CROSS JOIN ends
+LEFT JOIN seg ON l_quantity + l_discount > x0 AND l_quantity + l_discount <= x1""",
+)
+def interpolate(spark, d):
+    points = px.table(spark, d, "part").selectExpr(
+        "CAST(p_size AS DOUBLE) AS x", "CAST(p_size * p_size AS DOUBLE) AS y"
+    )
+    rows = px.table(spark, d, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity + l_discount AS x"
+    )
+    return sampling.interpolate(rows, "x", points.distinct())
+
+
+@query("calendar_dim")
+def calendar_dim(spark, d):
+    """Order dates with their Jalali date and whether the market trades."""
+    days = px.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day"))
+    counted = days.groupBy("day").agg(F.count("*").alias("orders"))
+    return counted.join(px.history_calendar(spark), "day").drop("listed", "reason")
+
+
+@query(
+    "trading_days",
+    """
+SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS orders FROM orders
+WHERE isodow(CAST(o_orderdate AS DATE)) <= 5 GROUP BY 1""",
+)
+def trading_days(spark, d):
+    days = px.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day"))
+    counted = days.groupBy("day").agg(F.count("*").alias("orders"))
+    open_days = px.history_calendar(spark).filter("trading").select("day")
+    return counted.join(open_days, "day", "left_semi")
+
+
+@query(
+    "jalali_roundtrip",
+    "SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, CAST(o_orderdate AS DATE) AS gregorian_day FROM orders",
+)
+def jalali_roundtrip(spark, d):
+    """To the Jalali date and back through the dimension."""
+    cal = px.history_calendar(spark)
+    days = px.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
+    parts = ["jalali_year", "jalali_month", "jalali_day"]
+    there = days.join(cal.select("day", *parts), "day")
+    return from_jalali(there, cal, *parts).select("day", "gregorian_day")
+
+
+@query(
+    "in_session",
+    f"""
+WITH {EV}
+SELECT CAST(ts AS DATE) AS day, count(*) AS events, count(*) FILTER (isodow(CAST(ts AS DATE)) <= 5
+  AND hour(seen) * 3600 + minute(seen) * 60 + second(seen) BETWEEN 28800 AND 64800) AS in_session
+FROM ev GROUP BY 1""",
+)
+def in_session(spark, d):
+    rows = px.events(spark, d).withColumn("day", F.to_date("ts"))
+    days = px.feed_calendar(spark).select("day", "trading")
+    return rows.join(F.broadcast(days), "day").groupBy("day").agg(
+        F.count("*").alias("events"),
+        F.count_if(times.in_session("at", "trading", px.HOURS)).alias("in_session"),
+    )
+
+
+@query(
+    "type_distribution",
+    f"WITH {FUNDS} SELECT fund_type, count(*) AS n FROM funds GROUP BY 1",
+)
+def type_distribution(spark, d):
+    return universe.type_distribution(px.funds(spark, d))
+
+
+@query(
+    "equity_history",
+    f"""
+WITH {FUNDS}
+SELECT fund_type, count(*) AS orders FROM orders JOIN funds ON ins_code = CAST(o_custkey AS VARCHAR)
+WHERE fund_type IN ('equity', 'index', 'sector', 'leveraged') GROUP BY 1""",
+)
+def equity_history(spark, d):
+    members = px.funds(spark, d).filter(text.in_equity_family("fund_type"))
+    joined = px.history(spark, d).join(members.select("ins_code", "fund_type"), "ins_code")
+    return joined.groupBy("fund_type").agg(F.count("*").alias("orders"))

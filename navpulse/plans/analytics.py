@@ -15,12 +15,18 @@ from navpulse import schemas
 from navpulse.functions import flags, metrics, text, times
 from navpulse.operators.asof import asof_lookup, day_block
 from navpulse.operators.latest import latest_version
+from navpulse.session import freeze
 from navpulse.settings import MarketHours
 from navpulse.sources.sinks import end_of_day
 
 STATUS_LOOKBACK_DAYS = 30
 RETURNS_LOOKBACK_DAYS = 400
 HORIZONS = {"r_1w": 7, "r_1m": 30, "r_3m": 91}
+SNAPSHOT_INPUT = (
+    "ins_code", "ts", "last_price", "close_price", "prev_close", "volume", "value", "trade_count",
+    "block_value", "nav_redemption", "nav_at", "ind_buy_value", "ind_sell_value", "inst_buy_value",
+    "inst_sell_value", "ind_buy_count", "ind_sell_count", "quality_flags", "ingested_at",
+)
 
 
 @dataclass(frozen=True)
@@ -68,19 +74,22 @@ def equity_funds(funds: DataFrame) -> DataFrame:
 
 
 def units_as_of(probes: DataFrame, units: DataFrame) -> DataFrame:
-    """``probes`` (ins_code, trade_date, ...) with the unit count of their day.
+    """``probes`` (one row per ins_code and trade_date) with the unit count of their day.
 
     The newest count on or before the day; before the first one, the first one.
     """
     facts = units.filter(F.col("units").isNotNull()).withColumnRenamed("trade_date", "_on")
     return asof_lookup(
         probes, facts, ["ins_code"], "trade_date", "_on", ["units"], day_block(),
-        version=["updated_at"], forward_fallback=True,
+        version=["updated_at"], forward_fallback=True, distinct_probes=True,
     )
 
 
 def status_as_of(probes: DataFrame, states: DataFrame) -> DataFrame:
-    """The newest status seen from 30 days before the day up to the day, else none."""
+    """The newest status seen from 30 days before the day up to the day, else none.
+
+    ``probes`` has one row per ins_code and trade_date.
+    """
     facts = states.select(
         "ins_code", F.to_date("ts").alias("_on"), F.col("ts").alias("status_at"), "ingested_at",
         "code", "title", "under_supervision",
@@ -89,7 +98,7 @@ def status_as_of(probes: DataFrame, states: DataFrame) -> DataFrame:
     found = asof_lookup(
         probes, facts, ["ins_code"], "trade_date", "_on",
         ["code", "title", "under_supervision", "status_at", "_seen"], day_block(),
-        version=["status_at", "ingested_at"],
+        version=["status_at", "ingested_at"], distinct_probes=True,
     )
     recent = F.col("_seen") >= F.date_sub("trade_date", STATUS_LOOKBACK_DAYS)
     kept = {
@@ -104,13 +113,22 @@ def status_as_of(probes: DataFrame, states: DataFrame) -> DataFrame:
 def snapshot(
     market: Market, day: dt.date | None = None, ins_code: str | None = None
 ) -> DataFrame:
-    """The last row of each fund on each day, with its metrics."""
+    """The last row of each fund on each day, with its metrics.
+
+    The ticks are read once: their last rows (one per fund and day, a small part of them)
+    are frozen, and the as-of lookups and totals work on those.
+    """
     ticks = _on_day(_dated(market.ticks), day)
     if ins_code is not None:
         ticks = ticks.filter(F.col("ins_code") == ins_code)
-    last = latest_version(ticks, ["trade_date", "ins_code"], ["ts", "ingested_at"])
+    last = freeze(
+        latest_version(
+            ticks.select("trade_date", *SNAPSHOT_INPUT), ["trade_date", "ins_code"],
+            ["ts", "ingested_at"],
+        )
+    )
     funds = newest(market.funds, "funds").select("ins_code", "symbol", "name", "fund_type")
-    rows = units_as_of(last.join(funds, "ins_code", "left"), market.units)
+    rows = units_as_of(last, market.units).join(funds, "ins_code", "left")
     if market.states is not None:
         rows = status_as_of(rows, market.states)
     else:
@@ -122,7 +140,7 @@ def snapshot(
         )
     kind = F.coalesce(F.nullif("fund_type", F.lit("")), F.lit("other"))
     rows = rows.withColumns({"fund_type": kind, "units": F.nullif("units", F.lit(0))})
-    rows = rows.withColumn("aum", metrics.aum("nav_redemption", "units"))
+    rows = freeze(rows.withColumn("aum", metrics.aum("nav_redemption", "units")))
     totals = rows.groupBy("trade_date").agg(F.sum("aum").alias("_total"))
     rows = rows.join(totals, "trade_date")
     seen = F.col("status_at").isNotNull()
@@ -281,14 +299,18 @@ def premium_daily(market: Market, day: dt.date | None = None, days: int | None =
 
 def premium_intraday(market: Market, day: dt.date | None = None) -> DataFrame:
     """Market premium minute by minute; units are those of the day."""
+    ticks = _on_day(_dated(market.ticks), day)
     live = newest(
-        _on_day(_dated(market.ticks), day).select(
+        ticks.select(
             "ins_code", "ts", "trade_date", "close_price", "nav_redemption", "ingested_at"
         ),
         "fund_ticks",
     )
     funds = equity_funds(market.funds).select("ins_code", "fund_type")
-    rows = units_as_of(live.join(funds, "ins_code"), market.units)
+    # Units are looked up per fund and day, not per minute.
+    fund_days = ticks.select("ins_code", "trade_date").distinct()
+    counts = units_as_of(fund_days, market.units)
+    rows = live.join(funds, "ins_code").join(counts, ["ins_code", "trade_date"])
     return (
         rows.withColumns(
             {

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from navpulse.functions import times
 from navpulse.operators.asof import asof_lookup, number_block
 from navpulse.operators.calendar import minute_grid
+from navpulse.session import freeze
 from navpulse.settings import BackfillLimits, MarketHours
 
 KEY = ["ins_code", "day"]
@@ -64,10 +65,13 @@ def tape_from_events(events: DataFrame) -> DataFrame:
 
 
 def state_at(probes: DataFrame, tape: DataFrame) -> DataFrame:
-    """Tape state after every trade at or before the probe's second; null before the first."""
+    """Tape state after every trade at or before the probe's second; null before the first.
+
+    ``probes`` has one row per fund, day and second.
+    """
     facts = tape.withColumnRenamed("sod", "_s")
     return asof_lookup(
-        probes, facts, KEY, "sod", "_s", STATE, number_block(HOUR_BLOCK)
+        probes, facts, KEY, "sod", "_s", STATE, number_block(HOUR_BLOCK), distinct_probes=True
     )
 
 
@@ -142,12 +146,13 @@ def backfill_intraday(
     ``live``: ins_code, day, sod, volume of collected rows. ``done``: (day, ins_code) already
     decided. ``failed``: (ins_code, day, error) of responses that could not be read.
     """
-    todo = needs_backfill(live, hours).join(done, KEY, "left_anti")
-    tape = tape_from_trades(trades.join(todo, KEY, "left_semi"))
+    todo = freeze(needs_backfill(live, hours).join(done, KEY, "left_anti"))
+    # The trades are read once; what follows needs the tape (one row per second) three times.
+    tape = freeze(tape_from_trades(trades.join(todo, KEY, "left_semi")))
     verdict = verify_live(live.join(todo, KEY, "left_semi"), tape, limits)
     passes = (F.col("overlap") > 0) & (F.col("matched") >= limits.min_match * F.col("overlap"))
     errors = _errors_or_none(failed, todo)
-    judged = (
+    judged = freeze(
         todo.join(verdict.drop("first_live"), KEY, "left")
         .join(_tape_bounds(tape), KEY, "left")
         .join(errors, KEY, "left")
@@ -225,8 +230,8 @@ def backfill_sessions(
 
     ``targets``: (ins_code, day) wanted; see :func:`navpulse.operators.calendar.last_trading_days`.
     """
-    todo = targets.select(*KEY).distinct().join(done, KEY, "left_anti")
-    tape = tape_from_events(events.join(todo, KEY, "left_semi"))
+    todo = freeze(targets.select(*KEY).distinct().join(done, KEY, "left_anti"))
+    tape = freeze(tape_from_events(events.join(todo, KEY, "left_semi")))
     verdict = verify_official(tape, official, limits)
     errors = _errors_or_none(failed, todo)
     judged = todo.join(verdict, KEY, "left").join(errors, KEY, "left")
@@ -238,7 +243,7 @@ def backfill_sessions(
         .when(passes, "stored")
         .otherwise("rejected")
     )
-    judged = judged.withColumn("status", status)
+    judged = freeze(judged.withColumn("status", status))
     good = judged.filter(F.col("status") == "stored").select(*KEY)
     grid = minute_grid(good, "day", hours.open_second, hours.close_second)
     minutes = state_at(grid, tape).filter(F.col("last_price").isNotNull())

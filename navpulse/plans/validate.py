@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from navpulse import schemas
 from navpulse.functions import flags as fl, times
 from navpulse.operators.runs import rising_edge
+from navpulse.session import freeze
 from navpulse.settings import MarketHours, ValidationLimits
 
 COUNTERS = (
@@ -263,13 +264,16 @@ def validate(
     calendar: DataFrame,
     limits: ValidationLimits = ValidationLimits(),
     state: DataFrame | None = None,
+    store: bool = False,
 ) -> Validated:
     """Validate whole days.
 
     ``ticks``: tick columns, band and feed_heven, one row per fund and minute (see
     :func:`navpulse.operators.latest.latest_version`). ``expected``: fund and cycle pairs
     (ins_code, day, ts, run_id, ingested_at), present or not. ``calendar``: day, trading.
-    ``state``: output of an earlier run over the same days, to continue from.
+    ``state``: output of an earlier run over the same days, to continue from. ``store``
+    writes the checked rows to the shared folder once, for callers that use more than one
+    of the results.
 
     Feed rows, expected rows and seeds are put in one set that is shuffled once by fund and
     day; every window after that works inside those partitions.
@@ -336,6 +340,8 @@ def validate(
         }
     )
     grid = grid.withColumn("_issues", F.concat(_presence_issues(is_seed), "found"))
+    if store:
+        grid = freeze(grid)
 
     # Every grid row unfolds into the rows to store: gap minutes, then itself.
     no_stamps = F.array().cast("array<timestamp>")

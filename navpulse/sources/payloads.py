@@ -8,6 +8,7 @@ cannot be read becomes an error row and never fails the batch.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -233,44 +234,60 @@ def _unreadable_number(row: Column, payload: Payload) -> Column:
     return bad
 
 
-def _read(raw: DataFrame, payload: Payload) -> DataFrame:
-    """Adds ``_body`` (parsed) and ``_error`` (null when the response is usable)."""
-    parsed = raw.withColumn("_doc", F.from_json("payload", _body_type(payload)))
-    body = F.col("_doc")[payload.envelope]
-    if payload.inner:
-        body = body[payload.inner]
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _body(doc: Column, payload: Payload) -> Column:
+    body = doc[payload.envelope]
+    return body[payload.inner] if payload.inner else body
+
+
+def _problem(doc: Column, payload: Payload) -> Column:
+    """Why a response cannot be used, null when it can."""
+    body = _body(doc, payload)
     # Only the top level is walked here; nested values are skipped, not built.
     keys = F.json_object_keys("payload")
     missing = ~F.coalesce(F.array_contains(keys, payload.envelope), F.lit(False))
     if payload.many:
-        bad = F.exists(F.col("_body"), lambda r: _unreadable_number(r, payload))
+        bad = F.exists(body, lambda row: _unreadable_number(row, payload))
     else:
-        bad = _unreadable_number(F.col("_body"), payload)
-    empty = F.col("_body").isNull() & F.lit(not payload.optional)
-    return parsed.withColumn("_body", body).withColumn(
-        "_error",
+        bad = _unreadable_number(body, payload)
+    return (
         F.when(~F.col("status_code").between(200, 299), F.concat(F.lit("HTTP "), "status_code"))
         .when(missing, F.lit(f"parse error: expected top-level key '{payload.envelope}'"))
-        .when(empty, F.lit("parse error: unreadable body"))
-        .when(F.coalesce(bad, F.lit(False)), F.lit("parse error: a number is not one")),
+        .when(body.isNull() & F.lit(not payload.optional), "parse error: unreadable body")
+        .when(F.coalesce(bad, F.lit(False)), "parse error: a number is not one")
     )
 
 
+def _usable_rows(payload: Payload) -> Column:
+    """The rows of a response as an array; null when it cannot be used or is empty."""
+
+    def rows(doc: Column) -> Column:
+        body = _body(doc, payload)
+        listed = body if payload.many else F.when(body.isNotNull(), F.array(body))
+        return F.when(_problem(doc, payload).isNull(), listed)
+
+    return _once(F.from_json("payload", _body_type(payload)), rows)
+
+
 def parse(raw: DataFrame, endpoint: str, keep: tuple[str, ...] = ("run_id",)) -> DataFrame:
     """Rows of the usable responses of one endpoint, with ``keep`` columns of the archive.
 
     ``ins_code`` comes from the payload where it lists instruments, else from the archive.
+    The outer form of the unfolding keeps the optimizer from testing the parsed array in a
+    filter of its own, which would parse every payload a second time.
     """
     payload = ENDPOINTS[endpoint]
     own = any(name == "ins_code" for name, _, _ in payload.fields)
     carried = [c for c in keep if not (own and c == "ins_code")]
-    good = _read(raw.filter(F.col("endpoint") == endpoint), payload).filter(
-        F.col("_error").isNull() & F.col("_body").isNotNull()
+    rows = (
+        raw.filter(F.col("endpoint") == endpoint)
+        .select(*carried, F.posexplode_outer(_usable_rows(payload)).alias("position", "_row"))
+        .filter(F.col("position").isNotNull())
     )
-    if payload.many:
-        rows = good.select(*carried, F.posexplode("_body").alias("_pos", "_row"))
-    else:
-        rows = good.select(*carried, F.lit(0).alias("_pos"), F.col("_body").alias("_row"))
     columns = [
         _convert(F.col("_row")[name], kind).alias(column)
         for column, name, kind in payload.fields
@@ -287,34 +304,26 @@ def parse(raw: DataFrame, endpoint: str, keep: tuple[str, ...] = ("run_id",)) ->
             *[_convert(first[name], kind).alias(column) for column, name, kind in payload.levels]
         )
         columns.append(F.when(first.isNotNull(), top).alias("top"))
-    return rows.select(*carried, F.col("_pos").alias("position"), *columns)
+    return rows.select(*carried, "position", *columns)
 
 
 def errors(raw: DataFrame) -> DataFrame:
-    """One row per response that could not be used: run, endpoint, instrument, reason."""
-    reason = F.when(
-        ~F.col("status_code").between(200, 299), F.concat(F.lit("HTTP "), "status_code")
-    )
-    checked = None
+    """One row per response that could not be used, in one pass over the archive.
+
+    Each response is parsed with the schema of its own endpoint only.
+    """
+    reason = None
     for endpoint, payload in ENDPOINTS.items():
-        branch = _read(raw.filter(F.col("endpoint") == endpoint), payload).select(
-            "run_id", "endpoint", "ins_code", "fetched_at", "_error"
+        problem = _once(
+            F.from_json("payload", _body_type(payload)), lambda doc, p=payload: _problem(doc, p)
         )
-        checked = branch if checked is None else checked.unionByName(branch)
-    other = raw.filter(~F.col("endpoint").isin(*ENDPOINTS)).select(
-        "run_id", "endpoint", "ins_code", "fetched_at", reason.alias("_error")
-    )
-    return (
-        checked.unionByName(other)
-        .filter(F.col("_error").isNotNull())
-        .select(
-            "run_id",
-            "endpoint",
-            "ins_code",
-            "fetched_at",
-            F.concat_ws(":", "endpoint", "ins_code", F.concat(F.lit(" "), "_error")).alias("error"),
-        )
-    )
+        here = F.col("endpoint") == endpoint
+        reason = F.when(here, problem) if reason is None else reason.when(here, problem)
+    failed = ~F.col("status_code").between(200, 299)
+    other = F.when(failed, F.concat(F.lit("HTTP "), "status_code"))
+    rows = raw.withColumn("_error", reason.otherwise(other)).filter(F.col("_error").isNotNull())
+    place = F.concat_ws(":", "endpoint", "ins_code", F.concat(F.lit(" "), "_error"))
+    return rows.select("run_id", "endpoint", "ins_code", "fetched_at", place.alias("error"))
 
 
 def nav_time() -> Column:
