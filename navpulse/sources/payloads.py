@@ -307,6 +307,10 @@ def parse(raw: DataFrame, endpoint: str, keep: tuple[str, ...] = ("run_id",)) ->
     return rows.select(*carried, "position", *columns)
 
 
+def _problem_of(payload: Payload) -> Column:
+    return _once(F.from_json("payload", _body_type(payload)), lambda doc: _problem(doc, payload))
+
+
 def errors(raw: DataFrame) -> DataFrame:
     """One row per response that could not be used, in one pass over the archive.
 
@@ -314,9 +318,7 @@ def errors(raw: DataFrame) -> DataFrame:
     """
     reason = None
     for endpoint, payload in ENDPOINTS.items():
-        problem = _once(
-            F.from_json("payload", _body_type(payload)), lambda doc, p=payload: _problem(doc, p)
-        )
+        problem = _problem_of(payload)
         here = F.col("endpoint") == endpoint
         reason = F.when(here, problem) if reason is None else reason.when(here, problem)
     failed = ~F.col("status_code").between(200, 299)
