@@ -1,10 +1,16 @@
 from __future__ import annotations
 
+import os
 import sys
+import time
 from pathlib import Path
 
 import pytest
 
+# Python reads naive datetimes in the zone of the machine; tests use that of the market.
+os.environ["TZ"] = "Asia/Tehran"
+time.tzset()
+
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 
