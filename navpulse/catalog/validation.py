@@ -10,6 +10,7 @@ from navpulse.functions import flags as fl
 from navpulse.plans import quality
 from navpulse.plans.ticks import expected_rows, missing_funds, universe_on_days
 from navpulse.plans.validate import Validated, frozen_feed, validate
+from navpulse.session import freeze
 from navpulse.settings import ValidationLimits
 
 TICKS = ticks("event_type")
@@ -44,8 +45,13 @@ def expected_of(feed: DataFrame) -> DataFrame:
     return expected_rows(cycles, universe_on_days(feed.select("ins_code").distinct(), cycles))
 
 
-def validated(spark, d, instrument: str = "event_type") -> Validated:
-    feed = px.feed(spark, d, instrument)
+def stored_feed(spark, d) -> DataFrame:
+    """The feed as the written table it is in practice; several parts of a job read it."""
+    return freeze(px.feed(spark, d))
+
+
+def validated(spark, d) -> Validated:
+    feed = stored_feed(spark, d)
     return validate(feed, expected_of(feed), px.HOURS, px.feed_calendar(spark))
 
 
@@ -265,7 +271,7 @@ SELECT c.ts, u.ins_code FROM cycles c CROSS JOIN universe u
 WHERE NOT EXISTS (SELECT 1 FROM ticks t WHERE t.ts = c.ts AND t.ins_code = u.ins_code)""",
 )
 def missing_members(spark, d):
-    feed = px.feed(spark, d)
+    feed = stored_feed(spark, d)
     return missing_funds(expected_of(feed), feed).select("ts", "ins_code")
 
 

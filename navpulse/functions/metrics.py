@@ -69,7 +69,7 @@ def average_price(volume, value, close, prev_close) -> Column:
 
 def flow_estimate(volume: Column | str, price: Column | str) -> Column:
     """Volume at the average price, rounded half to even."""
-    return F.bround(_col(volume).cast("double") * _col(price)).cast("long")
+    return F.rint(_col(volume).cast("double") * _col(price)).cast("long")
 
 
 def index_fraction(level: Column | str, change: Column | str) -> Column:

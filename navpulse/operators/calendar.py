@@ -99,11 +99,15 @@ def jalali_dates(spark: SparkSession, first: dt.date, last: dt.date) -> DataFram
 
 
 def constant_rows(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:
-    """A short fixed table as one JVM-side expression."""
-    structs = [
-        F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in rows
-    ]
-    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
+    """A short fixed table, built in the JVM by one statement."""
+
+    def literal(v: object) -> str:
+        if isinstance(v, str):
+            return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return f"DATE'{v}'" if isinstance(v, dt.date) else str(v)
+
+    values = ", ".join("(" + ", ".join(map(literal, row)) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
 
 
 def official_holidays(dates: DataFrame) -> DataFrame:

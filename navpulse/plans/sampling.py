@@ -37,30 +37,49 @@ def stratified_sample(
 def interpolate(df: DataFrame, x: str, points: DataFrame, px: str = "x", py: str = "y") -> DataFrame:
     """Adds ``y``: piecewise linear through the points, constant beyond both ends.
 
-    The points are one sample (a probe's results, a few hundred rows); they travel as one
-    sorted array in a single row. Repeated x count once per distinct (x, y).
+    The points are one probe's sample with distinct x. Segments are filed under equal
+    cells of the x axis, about one per point, so a row meets the few segments of its cell
+    by an equality join and the range test decides.
     """
-    one = points.select(
-        F.struct(F.col(px).cast("double").alias("x"), F.col(py).cast("double").alias("y")).alias("p")
-    ).distinct()
-    lists = one.agg(F.array_sort(F.collect_list("p")).alias("_points"), F.lit(1).alias("_k"))
-    rows = df.withColumn("_k", F.lit(1)).join(F.broadcast(lists), "_k")
+    pts = points.select(
+        F.lit(1).alias("_k"), F.col(px).cast("double").alias("x"), F.col(py).cast("double").alias("y")
+    )
+    ends = pts.groupBy("_k").agg(
+        F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min_by("y", "x").alias("_y0"),
+        F.max_by("y", "x").alias("_y1"), F.count("*").alias("_n"),
+    )
+    width = (F.col("_x1") - F.col("_x0")) / F.col("_n")
+    ends = ends.withColumn("_w", F.when(width > 0, width).otherwise(1.0))  # one row
+
+    def cell(c: Column) -> Column:
+        return F.floor((c - F.col("_x0")) / F.col("_w"))
+
+    pieces = (
+        segments(pts, ["_k"])
+        .join(F.broadcast(ends), "_k")
+        .select(
+            "x0", "y0", "x1", "y1",
+            F.explode(F.sequence(cell(F.col("x0")), cell(F.col("x1")))).alias("_cell"),
+        )
+    )
     at = F.col(x).cast("double")
-    upper = F.filter("_points", lambda p: p["x"] >= at)
-    lower = F.filter("_points", lambda p: p["x"] < at)
-    hi, lo = F.get(upper, F.lit(0)), F.get(lower, F.size(lower) - 1)
-    first, last = F.get("_points", F.lit(0)), F.get("_points", F.size("_points") - 1)
-    slope = (hi["y"] - lo["y"]) / (hi["x"] - lo["x"])
-    value: Column = (
-        F.when(at <= first["x"], first["y"])
-        .when(at > last["x"], last["y"])
-        .otherwise(lo["y"] + slope * (at - lo["x"]))
+    inside = (at > F.col("_x0")) & (at <= F.col("_x1"))
+    rows = df.withColumn("_k", F.lit(1)).join(F.broadcast(ends), "_k")
+    rows = rows.withColumn("_cell", F.when(inside, cell(at)))
+    line = (at > F.col("x0")) & (at <= F.col("x1"))
+    named = pieces.withColumnRenamed("_cell", "_of")
+    found = rows.join(named, (rows["_cell"] == named["_of"]) & line, "left")
+    slope = (F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0"))
+    value = (
+        F.when(at <= F.col("_x0"), F.col("_y0"))
+        .when(at > F.col("_x1"), F.col("_y1"))
+        .otherwise(F.col("y0") + slope * (at - F.col("x0")))
     )
-    return rows.withColumn("y", value).drop("_points", "_k")
+    return found.select(*[rows[c] for c in df.columns], value.alias("y"))
 
 
 def segments(points: DataFrame, keys: list[str], px: str = "x", py: str = "y") -> DataFrame:
-    """Consecutive points as rows (x0, y0, x1, y1)."""
+    """Consecutive points of a sample as rows (x0, y0, x1, y1)."""
     ordered = W.partitionBy(*keys).orderBy(px)
     return points.select(
         *keys, F.col(px).alias("x0"), F.col(py).alias("y0"),

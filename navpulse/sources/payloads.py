@@ -196,7 +196,7 @@ ENDPOINTS: dict[str, Payload] = {
 
 def whole_number(text: Column) -> Column:
     """Text of a JSON scalar to a long: missing or empty is 0, fractions round half to even."""
-    return F.coalesce(F.bround(text.try_cast("double")), F.lit(0.0)).cast("long")
+    return F.coalesce(F.rint(text.try_cast("double")), F.lit(0.0)).cast("long")
 
 
 def _convert(raw: Column, kind: str) -> Column:
@@ -223,15 +223,21 @@ def _body_type(payload: Payload) -> T.StructType:
 
 
 def _unreadable_number(row: Column, payload: Payload) -> Column:
-    """True when a numeric field holds text that is not a number."""
-    bad = F.lit(False)
-    for _, name, kind in payload.fields:
-        if kind in ("int", "float"):
-            raw = row[name]
-            bad = bad | F.coalesce(
-                (raw != "") & raw.try_cast("double").isNull(), F.lit(False)
-            )
-    return bad
+    """True when a numeric field holds text that is not a number.
+
+    Plain digits and points, the usual case, are judged by one pattern over all fields;
+    anything else (signs, exponents, letters) is tried field by field.
+    """
+    numbers = [row[name] for _, name, kind in payload.fields if kind in ("int", "float")]
+    if not numbers:
+        return F.lit(False)
+    text = F.concat_ws("|", *numbers)
+    one_by_one = F.lit(False)
+    for raw in numbers:
+        wrong = (raw != "") & raw.try_cast("double").isNull()
+        one_by_one = one_by_one | F.coalesce(wrong, F.lit(False))
+    malformed = text.rlike(r"[.][0-9]*[.]|(^|[|])[.]([|]|$)")
+    return F.when(text.rlike("[^0-9.|]"), one_by_one).otherwise(malformed)
 
 
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -247,18 +253,21 @@ def _body(doc: Column, payload: Payload) -> Column:
 def _problem(doc: Column, payload: Payload) -> Column:
     """Why a response cannot be used, null when it can."""
     body = _body(doc, payload)
-    # Only the top level is walked here; nested values are skipped, not built.
-    keys = F.json_object_keys("payload")
-    missing = ~F.coalesce(F.array_contains(keys, payload.envelope), F.lit(False))
     if payload.many:
         bad = F.exists(body, lambda row: _unreadable_number(row, payload))
     else:
         bad = _unreadable_number(body, payload)
+    # Asked only where no body was read; nested values are skipped, not built.
+    keys = F.json_object_keys("payload")
+    missing = ~F.coalesce(F.array_contains(keys, payload.envelope), F.lit(False))
+    unreadable = F.lit(None) if payload.optional else F.lit("parse error: unreadable body")
+    no_body = F.when(
+        missing, F.lit(f"parse error: expected top-level key '{payload.envelope}'")
+    ).otherwise(unreadable)
     return (
         F.when(~F.col("status_code").between(200, 299), F.concat(F.lit("HTTP "), "status_code"))
-        .when(missing, F.lit(f"parse error: expected top-level key '{payload.envelope}'"))
-        .when(body.isNull() & F.lit(not payload.optional), "parse error: unreadable body")
-        .when(F.coalesce(bad, F.lit(False)), "parse error: a number is not one")
+        .when(body.isNull(), no_body)
+        .when(bad, F.lit("parse error: a number is not one"))
     )
 
 

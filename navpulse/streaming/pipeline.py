@@ -17,6 +17,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from navpulse import schemas
 from navpulse.operators.latest import latest_version
 from navpulse.plans.validate import validate
+from navpulse.session import freeze
 from navpulse.settings import MarketHours, ValidationLimits
 from navpulse.sources import sinks
 
@@ -84,7 +85,7 @@ class TickValidation:
 
     def __call__(self, rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
-        feed = latest_version(rows, ["ins_code", "ts"], ["ingested_at"])
+        feed = freeze(latest_version(rows, ["ins_code", "ts"], ["ingested_at"]))
         before = self.folder("state", batch - 1)
         state = spark.read.parquet(before) if _exists(spark, before) else None
         done = validate(
