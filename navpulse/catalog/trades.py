@@ -144,11 +144,13 @@ def backfill_intraday(spark, d):
 made AS ({minutes_sql("good", str(OPEN), "stop")}),
 n AS (SELECT ins_code, CAST(ts AS DATE) AS day, count(*) AS minutes FROM made GROUP BY 1, 2),
 firsts AS (SELECT ins_code, day, min(sod) AS f FROM tr GROUP BY 1, 2)
-SELECT p.day, p.ins_code, CASE WHEN good THEN 'stored' ELSE 'rejected' END AS status,
-  overlap, matched, coalesce(minutes, 0) AS minutes,
-  CASE WHEN good THEN '' ELSE 'first trade ' || lpad((f // 3600)::VARCHAR, 2, '0') || ':'
-    || lpad((f % 3600 // 60)::VARCHAR, 2, '0') END AS note
-FROM passed p JOIN firsts USING (ins_code, day) LEFT JOIN n USING (ins_code, day)""",
+SELECT p.day, p.ins_code, CASE WHEN f IS NULL THEN 'no_trades' WHEN good THEN 'stored'
+    ELSE 'rejected' END AS status,
+  CASE WHEN f IS NULL THEN 0 ELSE overlap END AS overlap,
+  CASE WHEN f IS NULL THEN 0 ELSE matched END AS matched, coalesce(minutes, 0) AS minutes,
+  CASE WHEN f IS NULL OR good THEN '' ELSE 'first trade ' || lpad((f // 3600)::VARCHAR, 2, '0')
+    || ':' || lpad((f % 3600 // 60)::VARCHAR, 2, '0') END AS note
+FROM passed p LEFT JOIN firsts USING (ins_code, day) LEFT JOIN n USING (ins_code, day)""",
 )
 def backfill_log(spark, d):
     done = backfill.backfill_intraday(
@@ -205,12 +207,13 @@ def backfill_sessions(spark, d):
     "backfill_report",
     f"""WITH {TAPE}, {OFFICIAL}, {SESSION_GOOD},
 made AS ({minutes_sql("good", str(OPEN), str(CLOSE + 1))}),
-pairs AS (SELECT DISTINCT event_type AS ins_code, CAST(ts AS DATE) AS day FROM ev)
+pairs AS (SELECT event_type AS ins_code, CAST(ts AS DATE) AS day, bool_or(k % 10 != 0) AS traded
+  FROM ev GROUP BY 1, 2)
 SELECT p.day, count(*) AS funds, count(g.ins_code) AS stored,
-  count(*) - count(g.ins_code) AS rejected,
+  count(*) FILTER (traded AND g.ins_code IS NULL) AS rejected,
   (SELECT count(*) FROM made WHERE CAST(made.ts AS DATE) = p.day) AS minutes,
-  coalesce(string_agg(p.ins_code, ',' ORDER BY p.ins_code) FILTER (g.ins_code IS NULL), '')
-    AS rejected_symbols
+  coalesce(string_agg(p.ins_code, ',' ORDER BY p.ins_code)
+    FILTER (traded AND g.ins_code IS NULL), '') AS rejected_symbols
 FROM pairs p LEFT JOIN good g ON g.ins_code = p.ins_code AND g.day = p.day GROUP BY p.day""",
 )
 def backfill_report(spark, d):
