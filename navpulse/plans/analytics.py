@@ -505,7 +505,8 @@ def returns_every_day(market: Market) -> DataFrame:
     """The same windows ending on each day of each fund's history.
 
     One row per fund and date, so a fund's window group is as long as the calendar. All
-    windows share one partitioning.
+    windows share one partitioning, and each frame only grows, so a group is passed once;
+    whether the value found is still within the look-back is tested afterwards.
     """
     starts = market.calendar.select(
         F.col("day").alias("trade_date"), "jalali_year", "year_start"
@@ -514,27 +515,24 @@ def returns_every_day(market: Market) -> DataFrame:
     closes = closes.withColumn("_d", F.unix_date("trade_date"))
     by_date = W.partitionBy("ins_code").orderBy("_d")
     by_year = W.partitionBy("ins_code").orderBy("jalali_year")
-    oldest = -(RETURNS_LOOKBACK_DAYS - 1)
+    priced = F.struct("close_price", "trade_date")
+
+    def in_reach(found: Column) -> Column:
+        limit = F.date_sub("trade_date", RETURNS_LOOKBACK_DAYS)
+        return F.when(found["trade_date"] > limit, found["close_price"])
 
     def close_before(days: int) -> Column:
-        return F.last("close_price").over(by_date.rangeBetween(oldest, -days))
+        return F.last(priced).over(by_date.rangeBetween(W.unboundedPreceding, -days))
 
     earlier_years = by_year.rangeBetween(W.unboundedPreceding, -1)
-    year_end = F.max_by(F.struct("close_price", "trade_date"), F.col("_d")).over(earlier_years)
-    rows = closes.withColumns(
-        {
-            "c0": F.col("close_price"),
-            "c1d": close_before(1),
-            **{"c" + name[2:]: close_before(n) for name, n in HORIZONS.items()},
-            "_ye": year_end,
-        }
-    ).withColumn(
-        "cytd",
-        F.when(
-            F.col("_ye.trade_date") > F.date_sub("trade_date", RETURNS_LOOKBACK_DAYS),
-            F.col("_ye.close_price"),
-        ),
-    )
+    found = {
+        "c1d": close_before(1),
+        **{"c" + name[2:]: close_before(n) for name, n in HORIZONS.items()},
+        "cytd": F.max_by(priced, F.col("_d")).over(earlier_years),
+    }
+    rows = closes.withColumns(found)
+    rows = rows.withColumns({c: in_reach(F.col(c)) for c in found})
+    rows = rows.withColumn("c0", F.col("close_price"))
     if market.funds is not None:
         funds = equity_funds(market.funds).select("ins_code", "symbol", "fund_type")
         rows = rows.join(funds, "ins_code")
