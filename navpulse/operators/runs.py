@@ -33,7 +33,8 @@ def streaks(
     """Adds ``streak``: rows of the current unbroken run of the condition (0 outside one).
 
     ``since`` names a time column; then ``run_start`` is its value at the first row of the
-    run. Order must be total within a block, and blocks must follow the order.
+    run. Order must be total within a block, and blocks must follow the order. A block is
+    scanned in one task: choose one whose rows are bounded (a day of one row per minute).
     """
     keys = list(keys)
     scope = [*keys, block]

@@ -221,3 +221,40 @@ def test_history_window():
     assert archive.history_window(day, day) == 0
     assert archive.history_window(day - dt.timedelta(days=2), day) == 10
     assert archive.history_window(day - dt.timedelta(days=60), day) == 65
+
+
+def test_replay_of_a_day(spark, raw, tmp_path):
+    from navpulse.operators.calendar import trading_calendar
+    from navpulse.plans import replay
+    from navpulse.settings import MarketHours
+
+    later = AT + dt.timedelta(minutes=1)
+    runs = spark.createDataFrame(
+        [("run1", AT, AT), ("run2", later, later)],  # the second run has no responses
+        "run_id string, tick timestamp, finished_at timestamp",
+    )
+    funds = [(FUND, FUND_ISIN, AT.date()), ("3", "IRT1EMPT0001", AT.date()), ("4", "IRT1GONE0001", AT.date())]
+    universe = spark.createDataFrame(funds, "ins_code string, isin string, day date")
+    broken = spark.createDataFrame(
+        [(later, "run2", "provider", "market_watch", "", 502, 1, 1, ""),
+         (later, "run2", "provider", "market_overview", "", 200, 1, 1, json.dumps(OVERVIEW))],
+        schemas.RAW_RESPONSES,
+    )
+    hours = MarketHours()
+    cal = trading_calendar(spark, dt.date(2026, 9, 1), dt.date(2026, 9, 30), hours)
+    done, cycles = replay.replay(
+        raw.unionByName(broken), runs, universe, hours, cal, AT.date(), AT.date()
+    )
+    rows = {(r.ins_code, r.ts): r for r in done.ticks.collect()}
+    assert set(rows) == {(f, t) for f in (FUND, "3") for t in (AT, later)}
+    assert rows[(FUND, later)].filled and rows[(FUND, later)].run_id == "run2"
+    assert not rows[(FUND, AT)].filled and rows[(FUND, AT)].nav_redemption == 157502
+    issues = {(r.ins_code, r.ts, r.check, r.action) for r in done.issues.collect()}
+    assert ("4", AT, "missing_fund", "dropped") in issues
+    assert (FUND, later, "missing_fund", "forward_filled") in issues
+    assert cycles.market.count() == 1  # none for the run without a market watch
+    assert "market_watch::" in " ".join(r.error for r in cycles.errors.collect())
+    replay.store(done, cycles, str(tmp_path))
+    replay.store(done, cycles, str(tmp_path))  # again: replaced, not doubled
+    assert spark.read.parquet(f"{tmp_path}/fund_ticks").count() == 4
+    assert spark.read.parquet(f"{tmp_path}/data_quality_log").count() == len(issues)
