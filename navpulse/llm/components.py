@@ -41,5 +41,6 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         # In a star forest both steps change nothing; the sums tell a change apart.
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            centres = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(centres)
         before = state

@@ -38,7 +38,7 @@ def halves(digest: bytes) -> tuple[int, int]:
 
 def rolling(raw: np.ndarray) -> np.ndarray:
     """Hash of the GRAM bytes from each position on."""
-    h = raw.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = (raw.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
     step = 1
     for m in MIX:
@@ -57,7 +57,8 @@ def cuts(raw: np.ndarray, mask_bits: int, longest: int) -> np.ndarray:
     if n > GRAM:
         h = rolling(raw)
         marks = np.flatnonzero(h >> np.uint64(64 - mask_bits) == 0) + GRAM
-        marks = marks[marks < n]
+        # In a run of marks, as one repeated letter can make, only the first cuts.
+        marks = marks[(np.diff(marks, prepend=-1) > 1) & (marks < n)]
     ends = np.append(marks, n)
     starts = np.concatenate([[0], ends[:-1]])
     if (ends - starts).max() <= longest:

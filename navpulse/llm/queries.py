@@ -4,9 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-
-from navpulse.llm import byte_bpe, exact_dedup, simhash, token_counts
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from navpulse.llm import (
+    byte_bpe,
+    exact_dedup,
+    html_text,
+    licenses,
+    packing,
+    simhash,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+    vafile,
+)
 from navpulse.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,3 +66,57 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_token_counts")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op1_vafile",
+    """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    ), s AS (
+        SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+    )
+    SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score
+    FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+    QUALIFY row_number() OVER w <= 5
+    """,
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vafile.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256)
+
+
+@query("op2_suffix_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), min_bytes=100)
+    return made.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@query("op4_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=2048)
+
+
+@query("op8_html_text")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_licenses")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = licenses.licenses(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id",
+        F.array_join("licenses.license", ",").alias("licenses"),
+        F.array_join(F.transform("licenses.start", lambda x: x.cast("string")), ",").alias("starts"),
+        F.array_join("sentences", ",").alias("sentences"),
+        F.size("licenses").cast("long").alias("n_licenses"),
+    )
