@@ -215,11 +215,16 @@ def main_text(pages: DataFrame, least_pages: int = 8, least_share: float = 0.2)
     template = template.where(F.col("on") >= least_share * F.col("of")).select("host", "tree")
     deleted = trees.join(template, ["host", "tree"]).groupBy(F.col("row").alias("of_row"))
     deleted = deleted.agg(F.collect_set("tree").alias("gone"))
-    joined = read_pages.join(deleted, read_pages["row"] == deleted["of_row"], "left")
-    gone = F.coalesce("gone", F.array().cast("array<bigint>"))
+    # Texts of pages without a subtree that could be template need not move.
+    could = F.size(F.flatten("blocks.trees")) > 0
+    none = F.array().cast("array<bigint>")
+    whole = read_pages.where(~could).withColumn("gone", none)
+    some = read_pages.where(could)
+    some = some.join(deleted, some["row"] == deleted["of_row"], "left").drop("of_row")
+    joined = whole.unionByName(some.withColumn("gone", F.coalesce("gone", none)))
     has_article = F.exists("blocks", lambda b: b["article"])
     kept = F.filter(
-        "blocks", lambda b: (b["article"] | ~has_article) & ~F.arrays_overlap(b["trees"], gone)
+        "blocks", lambda b: (b["article"] | ~has_article) & ~F.arrays_overlap(b["trees"], F.col("gone"))
     )
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
