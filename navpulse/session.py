@@ -25,6 +25,8 @@ def build_session(app: str = "navpulse", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.parquet.compression.codec": "zstd",
+        # Batches sent to Python are bounded by bytes too, because texts differ in length.
+        "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         **conf,
     }
@@ -60,5 +62,16 @@ def freeze(df: DataFrame) -> DataFrame:
     stage runs again (sketch results, range boundaries).
     """
     path = scratch_path(df.sparkSession, "frozen")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of a stored table; one that does not exist is fine."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
