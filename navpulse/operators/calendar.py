@@ -71,6 +71,35 @@ def new_year_day(year: Column) -> Column:
     return F.date_add(F.lit(KNOWN_NEW_YEAR), days.cast("int"))
 
 
+def jalali_year(day: Column | str) -> Column:
+    """Jalali year of a date, by the closed form; raises outside the years it holds for."""
+    day = F.col(day) if isinstance(day, str) else day
+    year = F.year(day) - 621
+    year = F.when(day >= new_year_day(year), year).otherwise(year - 1)
+    outside = ~year.between(FIRST_YEAR, LAST_YEAR)
+    return F.when(outside, F.raise_error(F.lit("date outside the Jalali calendar"))).otherwise(year).cast("int")
+
+
+def year_start(day: Column | str) -> Column:
+    """First day of the Jalali year that a date lies in."""
+    return new_year_day(jalali_year(day))
+
+
+def span_of(*dates: tuple[DataFrame, Column | str]) -> tuple[dt.date, dt.date] | None:
+    """Smallest and largest date of some columns, each by a one-row aggregate; None without any."""
+    found = []
+    for df, column in dates:
+        day = F.to_date(column)
+        found += [x for x in df.agg(F.min(day), F.max(day)).first() if x is not None]
+    return (min(found), max(found)) if found else None
+
+
+def require_calendar(df: DataFrame, column: str, day: str) -> DataFrame:
+    """Raises on a row whose date has no calendar row (``column`` is null), instead of losing it."""
+    missing = F.raise_error(F.concat(F.lit("no calendar row for "), F.col(day).cast("string")))
+    return df.withColumn(column, F.when(F.col(column).isNull() & F.col(day).isNotNull(), missing).otherwise(F.col(column)))
+
+
 def jalali_dates(spark: SparkSession, first: dt.date, last: dt.date) -> DataFrame:
     """One row per Jalali date of every Jalali year that touches the span."""
     start, stop = first.year - 622, last.year - 620

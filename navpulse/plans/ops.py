@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from navpulse.functions import times
+from navpulse.operators.calendar import require_calendar
 from navpulse.operators.latest import latest_version
 from navpulse.operators.ranking import values_at_ranks
 from navpulse.operators.runs import streaks
@@ -17,17 +18,64 @@ HEALTH_RUNS = 10
 
 
 def run_status(runs: DataFrame) -> DataFrame:
-    """Status of each run from its counts, and the note of its first five errors.
+    """Status of each run from its counts; its own note, then its first five errors.
 
-    ``runs``: run_id, received_funds, missing_funds, failed_requests, errors (array).
+    ``runs``: run_id, received_funds, missing_funds, failed_requests, errors (array) and,
+    where a run has one, note.
     """
     flawed = (
         (F.col("failed_requests") > 0) | (F.col("missing_funds") > 0) | (F.size("errors") > 0)
     )
     status = F.when(F.col("received_funds") == 0, "failed").when(flawed, "partial").otherwise("ok")
-    return runs.withColumns(
-        {"status": status, "note": F.array_join(F.slice("errors", 1, 5), "; ")}
+    listed = F.array_join(F.slice("errors", 1, 5), "; ")
+    own = F.col("note") if "note" in runs.columns else F.lit("")
+    note = F.array_join(F.filter(F.array(F.coalesce(own, F.lit("")), listed), lambda x: x != ""), "; ")
+    return runs.withColumns({"status": status, "note": note})
+
+
+def cycle_records(
+    runs: DataFrame,
+    raw: DataFrame,
+    expected: DataFrame,
+    ticks: DataFrame,
+    errors: DataFrame,
+    issues: DataFrame | None = None,
+) -> DataFrame:
+    """The record of each run: requests, funds, issues, status and note, by one row per run.
+
+    ``ticks`` are validated rows (with filled and repaired) or built ones.
+    """
+    asked = raw.groupBy("run_id").agg(
+        F.count("*").alias("requests"), F.count_if(~F.col("status_code").between(200, 299)).alias("failed")
+    )
+    due = expected.groupBy("run_id").agg(F.count("*").alias("expected_funds"))
+    fresh = ~F.col("filled") if "filled" in ticks.columns else F.lit(True)
+    repaired = F.col("repaired") if "repaired" in ticks.columns else F.lit(False)
+    came = ticks.groupBy("run_id").agg(
+        F.count_if(fresh).alias("received_funds"), F.count_if(~fresh).alias("filled"),
+        F.count_if(repaired).alias("repaired"),
+    )
+    # Of a run's errors only the first five are kept, so a failing endpoint cannot grow a row.
+    place = F.row_number().over(W.partitionBy("run_id").orderBy("error"))
+    first = errors.withColumn("_n", place).filter(F.col("_n") <= 5)
+    listed = first.groupBy("run_id").agg(F.array_sort(F.collect_list("error")).alias("errors"))
+    out = runs
+    for part in (asked, due, came, listed):
+        out = out.join(part, "run_id", "left")
+    if issues is not None:
+        out = out.join(issues.groupBy("run_id").agg(F.count("*").alias("issues")), "run_id", "left")
+    else:
+        out = out.withColumn("issues", F.lit(0))
+    counts = ("requests", "failed", "expected_funds", "received_funds", "issues", "filled", "repaired")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
+    out = out.withColumns(
+        {
+            "errors": F.coalesce("errors", F.array().cast("array<string>")),
+            "missing_funds": F.col("expected_funds") - F.col("received_funds"),
+            "failed_requests": F.col("failed"),
+        }
     )
+    return run_status(out).drop("errors", "missing_funds", "failed_requests")
 
 
 def recent_runs(runs: DataFrame, limit: int = 20) -> DataFrame:
@@ -120,21 +168,19 @@ def duration_report(runs: DataFrame) -> DataFrame:
     return runs.groupBy("status").agg(F.count("*").alias("n"), F.avg(span).alias("avg_ms"))
 
 
-def sliding_ratio(
-    df: DataFrame, ts: str, bad: Column, width: str = "10 minutes", step: str = "1 minute"
-) -> DataFrame:
-    """Share of bad rows per moving window.
-
-    Rows are counted per step first, so the shuffle carries one row per step and task and
-    the copies a moving window makes are of these counts, not of the rows.
-    """
+def step_counts(df: DataFrame, ts: str, bad: Column, step: str = "1 minute") -> DataFrame:
+    """Rows and bad rows per step: the shuffle carries one row per step and task."""
     steps = df.groupBy(F.window(ts, step).alias("_w")).agg(
-        F.count("*").alias("_n"), F.count_if(bad).alias("_bad")
+        F.count("*").alias("n"), F.count_if(bad).alias("bad")
     )
-    moved = steps.select(F.col("_w.start").alias("_at"), "_n", "_bad")
+    return steps.select(F.col("_w.start").alias("at"), "n", "bad")
+
+
+def ratio_of_counts(counts: DataFrame, width: str = "10 minutes", step: str = "1 minute") -> DataFrame:
+    """Share of bad rows per moving window; the copies a window makes are of the counts."""
     return (
-        moved.groupBy(F.window("_at", width, step).alias("w"))
-        .agg(F.sum("_n").alias("responses"), F.sum("_bad").alias("bad"))
+        counts.groupBy(F.window("at", width, step).alias("w"))
+        .agg(F.sum("n").alias("responses"), F.sum("bad").alias("bad"))
         .select(
             F.col("w.start").alias("window_start"),
             F.col("w.end").alias("window_end"),
@@ -145,6 +191,13 @@ def sliding_ratio(
     )
 
 
+def sliding_ratio(
+    df: DataFrame, ts: str, bad: Column, width: str = "10 minutes", step: str = "1 minute"
+) -> DataFrame:
+    """Share of bad rows per moving window, counted per step first."""
+    return ratio_of_counts(step_counts(df, ts, bad, step), width, step)
+
+
 def sustained(
     df: DataFrame, keys: Sequence[str], ts: str, condition: Column, minutes: int
 ) -> DataFrame:
@@ -163,25 +216,82 @@ def firing_alerts(samples: DataFrame, rules: dict[str, tuple[Column, int, str, s
     """Alert rows: rule name, component and severity, at each sample where a rule fires.
 
     ``rules``: name -> (condition, minutes it must hold, severity, component). ``samples``
-    has ``at`` and one column per measured figure.
+    has ``at`` and one column per measured figure. Each sample unfolds into a row per rule,
+    and one pass finds the unbroken spells of all of them.
+    """
+    judged = [
+        F.struct(
+            F.lit(name).alias("alert"), F.lit(severity).alias("severity"), F.lit(component).alias("component"),
+            F.lit(minutes * times.MINUTE).alias("hold"), F.coalesce(condition, F.lit(False)).alias("hit"),
+        )
+        for name, (condition, minutes, severity, component) in rules.items()
+    ]
+    rows = samples.select("at", F.explode(F.array(*judged)).alias("_r")).select("at", "_r.*")
+    dated = rows.withColumn("_day", F.to_date("at"))
+    counted = streaks(dated, ["alert"], "_day", ["at"], F.col("hit"), since="at")
+    held = times.seconds_between(F.col("run_start"), F.col("at"))
+    return (
+        counted.withColumn("held_seconds", held)
+        .filter((F.col("streak") > 0) & (F.col("held_seconds") >= F.col("hold")))
+        .select("at", "alert", "severity", "component", "held_seconds")
+    )
+
+
+def inhibit(alerts: DataFrame, causes: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """Alerts without those that another one firing at the same sample explains.
+
+    A critical alert silences the warnings of its component; ``causes`` names, per alert,
+    the alerts it silences. An alert that is silenced itself silences all the same.
     """
-    out = None
-    for name, (condition, minutes, severity, component) in rules.items():
-        hit = sustained(samples, [], "at", condition, minutes).select(
-            "at", F.lit(name).alias("alert"), F.lit(severity).alias("severity"),
-            F.lit(component).alias("component"), "held_seconds",
-        )
-        out = hit if out is None else out.unionByName(hit)
-    return out
-
-
-def inhibit(alerts: DataFrame) -> DataFrame:
-    """Warnings of a component say nothing while a critical alert of it fires."""
     critical = alerts.filter(F.col("severity") == "critical").select("at", "component").distinct()
     warnings = alerts.filter(F.col("severity") != "critical")
-    return alerts.filter(F.col("severity") == "critical").unionByName(
+    left = alerts.filter(F.col("severity") == "critical").unionByName(
         warnings.join(critical, ["at", "component"], "left_anti")
     )
+    if causes:
+        pairs = [F.struct(F.lit(c).alias("cause"), F.lit(x).alias("alert")) for c, xs in causes.items() for x in xs]
+        silenced = alerts.select("at", F.col("alert").alias("_by"), F.explode(F.array(*pairs)).alias("_p"))
+        silenced = silenced.filter(F.col("_by") == F.col("_p.cause")).select("at", F.col("_p.alert").alias("alert"))
+        left = left.join(silenced.distinct(), ["at", "alert"], "left_anti")
+    return left
+
+
+# Limits of the operational rules, in seconds or as shares.
+STALE_AFTER, LEAST_COMPLETE, MOST_ERRORS, SLOWEST_CYCLE, FAILED_IN_A_ROW = 300, 0.9, 0.2, 45, 3
+RULE_CAUSES = {"collector_failing": ("data_stale", "source_errors", "low_completeness")}
+
+
+def rule_samples(runs: DataFrame, hours: MarketHours, calendar: DataFrame) -> DataFrame:
+    """The figures the operational rules look at, one row per run; windows are within its day."""
+    dated = runs.withColumns({"at": F.col("tick"), "day": F.to_date("tick"), "_s": F.unix_seconds("tick")})
+    counted = streaks(dated, [], "day", ["_s", "run_id"], F.col("status") == "failed")
+    by_time = W.partitionBy("day").orderBy("_s")
+    upto = by_time.rangeBetween(W.unboundedPreceding, 0)
+    last = lambda seconds: by_time.rangeBetween(1 - seconds, 0)
+    took = F.timestamp_diff("MILLISECOND", F.col("started_at"), F.col("finished_at")) / 1000.0
+    days = calendar.select("day", "trading")
+    rows = require_calendar(counted.join(F.broadcast(days), "day", "left"), "trading", "day")  # one row per date
+    return rows.withColumns(
+        {
+            "failed_streak": F.col("streak"),
+            "age": F.col("_s") - F.max(F.when(F.col("status") != "failed", F.col("_s"))).over(upto),
+            "completeness": F.try_divide(F.col("received_funds"), F.col("expected_funds")),
+            "error_ratio": F.try_divide(F.sum("failed").over(last(600)), F.sum("requests").over(last(600))),
+            "p95_seconds": F.percentile(took, F.lit(0.95)).over(last(900)),
+            "open": F.col("trading") & times.second_of_day("tick").between(hours.open_second, hours.close_second),
+        }
+    )
+
+
+def operational_rules() -> dict[str, tuple[Column, int, str, str]]:
+    """Rules over runs: condition, minutes it must hold, severity and component."""
+    return {
+        "collector_failing": (F.col("failed_streak") >= FAILED_IN_A_ROW, 1, "critical", "collector"),
+        "data_stale": ((F.col("age") > STALE_AFTER) & F.col("open"), 2, "critical", "collector"),
+        "low_completeness": ((F.col("completeness") < LEAST_COMPLETE) & F.col("open"), 10, "warning", "collector"),
+        "source_errors": (F.col("error_ratio") > MOST_ERRORS, 10, "warning", "collector"),
+        "slow_cycles": (F.col("p95_seconds") > SLOWEST_CYCLE, 15, "warning", "collector"),
+    }
 
 
 def market_day_corrections(
@@ -199,7 +309,8 @@ def market_day_corrections(
         F.max(times.second_of_day("at")).alias("_latest"),
         F.max("at").alias("recorded_at"),
     )
-    known = daily.join(F.broadcast(calendar.select("day", "trading", "source")), "day")
+    known = daily.join(F.broadcast(calendar.select("day", "trading", "source")), "day", "left")
+    known = require_calendar(known, "source", "day")
     closed = F.col("trading") & ~F.col("_shown") & (F.col("_latest") >= guard)
     opened = ~F.col("trading") & F.col("source").isin("official", "extra") & F.col("_shown")
     return known.filter(closed | opened).select(

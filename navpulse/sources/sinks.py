@@ -6,28 +6,47 @@ alone does not prune; rows are sorted inside a file so that row-group statistics
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from navpulse.operators.latest import last_known
+from navpulse.session import freeze, remove_folder
 
 
 def append(df: DataFrame, path: str, partition: Sequence[str] = ()) -> None:
     df.write.mode("append").partitionBy(*partition).parquet(path)
 
 
-def replace_days(df: DataFrame, path: str, day: str = "trade_date", sort: Sequence[str] = ()) -> None:
-    """Replace exactly the days present in ``df``; other days stay as they are."""
+def replace_days(
+    df: DataFrame,
+    path: str,
+    day: str = "trade_date",
+    sort: Sequence[str] = (),
+    days: Sequence[dt.date] = (),
+) -> None:
+    """Replace the days present in ``df`` and, of ``days``, also those it has no rows for.
+
+    A day that was asked for and has no rows any more loses its stored ones; all other days
+    stay as they are. A job that dies in between is repeated as a whole.
+    """
+    spark = df.sparkSession
     spread = df.repartition(day, *sort[:1])  # a day is split by the leading sort key
     if sort:
         spread = spread.sortWithinPartitions(*sort)
+    if days:
+        spread = freeze(spread)  # written once, read for its days and again for the table
     (
         spread.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(day)
         .parquet(path)
     )
+    if days:
+        present = {r[0] for r in spread.select(day).distinct().collect()}  # one row per date
+        for gone in sorted(set(days) - present):
+            remove_folder(spark, f"{path}/{day}={gone}")
 
 
 def with_trade_date(df: DataFrame, ts: str = "ts") -> DataFrame:
@@ -56,17 +75,6 @@ def end_of_day(ticks: DataFrame) -> DataFrame:
     )
 
 
-def deactivate_missing(seen: DataFrame, known: DataFrame, at: str) -> DataFrame:
-    """New versions for an upsert: the funds seen, and the known ones that vanished."""
-    gone = known.join(seen.select("ins_code"), "ins_code", "left_anti")
-    stamp = F.lit(at).cast("timestamp")
-    return seen.withColumn("is_active", F.lit(True)).unionByName(
-        gone.select(*[c for c in seen.columns if c != "is_active"]).withColumn(
-            "is_active", F.lit(False)
-        )
-    ).withColumn("updated_at", stamp)
-
-
 def expire(
     spark: SparkSession, source: str, target: str, day: str, keep_days: int, today: str
 ) -> None:

@@ -1,23 +1,27 @@
 """Streams over the archive and the tick feed.
 
 A micro-batch goes through the batch code. What one micro-batch has to tell the next (the
-last row of each fund and the conditions that are active) is a small table in the shared
-folder, one version per micro-batch; each version is written once, under the micro-batch's
-own number, so a repeated micro-batch reads the same state and replaces its own output.
-Nothing depends on one executor, and stream and batch give the same rows.
+last row of each fund of the open day and the conditions that are active) is a small table
+in the shared folder, one version per micro-batch; each version is written under the
+micro-batch's own number, so a repeated micro-batch reads the same state and replaces its
+own output. Late rows have their days computed anew from what is stored. Nothing depends on
+one executor, and stream and batch give the same rows.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from navpulse import schemas
 from navpulse.operators.latest import latest_version
+from navpulse.plans.ops import ratio_of_counts, step_counts
 from navpulse.plans.validate import validate
-from navpulse.session import freeze
+from navpulse.session import folder_exists, freeze
 from navpulse.settings import MarketHours, ValidationLimits
 from navpulse.sources import sinks
 
@@ -47,23 +51,38 @@ def archive_first(
     )
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
 def _put(df: DataFrame, path: str) -> None:
     """Replace the output of this micro-batch only."""
     df.write.mode("overwrite").parquet(path)
 
 
+def _put_days(df: DataFrame, table: str, batch: int) -> None:
+    """This micro-batch's rows below the days they belong to, so that a day is read without the others."""
+    own = df.withColumn("batch", F.lit(batch).cast("long"))
+    writer = own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("trade_date", "batch").parquet(table)
+
+
+def _read_days(spark: SparkSession, table: str, days: list[dt.date], upto: int) -> DataFrame:
+    """Stored rows of some days, of micro-batches up to ``upto``; no other folder is listed."""
+    found = [p for p in (f"{table}/trade_date={d}" for d in days) if folder_exists(spark, p)]
+    rows = spark.read.option("basePath", table).parquet(*found)
+    return rows.filter(F.col("batch") <= upto).withColumn("trade_date", F.col("trade_date").cast("date"))
+
+
+def _days_of(rows: DataFrame) -> list[dt.date]:
+    return sorted(r[0] for r in rows.select("trade_date").distinct().collect())  # one row per date
+
+
 class TickValidation:
     """Validates micro-batches of a tick feed (tick columns, band, feed_heven).
 
-    Every micro-batch must hold whole cycles, in time order. Output folders below ``out``:
-    ``ticks``, ``issues``, ``state`` and, written last, ``announced`` (the cycles whose rows
-    are committed), each with one ``batch=N`` folder per micro-batch.
+    A micro-batch holds whole cycles. Rows that come in time order are checked against the
+    state of the open day; a micro-batch with rows of an earlier cycle or day, however
+    late, has the days they touch validated anew from the stored feed. Output folders below
+    ``out``: ``feed``, ``ticks``, ``issues`` and ``announced`` (written last) by day and
+    micro-batch; ``state`` (the open day's funds only) and ``rebuilt`` (days validated
+    anew) with one ``batch=N`` folder per micro-batch.
     """
 
     def __init__(
@@ -83,21 +102,63 @@ class TickValidation:
     def folder(self, table: str, batch: int) -> str:
         return f"{self.out}/{table}/batch={batch}"
 
+    def _check(self, feed: DataFrame, state: DataFrame | None):
+        return validate(feed, self.expected(feed), self.hours, self.calendar, self.limits, state, store=True)
+
     def __call__(self, rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
-        feed = freeze(latest_version(rows, ["ins_code", "ts"], ["ingested_at"]))
+        feed = freeze(sinks.with_trade_date(latest_version(rows, ["ins_code", "ts"], ["ingested_at"])))
         before = self.folder("state", batch - 1)
-        state = spark.read.parquet(before) if _exists(spark, before) else None
-        done = validate(
-            feed, self.expected(feed), self.hours, self.calendar, self.limits, state, store=True
-        )
-        _put(sinks.with_trade_date(done.ticks), self.folder("ticks", batch))
-        _put(done.issues, self.folder("issues", batch))
-        _put(done.state, self.folder("state", batch))
-        cycles = feed.groupBy("ts").agg(
+        state = None
+        if batch > 0:
+            if not folder_exists(spark, before):
+                raise RuntimeError(f"state of micro-batch {batch - 1} is missing below {self.out}")
+            state = spark.read.parquet(before)
+        _put_days(feed, f"{self.out}/feed", batch)
+
+        open_day, seen = (None, None)
+        if state is not None:
+            open_day, seen = state.agg(F.max("day"), F.max(F.unix_micros("_seen_ts"))).first()
+        # In order: after all that was seen of the open day, or on a newer day.
+        newer = F.lit(open_day is None) if open_day is None else (
+            (F.col("trade_date") > F.lit(open_day)) | ((F.col("trade_date") == F.lit(open_day)) & (F.unix_micros("ts") > F.lit(seen)))
+        )
+        touched = feed.groupBy("trade_date").agg(F.bool_and(newer).alias("ordered")).collect()  # one row per date
+        late = sorted(r["trade_date"] for r in touched if not r["ordered"])
+        ordered = sorted(r["trade_date"] for r in touched if r["ordered"])
+
+        none = spark.createDataFrame([], "trade_date date")
+        if not touched:  # a micro-batch without rows hands on what it was given
+            empty = state if state is not None else self._check(feed.drop("trade_date"), None).state
+            _put(none, self.folder("rebuilt", batch))
+            _put(empty, self.folder("state", batch))
+            return
+        states = []
+        parts = []
+        if ordered:
+            own = None if state is None else state.filter(F.col("day").isin(ordered))
+            parts.append(self._check(feed.filter(F.col("trade_date").isin(ordered)).drop("trade_date"), own))
+        if late:
+            stored = _read_days(spark, f"{self.out}/feed", late, batch).drop("batch", "trade_date")
+            parts.append(self._check(latest_version(stored, ["ins_code", "ts"], ["ingested_at"]), None))
+        for done in parts:
+            states.append(done.state)
+        ticks = reduce(DataFrame.unionByName, [d.ticks for d in parts])
+        issues = reduce(DataFrame.unionByName, [d.issues for d in parts])
+        _put_days(sinks.with_trade_date(ticks), f"{self.out}/ticks", batch)
+        _put_days(sinks.with_trade_date(issues), f"{self.out}/issues", batch)
+        anew = spark.createDataFrame([(d,) for d in late], none.schema)
+        _put(anew, self.folder("rebuilt", batch))
+        # Only the open day can go on; a row of any other day is a late one.
+        newest = max(x for x in (open_day, *ordered, *late) if x is not None)
+        if state is not None and newest not in (*ordered, *late):
+            states.append(state)
+        after = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), states)
+        _put(after.filter(F.col("day") == F.lit(newest)), self.folder("state", batch))
+        cycles = feed.groupBy("trade_date", "ts").agg(
             F.max("run_id").alias("run_id"), F.count("*").alias("funds")
         )
-        _put(cycles, self.folder("announced", batch))
+        _put_days(cycles, f"{self.out}/announced", batch)
 
     def start(
         self, feed: DataFrame, checkpoint: str, trigger: dict = CATCH_UP
@@ -110,25 +171,31 @@ class TickValidation:
         )
 
     def read(self, spark: SparkSession, table: str) -> DataFrame:
-        return spark.read.parquet(f"{self.out}/{table}")
+        """Rows of ``ticks`` or ``issues`` that hold: of a day validated anew, those since then.
+
+        Of ``announced``, the newest row of each cycle.
+        """
+        rows = spark.read.parquet(f"{self.out}/{table}")
+        rows = rows.withColumn("trade_date", F.col("trade_date").cast("date"))
+        if table == "announced":
+            return latest_version(rows, ["trade_date", "ts"], ["batch"]).drop("batch")
+        anew = spark.read.parquet(f"{self.out}/rebuilt").groupBy("trade_date").agg(F.max("batch").alias("_since"))
+        since = F.coalesce(F.col("_since"), F.lit(-1))
+        return rows.join(anew, "trade_date", "left").filter(F.col("batch") >= since).drop("_since", "batch")
 
 
 class DailyRollup:
-    """Keeps the end-of-day roll-up: a micro-batch recomputes the days it touches."""
+    """Keeps the end-of-day roll-up: a micro-batch recomputes the days it touches, and reads no others."""
 
     def __init__(self, ticks: str, target: str) -> None:
         self.ticks = ticks
         self.target = target
 
     def __call__(self, rows: DataFrame, batch: int) -> None:
-        spark = rows.sparkSession
-        dated = sinks.with_trade_date(rows)
-        own = dated.write.mode("overwrite").option("partitionOverwriteMode", "static")
-        own.partitionBy("trade_date").parquet(f"{self.ticks}/batch={batch}")
-        touched = dated.select("trade_date").distinct()
-        stored = spark.read.option("basePath", self.ticks).parquet(f"{self.ticks}/batch=*")
-        days = stored.join(F.broadcast(touched), "trade_date", "left_semi")  # one row per date
-        sinks.replace_days(sinks.end_of_day(days), self.target, sort=["ins_code"])
+        dated = freeze(sinks.with_trade_date(rows))
+        _put_days(dated, self.ticks, batch)
+        stored = _read_days(rows.sparkSession, self.ticks, _days_of(dated), batch).drop("batch")
+        sinks.replace_days(sinks.end_of_day(stored), self.target, sort=["ins_code"])
 
     def start(
         self, feed: DataFrame, checkpoint: str, trigger: dict = CATCH_UP
@@ -141,46 +208,38 @@ class DailyRollup:
         )
 
 
-def sliding_ratio_stream(
-    stream: DataFrame,
-    ts: str,
-    bad,
-    width: str = "10 minutes",
-    step: str = "1 minute",
-    late: str = "15 minutes",
-) -> DataFrame:
-    """Counts per moving window with bounded state: windows close once the watermark passes."""
-    return (
-        stream.withWatermark(ts, late)
-        .groupBy(F.window(ts, width, step).alias("w"))
-        .agg(F.count("*").alias("responses"), F.count_if(bad).alias("bad"))
-        .select(
-            F.col("w.start").alias("window_start"),
-            F.col("w.end").alias("window_end"),
-            "responses",
-            "bad",
-            (F.col("bad") / F.col("responses").cast("double")).alias("ratio"),
-        )
-    )
+class SlidingRatio:
+    """Share of bad rows per moving window, for rows of any lateness.
 
+    A micro-batch is counted per step and the counts are stored by day; windows that hold a
+    touched step are computed anew from the stored counts, by the batch code. Output below
+    ``out``: ``counts`` by day and micro-batch, ``windows`` by micro-batch.
+    """
 
-def upsert_windows(
-    stream: DataFrame, out: str, checkpoint: str, trigger: dict = CATCH_UP
-) -> StreamingQuery:
-    """Write changed windows per micro-batch; a reader takes the newest version of each."""
-
-    def write(rows: DataFrame, batch: int) -> None:
-        _put(rows, f"{out}/batch={batch}")
-
-    return (
-        stream.writeStream.outputMode("update")
-        .foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**trigger)
-        .start()
-    )
+    def __init__(self, out: str, ts: str, bad: Column, width: str = "10 minutes", step: str = "1 minute") -> None:
+        self.out, self.ts, self.bad, self.width, self.step = out.rstrip("/"), ts, bad, width, step
 
+    def __call__(self, rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        counts = freeze(sinks.with_trade_date(step_counts(rows, self.ts, self.bad, self.step), "at"))
+        _put_days(counts, f"{self.out}/counts", batch)
+        days = _days_of(counts)
+        around = sorted({d + dt.timedelta(days=n) for d in days for n in (-1, 0, 1)})
+        stored = _read_days(spark, f"{self.out}/counts", around, batch)
+        windows = ratio_of_counts(stored, self.width, self.step)
+        touched = counts.groupBy(F.window("at", self.width, self.step).alias("w")).count()
+        touched = touched.select(F.col("w.start").alias("window_start"))
+        _put(windows.join(touched, "window_start", "left_semi"), f"{self.out}/windows/batch={batch}")
+
+    def start(self, stream: DataFrame, checkpoint: str, trigger: dict = CATCH_UP) -> StreamingQuery:
+        return (
+            stream.writeStream.foreachBatch(self)
+            .option("checkpointLocation", checkpoint)
+            .trigger(**trigger)
+            .start()
+        )
 
-def read_windows(spark: SparkSession, out: str) -> DataFrame:
-    rows = spark.read.parquet(out)
-    return latest_version(rows, ["window_start"], ["batch"]).drop("batch")
+    def read(self, spark: SparkSession) -> DataFrame:
+        """The newest version of each window."""
+        rows = spark.read.parquet(f"{self.out}/windows")
+        return latest_version(rows, ["window_start"], ["batch"]).drop("batch")

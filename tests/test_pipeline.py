@@ -88,6 +88,7 @@ def built(spark, raw):
     return out, members, cycles
 
 
+# Figures of a recorded fund.
 def test_tick_of_a_recorded_fund(built):
     row = built[0].filter(F.col("ins_code") == FUND).first()
     assert (row.last_price, row.close_price, row.volume) == (158000, 157615, 9585358)
@@ -197,6 +198,9 @@ def test_replacing_a_day_leaves_the_others(spark, tmp_path):
     sinks.replace_days(spark.createDataFrame([row(2, 9)], cols), path, sort=["ins_code"])
     got = sorted((r.trade_date.day, r.x) for r in spark.read.parquet(path).collect())
     assert got == [(1, 1), (2, 9)]
+    days = [dt.date(2026, 9, d) for d in (1, 2, 3)]
+    sinks.replace_days(spark.createDataFrame([row(3, 5)], cols), path, sort=["ins_code"], days=days)
+    assert [(r.trade_date.day, r.x) for r in spark.read.parquet(path).collect()] == [(3, 5)]
 
 
 def test_retention(spark, tmp_path):
@@ -254,7 +258,15 @@ def test_replay_of_a_day(spark, raw, tmp_path):
     assert (FUND, later, "missing_fund", "forward_filled") in issues
     assert cycles.market.count() == 1  # none for the run without a market watch
     assert "market_watch::" in " ".join(r.error for r in cycles.errors.collect())
-    replay.store(done, cycles, str(tmp_path))
-    replay.store(done, cycles, str(tmp_path))  # again: replaced, not doubled
+    span = (AT.date(), AT.date())
+    replay.store(done, cycles, str(tmp_path), *span)
+    replay.store(done, cycles, str(tmp_path), *span)  # again: replaced, not doubled
     assert spark.read.parquet(f"{tmp_path}/fund_ticks").count() == 4
     assert spark.read.parquet(f"{tmp_path}/data_quality_log").count() == len(issues)
+
+    # Replayed without issues or rows, a day keeps neither.
+    nothing = replay.Cycles(*[getattr(cycles, f).limit(0) for f in ("ticks", "expected", "market", "states", "errors")])
+    clean = type(done)(done.ticks.limit(0), done.issues.limit(0), done.state)
+    replay.store(clean, nothing, str(tmp_path), AT.date() - dt.timedelta(days=1), AT.date())
+    for table in ("fund_ticks", "data_quality_log"):
+        assert not list((tmp_path / table).glob("trade_date=*"))

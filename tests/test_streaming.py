@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from navpulse.plans.ticks import expected_rows, universe_on_days
@@ -87,3 +88,42 @@ def test_archive_comes_first(spark, tmp_path):
     pipeline.archive_first(stream, f"{tmp_path}/raw", f"{tmp_path}/checkpoint").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/raw").first().payload == "not json"
 
+
+
+def test_late_rows_have_their_day_validated_anew(spark, tmp_path):
+    """Cycles in any order, over two days; and each key once."""
+    rows, cycles, funds = random_days(33, funds=8)
+    parts = [cycles[:6], cycles[9:15], cycles[20:], cycles[6:9] + cycles[15:20]]
+    job = pipeline.TickValidation(f"{tmp_path}/out", HOURS, calendar(spark), expected_for(funds))
+    parts.insert(2, [])  # a micro-batch without rows
+    for n, part in enumerate(parts):
+        job(frame(spark, [r for r in rows if r["ts"] in set(part)]), n)
+    feed = frame(spark, rows)
+    batch = validate(feed, expected_for(funds)(feed), HOURS, calendar(spark), store=True)
+    ticks = ["ins_code", "ts", "last_price", "volume", "nav_redemption", "quality_flags", "filled", "repaired"]
+    assert rows_of(job.read(spark, "ticks"), ticks) == rows_of(batch.ticks, ticks)
+    issues = ["ins_code", "ts", "check", "severity", "action"]
+    assert rows_of(job.read(spark, "issues"), issues) == rows_of(batch.issues, issues)
+    # The state holds the open day only.
+    state = spark.read.parquet(job.folder("state", len(parts) - 1))
+    assert [r.day for r in state.select("day").distinct().collect()] == [max(c.date() for c in cycles)]
+
+
+def test_a_missing_state_is_an_error(spark, tmp_path):
+    rows, cycles, funds = random_days(34, funds=2)
+    job = pipeline.TickValidation(f"{tmp_path}/out", HOURS, calendar(spark), expected_for(funds))
+    with pytest.raises(RuntimeError, match="micro-batch 4"):
+        job(frame(spark, rows), 5)
+
+
+def test_windows_take_rows_of_any_lateness(spark, tmp_path):
+    from navpulse.plans.ops import sliding_ratio
+
+    at = lambda m: dt.datetime(2026, 9, 26, 23, 30) + dt.timedelta(minutes=m)
+    rows = [(at(m), 500 if m % 3 == 0 else 200) for m in range(0, 90, 2)]
+    schema = "fetched_at timestamp, status_code int"
+    job = pipeline.SlidingRatio(f"{tmp_path}/out", "fetched_at", F.col("status_code") != 200)
+    for n, part in enumerate((rows[10:20], rows[30:], rows[:10], rows[20:30])):
+        job(spark.createDataFrame(part, schema), n)
+    want = sliding_ratio(spark.createDataFrame(rows, schema), "fetched_at", F.col("status_code") != 200)
+    assert rows_of(job.read(spark), want.columns) == rows_of(want, want.columns)
