@@ -79,10 +79,6 @@ def seconds_between(start: Column | str, end: Column | str) -> Column:
     return F.timestamp_diff("SECOND", _col(start), _col(end))
 
 
-def session_open(day: Column | str, hours: MarketHours) -> Column:
-    return at_second(day, hours.open_second)
-
-
 def session_close(day: Column | str, hours: MarketHours) -> Column:
     return at_second(day, hours.close_second)
 
@@ -92,10 +88,6 @@ def in_session(ts: Column | str, trading_day: Column | str, hours: MarketHours)
     return _col(trading_day) & second_of_day(ts).between(hours.open_second, hours.close_second)
 
 
-def after_close(ts: Column | str, hours: MarketHours, grace_minutes: int = 30) -> Column:
-    return second_of_day(ts) >= hours.close_second + grace_minutes * MINUTE
-
-
 def status_slot(ins_code: Column | str, ts: Column | str, slots: int = 5) -> Column:
     """True in the minute whose turn it is to refresh this fund's status."""
     return F.crc32(_col(ins_code).cast("binary")) % slots == F.minute(_col(ts)) % slots

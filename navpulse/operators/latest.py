@@ -28,14 +28,3 @@ def last_known(value: Column | str, order: Column) -> Column:
     """Aggregate: the newest value that is not null."""
     v = F.col(value) if isinstance(value, str) else value
     return F.max_by(v, F.when(v.isNotNull(), order))
-
-
-def value_when(value: Column | str, order: Column, condition: Column) -> Column:
-    """Aggregate: the newest value among the rows that meet the condition."""
-    v = F.col(value) if isinstance(value, str) else value
-    return F.max_by(v, F.when(condition, order))
-
-
-def first_value_when(value: Column | str, order: Column, condition: Column) -> Column:
-    v = F.col(value) if isinstance(value, str) else value
-    return F.min_by(v, F.when(condition, order))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from navpulse import schemas
 from navpulse.functions import flags, metrics, text, times
 from navpulse.operators.asof import asof_lookup, day_block
+from navpulse.operators.calendar import jalali_year, year_start
 from navpulse.operators.latest import latest_version
 from navpulse.session import freeze
 from navpulse.settings import MarketHours
@@ -53,8 +54,14 @@ def _dated(df: DataFrame, ts: str = "ts") -> DataFrame:
     return df if "trade_date" in df.columns else df.withColumn("trade_date", F.to_date(ts))
 
 
-def _on_day(df: DataFrame, day: dt.date | None, column: str = "trade_date") -> DataFrame:
-    return df if day is None else df.filter(F.col(column) == F.lit(day))
+def _on_day(df: DataFrame, day: dt.date | None, column: str = "trade_date", ts: str = "ts") -> DataFrame:
+    """Rows of one day; the range of times reaches the scan where no day is stored."""
+    if day is None:
+        return df
+    if ts in df.columns:
+        start = F.lit(day).cast("timestamp")
+        df = df.filter((F.col(ts) >= start) & (F.col(ts) < F.date_add(F.lit(day), 1).cast("timestamp")))
+    return df.filter(F.col(column) == F.lit(day))
 
 
 def _window(df: DataFrame, day: dt.date | None, days: int | None, column: str) -> DataFrame:
@@ -116,7 +123,7 @@ def snapshot(
     """The last row of each fund on each day, with its metrics.
 
     The ticks are read once: their last rows (one per fund and day, a small part of them)
-    are frozen, and the as-of lookups and totals work on those.
+    are frozen, and the as-of lookups work on those.
     """
     ticks = _on_day(_dated(market.ticks), day)
     if ins_code is not None:
@@ -130,7 +137,12 @@ def snapshot(
     funds = newest(market.funds, "funds").select("ins_code", "symbol", "name", "fund_type")
     rows = units_as_of(last, market.units).join(funds, "ins_code", "left")
     if market.states is not None:
-        rows = status_as_of(rows, market.states)
+        states = market.states
+        if day is not None:  # older states cannot count
+            since = F.date_sub(F.lit(day), STATUS_LOOKBACK_DAYS).cast("timestamp")
+            until = F.date_add(F.lit(day), 1).cast("timestamp")
+            states = states.filter((F.col("ts") >= since) & (F.col("ts") < until))
+        rows = status_as_of(rows, states)
     else:
         rows = rows.withColumns(
             {c: F.lit(None).cast(t) for c, t in (
@@ -140,9 +152,9 @@ def snapshot(
         )
     kind = F.coalesce(F.nullif("fund_type", F.lit("")), F.lit("other"))
     rows = rows.withColumns({"fund_type": kind, "units": F.nullif("units", F.lit(0))})
-    rows = freeze(rows.withColumn("aum", metrics.aum("nav_redemption", "units")))
-    totals = rows.groupBy("trade_date").agg(F.sum("aum").alias("_total"))
-    rows = rows.join(totals, "trade_date")
+    rows = rows.withColumn("aum", metrics.aum("nav_redemption", "units"))
+    # A group is one day's funds, one row each.
+    rows = rows.withColumn("_total", F.sum("aum").over(W.partitionBy("trade_date")))
     seen = F.col("status_at").isNotNull()
     return rows.select(
         "trade_date",
@@ -180,10 +192,6 @@ def snapshot(
     )
 
 
-def by_assets(snap: DataFrame) -> DataFrame:
-    return snap.orderBy(F.coalesce("aum", F.lit(0)).desc(), "ins_code")
-
-
 def _premium_point() -> list[Column]:
     """Aggregates over one row per fund; a group is never larger than the fund list."""
     return [
@@ -324,14 +332,18 @@ def premium_intraday(market: Market, day: dt.date | None = None) -> DataFrame:
 
 
 def best_premium_series(intraday: DataFrame, daily: DataFrame, at_least: int = 2) -> DataFrame:
-    """The minute series when it has enough points, else the daily one."""
-    points = intraday.select(F.col("ts").alias("at"), "median", "weighted", "funds")
-    days = daily.select(F.col("trade_date").cast("timestamp").alias("at"), "median", "weighted", "funds")
-    enough = points.agg((F.count("*") >= at_least).alias("_minutes"))  # one row
-    both = points.withColumn("_minutes", F.lit(True)).unionByName(
-        days.withColumn("_minutes", F.lit(False))
+    """Of each day its minutes when there are enough of them, else its daily point."""
+    points = intraday.select(
+        F.to_date("ts").alias("_day"), F.col("ts").alias("at"), "median", "weighted", "funds"
     )
-    return both.join(F.broadcast(enough), "_minutes").drop("_minutes")
+    days = daily.select(
+        F.col("trade_date").alias("_day"), F.col("trade_date").cast("timestamp").alias("at"),
+        "median", "weighted", "funds",
+    )
+    minutes = F.count("*").over(W.partitionBy("_day"))  # a day has at most 1,440
+    kept = points.withColumn("_n", minutes).filter(F.col("_n") >= at_least).drop("_n")
+    rest = days.join(kept.select("_day").distinct(), "_day", "left_anti")
+    return kept.unionByName(rest).drop("_day")
 
 
 def market_flow(market: Market, day: dt.date | None = None) -> DataFrame:
@@ -421,8 +433,11 @@ def daily_flows(market: Market, day: dt.date | None = None, days: int | None = N
     if market.ticks is None:
         return official
     live = latest_version(
-        _on_day(_dated(market.ticks), day), ["trade_date", "ins_code"], ["ts", "ingested_at"]
-    )
+        _on_day(_dated(market.ticks), day).select(
+            "trade_date", "ins_code", "ts", "ingested_at", "ind_buy_value", "ind_sell_value", "value"
+        ),
+        ["trade_date", "ins_code"], ["ts", "ingested_at"],
+    )
     known_days = official.select("trade_date").distinct()
     estimate = (
         live.join(known_days, "trade_date", "left_anti")
@@ -453,9 +468,7 @@ def returns(market: Market, day: dt.date, live: bool = True) -> DataFrame:
         (F.col("trade_date") <= F.lit(day))
         & (F.col("trade_date") > F.date_sub(F.lit(day), RETURNS_LOOKBACK_DAYS))
     )
-    closes = _closes(span).withColumn("day", F.lit(day))
-    starts = market.calendar.select("day", "year_start")
-    closes = closes.join(F.broadcast(starts), "day")  # one row per date
+    closes = _closes(span).withColumn("year_start", year_start(F.lit(day)))
     on = F.col("trade_date")
     # The previous session: the newest date before the newest. Ordering by date and
     # leaving the newest out needs the newest first, which is one window per fund.
@@ -478,7 +491,9 @@ def returns(market: Market, day: dt.date, live: bool = True) -> DataFrame:
     funds = equity_funds(market.funds).select("ins_code", "symbol", "fund_type")
     rows = base.join(funds, "ins_code")
     if live:
-        ticks = _on_day(_dated(market.ticks), day)
+        ticks = _on_day(_dated(market.ticks), day).select(
+            "ins_code", "ts", "ingested_at", "close_price", "prev_close"
+        )
         last = latest_version(ticks, ["ins_code"], ["ts", "ingested_at"]).select(
             "ins_code", F.col("close_price").alias("_close"), F.col("prev_close").alias("_prev")
         )
@@ -508,11 +523,9 @@ def returns_every_day(market: Market) -> DataFrame:
     windows share one partitioning, and each frame only grows, so a group is passed once;
     whether the value found is still within the look-back is tested afterwards.
     """
-    starts = market.calendar.select(
-        F.col("day").alias("trade_date"), "jalali_year", "year_start"
+    closes = _closes(market.history).withColumns(
+        {"jalali_year": jalali_year("trade_date"), "_d": F.unix_date("trade_date")}
     )
-    closes = _closes(market.history).join(F.broadcast(starts), "trade_date")
-    closes = closes.withColumn("_d", F.unix_date("trade_date"))
     by_date = W.partitionBy("ins_code").orderBy("_d")
     by_year = W.partitionBy("ins_code").orderBy("jalali_year")
     priced = F.struct("close_price", "trade_date")

@@ -83,18 +83,19 @@ def risk_map(risk: DataFrame, mid_volatility: float) -> DataFrame:
     )
 
 
-def top_k(df: DataFrame, order: Column, k: int, tie: str = "ins_code") -> DataFrame:
-    return df.orderBy(order, tie).limit(k)
+def searched(snap: DataFrame, needle: str) -> DataFrame:
+    return snap.filter(text.matches_search(needle, "symbol", "name")) if needle.strip() else snap
 
 
-def sorted_table(
-    snap: DataFrame, key: str, descending: bool = True, needle: str = ""
-) -> DataFrame:
-    """The fund table: searched, sorted by any column, empty values last either way."""
+def table_order(key: str, descending: bool = True) -> list[Column]:
+    """Order of the fund table by any column, empty values last either way."""
     c = F.col(key)
-    order = c.desc_nulls_last() if descending else c.asc_nulls_last()
-    found = snap.filter(text.matches_search(needle, "symbol", "name")) if needle.strip() else snap
-    return found.orderBy(order, "ins_code")
+    return [c.desc_nulls_last() if descending else c.asc_nulls_last(), F.col("ins_code").asc()]
+
+
+def sorted_table(snap: DataFrame, key: str, descending: bool = True, needle: str = "") -> DataFrame:
+    """The fund table: searched, sorted by any column, empty values last either way."""
+    return searched(snap, needle).orderBy(*table_order(key, descending))
 
 
 def returns_of_largest(returns: DataFrame, snap: DataFrame, k: int = 25) -> DataFrame:

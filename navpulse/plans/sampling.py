@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from navpulse.operators.ranking import global_rank
 
@@ -55,7 +55,8 @@ def interpolate(df: DataFrame, x: str, points: DataFrame, px: str = "x", py: str
         return F.floor((c - F.col("_x0")) / F.col("_w"))
 
     pieces = (
-        segments(pts, ["_k"])
+        segments(pts)
+        .withColumn("_k", F.lit(1))
         .join(F.broadcast(ends), "_k")
         .select(
             "x0", "y0", "x1", "y1",
@@ -78,10 +79,8 @@ def interpolate(df: DataFrame, x: str, points: DataFrame, px: str = "x", py: str
     return found.select(*[rows[c] for c in df.columns], value.alias("y"))
 
 
-def segments(points: DataFrame, keys: list[str], px: str = "x", py: str = "y") -> DataFrame:
-    """Consecutive points of a sample as rows (x0, y0, x1, y1)."""
-    ordered = W.partitionBy(*keys).orderBy(px)
-    return points.select(
-        *keys, F.col(px).alias("x0"), F.col(py).alias("y0"),
-        F.lead(px).over(ordered).alias("x1"), F.lead(py).over(ordered).alias("y1"),
-    ).filter(F.col("x1").isNotNull())
+def segments(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """Consecutive points as rows (x0, y0, x1, y1): each meets the one of the next rank, by a join."""
+    ranked = global_rank(points.select(F.col(x).alias("x0"), F.col(y).alias("y0")), [F.col("x0")], "_rank")
+    following = ranked.select((F.col("_rank") - 1).alias("_rank"), F.col("x0").alias("x1"), F.col("y0").alias("y1"))
+    return ranked.join(following, "_rank").select("x0", "y0", "x1", "y1")

@@ -26,7 +26,6 @@ COUNTERS = (
     "ind_buy_volume", "ind_sell_volume", "inst_buy_volume", "inst_sell_volume",
 )
 KEY = ("ins_code", "day")
-CONTEXT = ("band_low", "band_high", "feed_heven")
 
 
 @dataclass(frozen=True)
@@ -63,33 +62,47 @@ def frozen_feed(cycles: DataFrame, limits: ValidationLimits) -> DataFrame:
     return counted.select("day", "ts", "feed_heven", "unchanged", stale.alias("feed_stale"))
 
 
-def _fold_price(name: str) -> Column:
-    """Repaired price: the raw one, or the previous repaired one while it fits the band.
+def _fold_prices(df: DataFrame, prices: tuple[str, ...]) -> DataFrame:
+    """Adds ``_new_<price>``: the raw one, or the previous repaired one while it fits the band.
 
     A row is *bad* when its price is outside its band; then the previous repaired price is
     kept if it lies in this row's band, else the raw price stays. Which price is "previous"
-    depends on all earlier bad rows of the same unbroken run, so a run is folded in order,
-    starting from the good row before it. Runs are short; good rows cost nothing.
+    depends on all earlier bad rows of the same unbroken run. A run is folded once, at its
+    last row, into the list of its prices, and each row takes its own place in the list.
     """
-    run = f"_{name}_run"
-    step = F.struct(
-        F.col(name).alias("raw"),
-        F.col("_bad_" + name).alias("bad"),
-        F.col("band_low").alias("low"),
-        F.col("band_high").alias("high"),
-    )
-    steps = F.collect_list(F.when(F.col("here"), step)).over(
-        W.partitionBy(*KEY, run).orderBy("ts").rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
+    ordered = W.partitionBy(*KEY).orderBy("ts")
     none = F.lit(None).cast("long")
-    folded = F.aggregate(
-        steps,
-        none,
-        lambda held, x: F.when(x["bad"] & held.between(x["low"], x["high"]), held).otherwise(
-            x["raw"]
-        ),
-    )
-    return F.when(F.col("_bad_" + name), folded).otherwise(F.col(name))
+    start = F.struct(none.alias("held"), F.array().cast("array<bigint>").alias("out"))
+    for p in prices:
+        run = W.partitionBy(*KEY, f"_{p}_run")
+        whole = run.orderBy("ts").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        upto = run.orderBy("ts").rowsBetween(W.unboundedPreceding, W.currentRow)
+        step = F.struct(
+            F.col(p).alias("raw"), F.col(f"_bad_{p}").alias("bad"),
+            F.col("band_low").alias("low"), F.col("band_high").alias("high"),
+        )
+
+        def fold(acc: Column, x: Column) -> Column:
+            held = acc["held"]
+            now = F.when(x["bad"] & held.between(x["low"], x["high"]), held).otherwise(x["raw"])
+            return F.struct(now.alias("held"), F.concat(acc["out"], F.array(now)).alias("out"))
+
+        df = df.withColumns(
+            {
+                "_steps": F.collect_list(F.when(F.col("here"), step)).over(whole),
+                "_place": F.count_if(F.col("here")).over(upto),
+                "_ends": ~F.lead(f"_{p}_run").over(ordered).eqNullSafe(F.col(f"_{p}_run")),
+            }
+        )
+        repaired = F.when(
+            F.col("_ends") & (F.size("_steps") > 1), F.aggregate("_steps", start, fold, lambda acc: acc["out"])
+        )
+        df = df.withColumn("_folded", repaired).drop("_steps", "_ends")
+        df = df.withColumn("_folded", F.last("_folded", ignorenulls=True).over(whole))
+        own = F.coalesce(F.get("_folded", (F.col("_place") - 1).cast("int")), F.col(p))
+        df = df.withColumn(f"_new_{p}", F.when(F.col(f"_bad_{p}"), own).otherwise(F.col(p)))
+        df = df.drop("_folded", "_place")
+    return df
 
 
 def check_values(rows: DataFrame, limits: ValidationLimits) -> DataFrame:
@@ -116,8 +129,7 @@ def check_values(rows: DataFrame, limits: ValidationLimits) -> DataFrame:
     for p in prices:
         good = F.when(F.col("here") & ~F.col(f"_bad_{p}"), 1).otherwise(0)
         df = df.withColumn(f"_{p}_run", F.sum(good).over(upto))
-    for p in prices:
-        df = df.withColumn(f"_new_{p}", _fold_price(p))
+    df = _fold_prices(df, prices)
 
     # 2. high and low hold open and last
     points = [F.nullif(c, F.lit(0)) for c in (

@@ -100,3 +100,12 @@ def history_window(
     if latest >= session:
         return 0
     return min(full, max(usual, (session - latest).days + 5))
+
+
+def history_windows(history: DataFrame, funds: DataFrame, session: dt.date, full: int = 400, usual: int = 10) -> DataFrame:
+    """:func:`history_window` of every fund, from the newest date its history has."""
+    newest = history.groupBy("ins_code").agg(F.max("trade_date").alias("latest"))
+    gap = F.datediff(F.lit(session), "latest") + 5
+    days = F.when(F.col("latest").isNull(), full).when(F.col("latest") >= F.lit(session), 0)
+    days = days.otherwise(F.least(F.lit(full), F.greatest(F.lit(usual), gap)))
+    return funds.select("ins_code").join(newest, "ins_code", "left").withColumn("days", days)

@@ -240,6 +240,16 @@ def _unreadable_number(row: Column, payload: Payload) -> Column:
     return F.when(text.rlike("[^0-9.|]"), one_by_one).otherwise(malformed)
 
 
+def _may_hold_text(payload: Payload) -> Column:
+    """False when every numeric field in the payload's text is a JSON number, null or empty.
+
+    One look at the text spares the exact test, field by field, on all ordinary responses.
+    """
+    names = "|".join(name for _, name, kind in payload.fields if kind in ("int", "float"))
+    usual = r'(?:null|""|-?[0-9]+(?:[.][0-9]+)?(?:[eE][-+]?[0-9]+)?)\s*[,}\]]'
+    return F.col("payload").rlike(rf'"(?:{names})"\s*+:\s*+(?!{usual})|\\u00')
+
+
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once, however often it is used."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -254,9 +264,10 @@ def _problem(doc: Column, payload: Payload) -> Column:
     """Why a response cannot be used, null when it can."""
     body = _body(doc, payload)
     if payload.many:
-        bad = F.exists(body, lambda row: _unreadable_number(row, payload))
+        exact = F.exists(body, lambda row: _unreadable_number(row, payload))
     else:
-        bad = _unreadable_number(body, payload)
+        exact = _unreadable_number(body, payload)
+    bad = F.when(_may_hold_text(payload), exact).otherwise(F.lit(False))
     # Asked only where no body was read; nested values are skipped, not built.
     keys = F.json_object_keys("payload")
     missing = ~F.coalesce(F.array_contains(keys, payload.envelope), F.lit(False))
