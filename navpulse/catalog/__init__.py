@@ -43,5 +43,5 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 def load_all() -> None:
-    from navpulse.catalog import market, operations, texts, trades, validation  # noqa: F401
-    from navpulse.catalog import streams  # noqa: F401  (uses texts registered above)
+    from navpulse.catalog import cycles, market, operations, payload_rows, texts, trades, validation  # noqa: F401
+    from navpulse.catalog import jobs, streams  # noqa: F401  (uses texts registered above)

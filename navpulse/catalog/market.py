@@ -221,21 +221,45 @@ def premium_by_time(spark, d):
     return analytics.premium_intraday(px.market(spark, d))
 
 
-@query(
-    "premium_best_series",
-    f"""
+BEST_SERIES_SQL = f"""
 WITH {ticks("user_id")}, {FUNDS}, {UNITS},
 rows_ AS (SELECT t.ts, t.close_price, t.nav_redemption AS nav, fund_type,
     {units_on("t.ins_code", "t.day")} AS units
   FROM ticks t JOIN funds f ON f.ins_code = t.ins_code AND fund_type IN {EQUITY}),
-p AS (SELECT ts, {PREMIUM} FROM rows_)
-SELECT ts AS "at", round(median, 6) AS median, round(weighted, 6) AS weighted, funds
-FROM (SELECT ts, {POINT} FROM p GROUP BY ts)
-WHERE (SELECT count(DISTINCT ts) FROM p) >= 2""",
-)
-def premium_best_series(spark, d):
+p AS (SELECT ts, CAST(ts AS DATE) AS day, {PREMIUM} FROM rows_),
+SPARSE_DAYS
+eod AS (SELECT ins_code, day, arg_max(close_price, {{'a': ts, 'b': ingested_at}}) AS close_price,
+    arg_max(nav_redemption, {{'a': ts, 'b': ingested_at}}) FILTER (nav_redemption IS NOT NULL) AS nav
+  FROM raw_ticks GROUP BY 1, 2),
+drows AS (SELECT e.*, fund_type, {units_on("e.ins_code", "e.day")} AS units
+  FROM eod e JOIN funds f ON f.ins_code = e.ins_code AND fund_type IN {EQUITY}),
+dp AS (SELECT day, {PREMIUM} FROM drows),
+series AS (SELECT ts AS "at", {POINT} FROM p WHERE day NOT IN (SELECT day FROM sparse) GROUP BY ts
+  UNION ALL
+  SELECT CAST(day AS TIMESTAMP), {POINT} FROM dp
+  WHERE day NOT IN (SELECT day FROM p WHERE day NOT IN (SELECT day FROM sparse)) GROUP BY day)
+SELECT "at", round(median, 6) AS median, round(weighted, 6) AS weighted, funds FROM series"""
+
+
+def _best_series_sql(at_least: int) -> str:
+    sparse = f"sparse AS (SELECT day FROM p GROUP BY day HAVING count(DISTINCT ts) < {at_least}),"
+    return BEST_SERIES_SQL.replace("SPARSE_DAYS", sparse)
+
+
+def _best_series(spark, d, at_least):
     m = px.market(spark, d)
-    return analytics.best_premium_series(analytics.premium_intraday(m), analytics.premium_daily(m))
+    return analytics.best_premium_series(analytics.premium_intraday(m), analytics.premium_daily(m), at_least)
+
+
+@query("premium_best_series", _best_series_sql(2))
+def premium_best_series(spark, d):
+    return _best_series(spark, d, 2)
+
+
+@query("premium_sparse_days", _best_series_sql(100_000))
+def premium_sparse_days(spark, d):
+    """No day has so many minutes, so each gives its daily point."""
+    return _best_series(spark, d, 100_000)
 
 
 @query(
@@ -327,10 +351,15 @@ def returns_windows(spark, d):
 
 def _brand_market(spark, d):
     rows = px.brand_prices(spark, d).withColumn("updated_at", F.lit(0))
-    return analytics.Market(history=rows, calendar=px.history_calendar(spark))
+    return analytics.Market(history=rows, calendar=px.history_calendar(spark, d))
 
 
-RETURNS_DAY_SQL = f"""
+def _ratio(a: str, b: str) -> str:
+    return f"CASE WHEN {a} != 0 AND {b} != 0 THEN {a}::DOUBLE / {b} - 1 END"
+
+
+def _returns_day_sql(pct) -> str:
+    return f"""
 WITH {ticks("user_id")}, {FUNDS}, {HISTORY}, {YEAR_STARTS},
 h AS (SELECT *, max(trade_date) OVER (PARTITION BY ins_code) AS max_d FROM hist
   WHERE trade_date <= DATE '{DAY}' AND trade_date > DATE '{DAY}' - 400 AND close_price > 0),
@@ -350,8 +379,11 @@ m AS (SELECT b.ins_code, symbol, fund_type, c1w, c1m, c3m, cy,
     CASE WHEN l.ins_code IS NOT NULL AND d0 < DATE '{DAY}' THEN l.prev_close ELSE c1d END AS c1d
   FROM b JOIN funds f ON f.ins_code = b.ins_code AND fund_type IN {EQUITY}
   LEFT JOIN live l ON l.ins_code = b.ins_code),
-r AS (SELECT ins_code, symbol, fund_type, {_pct("c0", "c1d")} AS r_1d, {_pct("c0", "c1w")} AS r_1w,
-  {_pct("c0", "c1m")} AS r_1m, {_pct("c0", "c3m")} AS r_3m, {_pct("c0", "cy")} AS r_ytd FROM m)"""
+r AS (SELECT ins_code, symbol, fund_type, {pct("c0", "c1d")} AS r_1d, {pct("c0", "c1w")} AS r_1w,
+  {pct("c0", "c1m")} AS r_1m, {pct("c0", "c3m")} AS r_3m, {pct("c0", "cy")} AS r_ytd FROM m)"""
+
+
+RETURNS_DAY_SQL = _returns_day_sql(_pct)
 
 
 @query("returns_of_day", RETURNS_DAY_SQL + " SELECT * FROM r")
@@ -396,22 +428,22 @@ def heat_limit(spark, d):
 
 @query(
     "heat_cells",
-    RETURNS_DAY_SQL
+    _returns_day_sql(_ratio)
     + """,
-cells AS (SELECT ins_code, h.horizon, CASE h.horizon WHEN 'r_1d' THEN r_1d WHEN 'r_1w' THEN r_1w
+cells AS MATERIALIZED (SELECT ins_code, h.horizon, CASE h.horizon WHEN 'r_1d' THEN r_1d WHEN 'r_1w' THEN r_1w
     WHEN 'r_1m' THEN r_1m WHEN 'r_3m' THEN r_3m ELSE r_ytd END AS r
   FROM r, (SELECT unnest(['r_1d', 'r_1w', 'r_1m', 'r_3m', 'r_ytd']) AS horizon) h),
 pos AS (SELECT horizon, abs(coalesce(r, 0)) AS a, row_number() OVER
     (PARTITION BY horizon ORDER BY abs(coalesce(r, 0))) AS p, count(*) OVER (PARTITION BY horizon) AS n
   FROM cells),
 lim AS (SELECT horizon, greatest(0.005, a) AS lim FROM pos WHERE p = n * 9 // 10 + 1)
-SELECT ins_code, c.horizon, round(least(greatest(coalesce(r / lim, 0), -1), 1), 3) AS heat
+SELECT ins_code, c.horizon, round(least(greatest(coalesce(r / lim, 0), -1), 1), 6) AS heat
 FROM cells c JOIN lim USING (horizon)""",
 )
 def heat_cells(spark, d):
     cells = marts.returns_unpivot(analytics.returns(px.market(spark, d), DAY), ["ins_code"])
     heat = marts.heat_cells(cells, marts.heat_limits(cells))
-    return heat.select("ins_code", "horizon", F.round("heat", 3).alias("heat"))
+    return heat.select("ins_code", "horizon", "heat")
 
 
 VOL_SQL = f"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from navpulse.catalog import proxies as px, query
 from navpulse.catalog.base_sql import EV, FUNDS, RUNS
 from navpulse.functions import text, times
-from navpulse.operators.calendar import from_jalali
+from navpulse.operators.calendar import from_jalali, require_calendar
 from navpulse.plans import ops, quality, sampling, universe
 from navpulse.sources import archive
 
@@ -164,6 +164,42 @@ def alerts_inhibited(spark, d):
     return ops.inhibit(ops.firing_alerts(samples, rules)).select("at", "alert", "severity")
 
 
+@query(
+    "operational_alerts",
+    f"""
+WITH {EV}, {RUNS},
+s AS (SELECT *, CAST(tick AS DATE) AS day, epoch(tick)::BIGINT AS s,
+    row_number() OVER (ORDER BY tick) - row_number() OVER (PARTITION BY status = 'failed' ORDER BY tick) AS island,
+    date_diff('microsecond', started_at, finished_at) // 1000 / 1000.0 AS took FROM runs),
+f AS (SELECT *, CASE WHEN status = 'failed' THEN row_number() OVER (PARTITION BY status = 'failed', island ORDER BY tick)
+      ELSE 0 END AS streak,
+    s - max(CASE WHEN status != 'failed' THEN s END) OVER (PARTITION BY day ORDER BY s) AS age,
+    received_funds / nullif(expected_funds, 0)::DOUBLE AS completeness,
+    sum(failed) OVER m / nullif(sum(requests) OVER m, 0)::DOUBLE AS errors,
+    quantile_cont(took, 0.95) OVER q AS p95,
+    isodow(day) <= 5 AND hour(tick) * 60 + minute(tick) BETWEEN 480 AND 1080 AS open_ FROM s
+  WINDOW m AS (PARTITION BY day ORDER BY s RANGE BETWEEN 599 PRECEDING AND CURRENT ROW),
+    q AS (PARTITION BY day ORDER BY s RANGE BETWEEN 899 PRECEDING AND CURRENT ROW)),
+cond AS (SELECT tick, 'collector_failing' AS alert, 'critical' AS severity, 60 AS hold, coalesce(streak >= 3, false) AS hit FROM f
+  UNION ALL SELECT tick, 'data_stale', 'critical', 120, coalesce(age > 300 AND open_, false) FROM f
+  UNION ALL SELECT tick, 'low_completeness', 'warning', 600, coalesce(completeness < 0.9 AND open_, false) FROM f
+  UNION ALL SELECT tick, 'source_errors', 'warning', 600, coalesce(errors > 0.2, false) FROM f
+  UNION ALL SELECT tick, 'slow_cycles', 'warning', 900, coalesce(p95 > 45, false) FROM f),
+isl AS (SELECT *, row_number() OVER (PARTITION BY alert ORDER BY tick)
+    - row_number() OVER (PARTITION BY alert, hit ORDER BY tick) AS i FROM cond),
+fired AS (SELECT tick, alert, severity FROM (SELECT *,
+    date_diff('second', min(tick) OVER (PARTITION BY alert, hit, i), tick) AS held FROM isl) WHERE hit AND held >= hold)
+SELECT tick AS "at", alert, severity FROM fired a
+WHERE (severity = 'critical' OR NOT EXISTS (SELECT 1 FROM fired c WHERE c.severity = 'critical' AND c.tick = a.tick))
+  AND NOT (alert IN ('data_stale', 'source_errors', 'low_completeness')
+    AND EXISTS (SELECT 1 FROM fired c WHERE c.alert = 'collector_failing' AND c.tick = a.tick))""",
+)
+def operational_alerts(spark, d):
+    samples = ops.rule_samples(px.runs(spark, d), px.HOURS, px.feed_calendar(spark, d))
+    fired = ops.firing_alerts(samples, ops.operational_rules())
+    return ops.inhibit(fired, ops.RULE_CAUSES).select("at", "alert", "severity")
+
+
 def _raw(spark, d):
     """Events as archived responses of the endpoint of their type."""
     return px.events(spark, d).selectExpr(
@@ -227,7 +263,7 @@ def market_day_corrections(spark, d):
         "at", F.when(shown, F.to_date("ts")).alias("session_day")
     )
     rows = ops.market_day_corrections(
-        probes, px.feed_calendar(spark), px.HOURS, "closed", "opened"
+        probes, px.feed_calendar(spark, d), px.HOURS, "closed", "opened"
     )
     return rows.drop("recorded_at")
 
@@ -354,12 +390,30 @@ def interpolate(spark, d):
     return sampling.interpolate(rows, "x", points.distinct())
 
 
-@query("calendar_dim")
+@query(
+    "calendar_dim",
+    """
+WITH places AS (SELECT unnest([1, 5, 9, 13, 17, 22, 26, 30]) AS place),
+years AS (SELECT y, (y // 33) * 8 + (SELECT count(*) FROM places WHERE place < y % 33) AS leaps
+  FROM range(1340, 1440) t(y)),
+starts AS (SELECT y, DATE '2024-03-20'
+    + CAST((y - 1403) * 365 + leaps - (SELECT leaps FROM years WHERE y = 1403) AS INTEGER) AS start FROM years),
+o AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS orders FROM orders GROUP BY 1),
+j AS (SELECT day, any_value(orders) AS orders, max(y) AS jy, max(start) AS start
+  FROM o JOIN starts ON start <= day GROUP BY day),
+n AS (SELECT *, CAST(day - start AS BIGINT) AS n FROM j),
+m AS (SELECT *, CASE WHEN n < 186 THEN n // 31 + 1 ELSE (n - 186) // 30 + 7 END AS jm,
+    CASE WHEN n < 186 THEN n % 31 + 1 ELSE (n - 186) % 30 + 1 END AS jd FROM n)
+SELECT day, orders, printf('%04d/%02d/%02d', jy, jm, jd) AS day_fa, jy AS jalali_year, jm AS jalali_month,
+  jd AS jalali_day, start AS year_start, isodow(day) <= 5 AS trading,
+  CASE WHEN isodow(day) <= 5 THEN 'weekday' ELSE 'weekend' END AS source FROM m""",
+)
 def calendar_dim(spark, d):
     """Order dates with their Jalali date and whether the market trades."""
     days = px.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day"))
     counted = days.groupBy("day").agg(F.count("*").alias("orders"))
-    return counted.join(px.history_calendar(spark), "day").drop("listed", "reason")
+    joined = counted.join(px.history_calendar(spark, d), "day", "left").drop("listed", "reason")
+    return require_calendar(joined, "trading", "day")
 
 
 @query(
@@ -371,7 +425,7 @@ WHERE isodow(CAST(o_orderdate AS DATE)) <= 5 GROUP BY 1""",
 def trading_days(spark, d):
     days = px.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day"))
     counted = days.groupBy("day").agg(F.count("*").alias("orders"))
-    open_days = px.history_calendar(spark).filter("trading").select("day")
+    open_days = px.history_calendar(spark, d).filter("trading").select("day")
     return counted.join(open_days, "day", "left_semi")
 
 
@@ -381,7 +435,7 @@ def trading_days(spark, d):
 )
 def jalali_roundtrip(spark, d):
     """To the Jalali date and back through the dimension."""
-    cal = px.history_calendar(spark)
+    cal = px.history_calendar(spark, d)
     days = px.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
     parts = ["jalali_year", "jalali_month", "jalali_day"]
     there = days.join(cal.select("day", *parts), "day")
@@ -398,8 +452,9 @@ FROM ev GROUP BY 1""",
 )
 def in_session(spark, d):
     rows = px.events(spark, d).withColumn("day", F.to_date("ts"))
-    days = px.feed_calendar(spark).select("day", "trading")
-    return rows.join(F.broadcast(days), "day").groupBy("day").agg(
+    days = px.feed_calendar(spark, d).select("day", "trading")
+    rows = require_calendar(rows.join(F.broadcast(days), "day", "left"), "trading", "day")
+    return rows.groupBy("day").agg(
         F.count("*").alias("events"),
         F.count_if(times.in_session("at", "trading", px.HOURS)).alias("in_session"),
     )

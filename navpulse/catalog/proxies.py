@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from navpulse import schemas
 from navpulse.functions import times
-from navpulse.operators.calendar import trading_calendar
+from navpulse.operators.calendar import span_of, trading_calendar
 from navpulse.operators.latest import latest_version
 from navpulse.plans.analytics import Market
 from navpulse.settings import MarketHours
@@ -233,12 +233,21 @@ def calendar(spark: SparkSession, first: dt.date, last: dt.date) -> DataFrame:
     return trading_calendar(spark, first, last, HOURS)
 
 
-def feed_calendar(spark: SparkSession) -> DataFrame:
-    return calendar(spark, dt.date(2023, 6, 1), dt.date(2024, 12, 31))
+def _calendar_of(spark: SparkSession, *dates) -> DataFrame:
+    """The calendar of exactly the span the data has."""
+    span = span_of(*dates) or (dt.date(2024, 1, 1), dt.date(2024, 1, 1))
+    return calendar(spark, *span)
 
 
-def history_calendar(spark: SparkSession) -> DataFrame:
-    return calendar(spark, dt.date(1994, 1, 1), dt.date(2025, 12, 31))
+def feed_calendar(spark: SparkSession, folder: str) -> DataFrame:
+    return _calendar_of(spark, (table(spark, folder, "events"), "ts"))
+
+
+def history_calendar(spark: SparkSession, folder: str) -> DataFrame:
+    """Order dates as they are, as days of the history, and the days of the feed."""
+    orders = table(spark, folder, "orders")
+    shifted = F.date_add(F.to_date("o_orderdate"), HISTORY_SHIFT_DAYS)
+    return _calendar_of(spark, (orders, "o_orderdate"), (orders, shifted), (table(spark, folder, "events"), "ts"))
 
 
 def market(spark: SparkSession, folder: str) -> Market:
@@ -250,5 +259,5 @@ def market(spark: SparkSession, folder: str) -> Market:
         market_ticks=market_ticks(spark, folder),
         runs=runs(spark, folder),
         history=history(spark, folder),
-        calendar=history_calendar(spark),
+        calendar=history_calendar(spark, folder),
     )

@@ -8,7 +8,7 @@ from navpulse.catalog import proxies as px, query
 from navpulse.catalog.base_sql import BRAND_FLOWS, BRAND_PRICES, EV, ticks
 from navpulse.operators.calendar import minute_grid
 from navpulse.plans import analytics, backfill
-from navpulse.plans.history import FLOW_COLUMNS, merge_history
+from navpulse.plans.history import FLOW_COLUMNS, history_rows, merge_history
 from navpulse.settings import BackfillLimits
 
 NOW = "2024-02-01 00:00:00"
@@ -269,10 +269,10 @@ def first_live_points(spark, d):
     f"""WITH {BRAND_PRICES}, {BRAND_FLOWS},
 top AS (SELECT * FROM brand_prices
   QUALIFY row_number() OVER (PARTITION BY ins_code ORDER BY trade_date DESC) <= 400)
-SELECT t.ins_code, t.trade_date, t.close_price, t.volume,
-  coalesce(f.ind_buy_value, 0)::BIGINT AS ind_buy_value,
-  coalesce(f.inst_sell_value, 0)::BIGINT AS inst_sell_value,
-  coalesce(f.ind_sell_count, 0)::BIGINT AS ind_sell_count
+SELECT t.ins_code, t.trade_date, t.close_price, t.volume, t.value, t.trade_count,
+  coalesce(f.ind_buy_value, 0)::BIGINT AS ind_buy_value, coalesce(f.ind_sell_value, 0)::BIGINT AS ind_sell_value,
+  coalesce(f.inst_buy_value, 0)::BIGINT AS inst_buy_value, coalesce(f.inst_sell_value, 0)::BIGINT AS inst_sell_value,
+  coalesce(f.ind_buy_count, 0)::BIGINT AS ind_buy_count, coalesce(f.ind_sell_count, 0)::BIGINT AS ind_sell_count
 FROM top t LEFT JOIN brand_flows f ON f.ins_code = t.ins_code AND f.trade_date = t.trade_date""",
 )
 def history_merge_topn(spark, d):
@@ -284,8 +284,31 @@ def history_merge_topn(spark, d):
     )
     merged = merge_history(prices.drop("trade_date"), flows, days=400)
     return merged.select(
-        "ins_code", "trade_date", "close_price", "volume", "ind_buy_value", "inst_sell_value",
-        "ind_sell_count",
+        "ins_code", "trade_date", "close_price", "volume", "value", "trade_count", "ind_buy_value",
+        "ind_sell_value", "inst_buy_value", "inst_sell_value", "ind_buy_count", "ind_sell_count",
     )
 
 
+@query(
+    "history_rows",
+    f"""WITH {BRAND_PRICES}, {BRAND_FLOWS},
+top AS (SELECT * FROM brand_prices
+  QUALIFY row_number() OVER (PARTITION BY ins_code ORDER BY trade_date DESC) <= 30)
+SELECT t.trade_date, t.ins_code, 0::BIGINT AS open_price, 0::BIGINT AS high_price, 0::BIGINT AS low_price, t.close_price,
+  0::BIGINT AS last_price, 0::BIGINT AS prev_close, t.volume, t.value, t.trade_count,
+  coalesce(f.ind_buy_value, 0)::BIGINT AS ind_buy_value, coalesce(f.ind_sell_value, 0)::BIGINT AS ind_sell_value,
+  coalesce(f.inst_buy_value, 0)::BIGINT AS inst_buy_value, coalesce(f.inst_sell_value, 0)::BIGINT AS inst_sell_value,
+  TIMESTAMP '2024-02-01 08:00:00' AS updated_at
+FROM top t LEFT JOIN brand_flows f ON f.ins_code = t.ins_code AND f.trade_date = t.trade_date""",
+)
+def history_rows_(spark, d):
+    """The stored history of one sync: the newest days of each fund, in the stored columns."""
+    deven = F.date_format("trade_date", "yyyyMMdd").cast("long")
+    zero = F.lit(0).cast("long")
+    prices = px.brand_prices(spark, d).withColumns({"deven": deven, "position": F.lit(0)})
+    prices = prices.withColumns({c: zero for c in ("open_price", "high_price", "low_price", "last_price", "prev_close")})
+    flows = px.brand_flows(spark, d).withColumns({"deven": deven, "position": F.lit(0)})
+    flows = flows.withColumns({c: zero for c in FLOW_COLUMNS if c not in flows.columns})
+    rows = history_rows(prices.drop("trade_date"), flows, 30, "2024-02-01 08:00:00")
+    unset = [c for c in FLOW_COLUMNS if c.endswith(("volume", "count"))]
+    return rows.drop(*unset)

@@ -9,7 +9,7 @@ from navpulse.catalog.base_sql import EV, ticks
 from navpulse.functions import flags as fl
 from navpulse.plans import quality
 from navpulse.plans.ticks import expected_rows, missing_funds, universe_on_days
-from navpulse.plans.validate import Validated, frozen_feed, validate
+from navpulse.plans.validate import COUNTERS, Validated, frozen_feed, validate
 from navpulse.session import freeze
 from navpulse.settings import ValidationLimits
 
@@ -52,7 +52,7 @@ def stored_feed(spark, d) -> DataFrame:
 
 def validated(spark, d) -> Validated:
     feed = stored_feed(spark, d)
-    return validate(feed, expected_of(feed), px.HOURS, px.feed_calendar(spark))
+    return validate(feed, expected_of(feed), px.HOURS, px.feed_calendar(spark, d))
 
 
 def fresh(spark, d) -> DataFrame:
@@ -74,14 +74,15 @@ p AS (SELECT *, {PREV_MAX.format("volume")} AS pv, {PREV_MAX.format("value")} AS
     {PREV_MAX.format("inst_sell_volume")} AS p4 FROM ticks)
 SELECT ins_code, ts, greatest(volume, pv) AS volume, greatest(value, pa) AS value,
   greatest(trade_count, pt) AS trade_count, greatest(ind_buy_volume, p1) AS ind_buy_volume,
-  greatest(inst_buy_volume, p3) AS inst_buy_volume,
+  greatest(ind_sell_volume, p2) AS ind_sell_volume, greatest(inst_buy_volume, p3) AS inst_buy_volume,
+  greatest(inst_sell_volume, p4) AS inst_sell_volume,
   coalesce(volume < pv OR value < pa OR trade_count < pt OR ind_buy_volume < p1
     OR ind_sell_volume < p2 OR inst_buy_volume < p3 OR inst_sell_volume < p4, false) AS flagged
 FROM p""",
 )
 def validate_counters(spark, d):
     return fresh(spark, d).select(
-        "ins_code", "ts", "volume", "value", "trade_count", "ind_buy_volume", "inst_buy_volume",
+        "ins_code", "ts", *COUNTERS,
         fl.has_flag("quality_flags", fl.CUMULATIVE_DECREASE).alias("flagged"),
     )
 
@@ -237,12 +238,21 @@ def validate_issue_counts(spark, d):
 @query(
     "gap_fill",
     f"""
-WITH {TICKS}, {GRID}
-SELECT ins_code, unnest(gap) AS ts FROM gaps WHERE len(gap) BETWEEN 1 AND 30
-UNION ALL SELECT ins_code, ts FROM placed WHERE fills""",
+WITH {TICKS}, {GRID},
+added AS (SELECT ins_code, unnest(gap) AS ts FROM gaps WHERE len(gap) BETWEEN 1 AND 30
+  UNION ALL SELECT ins_code, ts FROM placed WHERE fills),
+held AS (SELECT ins_code, day, ts, max(volume) OVER w AS volume, max(value) OVER w AS value,
+    max(trade_count) OVER w AS trade_count, open_price, prev_close
+  FROM ticks WINDOW w AS (PARTITION BY ins_code, day ORDER BY ts))
+SELECT a.ins_code, a.ts, h.volume, h.value, h.trade_count, h.open_price, h.prev_close, true AS marked
+FROM added a ASOF JOIN held h ON h.ins_code = a.ins_code AND h.ts < a.ts""",
 )
 def gap_fill(spark, d):
-    return validated(spark, d).ticks.filter("filled").select("ins_code", "ts")
+    """Added rows with what they carry on from the fund's last row."""
+    return validated(spark, d).ticks.filter("filled").select(
+        "ins_code", "ts", "volume", "value", "trade_count", "open_price", "prev_close",
+        fl.has_flag("quality_flags", fl.FORWARD_FILLED).alias("marked"),
+    )
 
 
 @query(
@@ -294,6 +304,23 @@ def frozen_feed_(spark, d):
     return frozen_feed(cycles, ValidationLimits()).drop("day")
 
 
+@query(
+    "validate_stale",
+    f"""
+WITH {TICKS},
+c AS (SELECT ts, CAST(ts AS DATE) AS day, max(hour(ts) * 10000 + (minute(ts) // 10) * 1000) AS heven FROM ev GROUP BY ts),
+j AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY ts)
+    - row_number() OVER (PARTITION BY day, heven ORDER BY ts) AS island FROM c WHERE heven > 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY day, heven, island ORDER BY ts) > 3 AS stale FROM j)
+SELECT ins_code, t.ts, coalesce(stale, false) AS flagged FROM ticks t LEFT JOIN n ON n.ts = t.ts""",
+)
+def validate_stale(spark, d):
+    """Every row of a cycle whose feed time has not moved carries the mark."""
+    return fresh(spark, d).select(
+        "ins_code", "ts", fl.has_flag("quality_flags", fl.STALE_QUOTE).alias("flagged")
+    )
+
+
 @query(
     "cycle_counters",
     f"""

@@ -116,3 +116,18 @@ def test_interpolation_is_clamped(spark):
     asked = spark.createDataFrame([(-5.0,), (0.0,), (5.0,), (10.0,), (15.0,), (99.0,)], "q double")
     got = {r.q: r.y for r in interpolate(asked, "q", points).collect()}
     assert got == {-5.0: 1.0, 0.0: 1.0, 5.0: 1.5, 10.0: 2.0, 15.0: 4.0, 99.0: 6.0}
+
+
+def test_ranks_of_a_group_too_large_to_order(spark):
+    """Most values lie inside the bracket; they are narrowed by slices until few are left."""
+    rows = spark.range(60_000).selectExpr(
+        "IF(id % 3 = 0, 'a', 'b') AS k", "IF(id < 50, id, 1000 + (id * 7919) % 60000 / 600000.0D) AS v"
+    )
+    n = F.col("n")
+    got = values_at_ranks(rows, ["k"], "v", 0.5, {"lo": F.floor((n + 1) / 2), "hi": F.floor(n / 2) + 1}, ordered=20)
+    by_key = {}
+    for r in rows.collect():
+        by_key.setdefault(r.k, []).append(r.v)
+    for r in got.collect():
+        values = sorted(by_key[r.k])
+        assert (r.n, r.lo, r.hi) == (len(values), values[(len(values) + 1) // 2 - 1], values[len(values) // 2])
