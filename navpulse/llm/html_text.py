@@ -3,17 +3,17 @@
 A lenient reader turns a page into blocks of text, each with the element subtrees it lies
 in; what an element itself says it is (navigation, form, script, advert, comments ...) is
 left out there. Every element subtree around a block has a hash over its tags and text.
-Spark counts, per host, the pages on which a hash occurs, combining in each task before
-the shuffle; subtrees found on many pages of a host are its template and are deleted.
+Spark counts, per host, the different pages on which a hash occurs, combining in each task
+before the shuffle; subtrees found on many pages of a host are its template and are deleted.
+Pages with the same blocks are copies and count once, whatever their page_id.
 
 An article (or main element) is content: only boxes inside it that are not plain text
 blocks can be template. A page with an article keeps nothing else; without one, the whole
 body is read. Character references are decoded, white space in a block becomes one space,
 blocks join in page order by one newline. Nothing is capped.
 
-Null and empty html give an empty text. Rows that repeat are extracted each, and count as
-one page each for the template only if their page_id differs. A null url belongs to the
-host ''. An empty table gives no rows.
+Null and empty html give an empty text. Rows that repeat are extracted each. A null url
+belongs to the host ''. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -176,8 +176,13 @@ def read(page: str) -> list[tuple[str, bool, list[int]]]:
     return out
 
 
+def content(blocks: list[tuple[str, bool, list[int]]]) -> int:
+    """Hash of the texts of a page, equal for copies."""
+    return xxhash.xxh64("\n".join(t for t, _, _ in blocks)).intdigest() - (1 << 63)
+
+
 def block_rows(pages: DataFrame) -> DataFrame:
-    """page_id, url, host and the blocks of every page."""
+    """page_id, url, host, the blocks of every page and a hash of their texts."""
     source = pages.select(
         F.col("page_id"),
         F.col("url").cast("string").alias("url"),
@@ -187,30 +192,33 @@ def block_rows(pages: DataFrame) -> DataFrame:
     element = pa.struct([("text", pa.string()), ("article", pa.bool_()), ("trees", pa.list_(pa.int64()))])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [
-            [{"text": t, "article": a, "trees": h} for t, a, h in read(page.as_py())] for page in batch.column("html")
-        ]
+        made, contents = [], []
+        for page in batch.column("html"):
+            blocks = read(page.as_py())
+            made.append([{"text": t, "article": a, "trees": h} for t, a, h in blocks])
+            contents.append(content(blocks))
         return pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(made, pa.list_(element))],
-            ["page_id", "url", "host", "blocks"],
-        )
+            [batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(made, pa.list_(element)),
+             pa.array(contents, pa.int64())],
+            ["page_id", "url", "host", "blocks", "content"],
+        )
 
     kind = source.schema["page_id"].dataType.simpleString()
     blocks = "array<struct<text:string,article:boolean,trees:array<bigint>>>"
-    return map_batches(source, run, f"page_id {kind}, url string, host string, blocks {blocks}")
+    return map_batches(source, run, f"page_id {kind}, url string, host string, blocks {blocks}, content long")
 
 
 def main_text(pages: DataFrame, least_pages: int = 8, least_share: float = 0.2) -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
-    A subtree is template if it is on at least ``least_pages`` pages of its host and on at
-    least ``least_share`` of them.
+    A subtree is template if it is on at least ``least_pages`` different pages of its host
+    and on at least ``least_share`` of them.
     """
     read_pages = freeze(block_rows(pages).withColumn("row", F.monotonically_increasing_id()))
-    trees = read_pages.select("page_id", "row", "host", F.explode(F.array_distinct(F.flatten("blocks.trees"))).alias("tree"))
-    one_each = trees.groupBy("host", "tree", "page_id").agg(F.lit(1).alias("one"))
+    trees = read_pages.select("content", "row", "host", F.explode(F.array_distinct(F.flatten("blocks.trees"))).alias("tree"))
+    one_each = trees.groupBy("host", "tree", "content").agg(F.lit(1).alias("one"))
     seen = one_each.groupBy("host", "tree").agg(F.count("*").alias("on"))
-    hosts = read_pages.groupBy("host").agg(F.countDistinct("page_id").alias("of"))
+    hosts = read_pages.groupBy("host").agg(F.countDistinct("content").alias("of"))
     template = seen.where(F.col("on") >= least_pages).join(hosts, "host")
     template = template.where(F.col("on") >= least_share * F.col("of")).select("host", "tree")
     deleted = trees.join(template, ["host", "tree"]).groupBy(F.col("row").alias("of_row"))

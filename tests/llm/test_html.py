@@ -48,3 +48,19 @@ def test_recurring_subtrees_of_a_host_go(spark):
     assert got[104] == "Same words\nOnly 4"
     assert got[200] == got[201] == ""
     assert H.main_text(df.where("false")).collect() == []
+
+
+def texts_of(spark, rows: list[tuple[int, str, str]]) -> dict[int, str]:
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in H.main_text(df).collect()}
+
+
+def test_copies_of_a_page_count_once(spark):
+    bare = "<body><div><p>Story of {n}</p><p>And its end {n}</p></div></body>"
+    boxed = "<article><div class=body><p>Told by {n}</p></div></article>"
+    rows = [(n, "http://half.example/", bare.format(n=0)) for n in range(15)]
+    rows += [(n, "http://half.example/", bare.format(n=n)) for n in range(15, 30)]
+    rows += [(n, "http://boxed.example/", boxed.format(n=1)) for n in range(100, 112)]
+    got = texts_of(spark, rows)
+    assert got[3] == "Story of 0\nAnd its end 0" and got[20] == "Story of 20\nAnd its end 20"
+    assert got[105] == "Told by 1"
