@@ -208,19 +208,17 @@ def block_rows(pages: DataFrame) -> DataFrame:
     return map_batches(source, run, f"page_id {kind}, url string, host string, blocks {blocks}, content long")
 
 
-def main_text(pages: DataFrame, least_pages: int = 8, least_share: float = 0.2) -> DataFrame:
+def main_text(pages: DataFrame, least_pages: int = 4) -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
-    A subtree is template if it is on at least ``least_pages`` different pages of its host
-    and on at least ``least_share`` of them.
+    A subtree is template if it is on at least ``least_pages`` different pages of its host,
+    however many the host has.
     """
     read_pages = freeze(block_rows(pages).withColumn("row", F.monotonically_increasing_id()))
     trees = read_pages.select("content", "row", "host", F.explode(F.array_distinct(F.flatten("blocks.trees"))).alias("tree"))
     one_each = trees.groupBy("host", "tree", "content").agg(F.lit(1).alias("one"))
     seen = one_each.groupBy("host", "tree").agg(F.count("*").alias("on"))
-    hosts = read_pages.groupBy("host").agg(F.countDistinct("content").alias("of"))
-    template = seen.where(F.col("on") >= least_pages).join(hosts, "host")
-    template = template.where(F.col("on") >= least_share * F.col("of")).select("host", "tree")
+    template = seen.where(F.col("on") >= least_pages).select("host", "tree")
     deleted = trees.join(template, ["host", "tree"]).groupBy(F.col("row").alias("of_row"))
     deleted = deleted.agg(F.collect_set("tree").alias("gone"))
     # Texts of pages without a subtree that could be template need not move.

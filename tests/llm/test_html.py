@@ -64,3 +64,11 @@ def test_copies_of_a_page_count_once(spark):
     got = texts_of(spark, rows)
     assert got[3] == "Story of 0\nAnd its end 0" and got[20] == "Story of 20\nAnd its end 20"
     assert got[105] == "Told by 1"
+
+
+def test_template_of_small_hosts_and_of_sections(spark):
+    page = "<body><div><p>Part {s}</p><ul><li>Go</li></ul></div><p>Text number {n}</p></body>"
+    rows = [(n, "http://small.example/", page.format(s="one", n=n)) for n in range(4)]
+    rows += [(n, "http://large.example/", page.format(s=n % 40, n=n)) for n in range(1000, 1400)]
+    got = texts_of(spark, rows)
+    assert all(text == f"Text number {n}" for n, text in got.items())
