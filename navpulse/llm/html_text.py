@@ -8,8 +8,9 @@ before the shuffle; subtrees found on many pages of a host are its template and
 Pages with the same blocks are copies and count once, whatever their page_id.
 
 An article (or main element) is content: only boxes inside it that are not plain text
-blocks can be template. A page with an article keeps nothing else; without one, the whole
-body is read. Character references are decoded, white space in a block becomes one space,
+blocks can be template. What lies outside of it is kept unless it is template, as on a page
+without one. Class and id speak by whole words (``sidebar``, ``share-box``; not
+``has-sidebar``), and never for an element that holds an article or main. Character references are decoded, white space in a block becomes one space,
 blocks join in page order by one newline. Nothing is capped.
 
 Null and empty html give an empty text. Rows that repeat are extracted each. A null url
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
@@ -31,6 +33,7 @@ from navpulse.llm.common import freeze, map_batches
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp template svg math".split())
 PARTS = frozenset("head nav footer header aside form dialog menu fieldset".split())
+WRAPS = frozenset({"form", "fieldset"})  # some sites put the whole page into one
 SILENT = RAW | PARTS - {"header"} | frozenset("button select option object canvas audio video label input".split())
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th caption figcaption address summary".split())
 BLOCKS = TEXT_BLOCKS | frozenset(
@@ -42,11 +45,14 @@ CLOSED_BY = {
 }
 KEEPS_OPEN = {"li": frozenset({"ul", "ol"}), "dt": frozenset({"dl"}), "dd": frozenset({"dl"}),
               "tr": frozenset({"table"}), "td": frozenset({"table"}), "th": frozenset({"table"})}
-UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|comments?|disqus|replies|"
+NAMES = (
+    r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|comments?|disqus|replies|"
     r"sidebar|side-bar|nav|navbar|navigation|menu|breadcrumbs?|footer|masthead|share|sharing|social|related|"
     r"recommend\w*|newsletter|subscribe|subscription|signup|login|popup|modal|toolbar|pager|pagination|widget|skip-link)"
-    r"(?:$|[\s_-])",
+)
+#: A whole class or id of such words, and of words for a box after the first.
+UNWANTED = re.compile(
+    rf"(?:^|\s){NAMES}(?:[_-]+(?:{NAMES}|box|bar|block|body|list|items?|links?|buttons?|area|section|slot|unit|form|text|\d+))*(?:$|\s)",
     re.I,
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
@@ -60,70 +66,93 @@ ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:
 HOST = r"(?i)^\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 
 
-def silent(tag: str, attributes: str, in_article: bool) -> bool:
+#: How an element says that it is no main text: not at all, unless it holds an article, in any case.
+NOT, UNLESS, ALWAYS = 0, 1, 2
+
+
+def named(attributes: str) -> bool:
+    """Does the class or id name a part of a page that is no main text?"""
+    return any(n.lower() in ("class", "id") and UNWANTED.search("".join(v)) for n, *v in ATTRIBUTE.findall(attributes))
+
+
+def silent(tag: str, attributes: str, in_article: bool) -> int:
     """Does the element itself say that it is no main text?"""
-    if tag in SILENT or tag == "header" and not in_article:
-        return True
+    if tag in WRAPS or tag == "header" and not in_article:
+        return UNLESS
+    if tag in SILENT:
+        return ALWAYS
     if "=" not in attributes and "hidden" not in attributes.lower():
-        return False
+        return NOT
     if tag in ("html", "body", "article", "main"):
-        return False
+        return NOT
+    says = UNLESS if named(attributes) else NOT
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
-        if name in ("class", "id") and UNWANTED.search(value):
-            return True
         if name == "role" and value.lower() in ROLES:
-            return True
+            says = max(says, UNLESS)
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-    return False
+            says = ALWAYS
+    return says
 
 
 class Element:
-    __slots__ = ("tag", "silent", "digest", "first", "article", "parent")
+    __slots__ = ("tag", "says", "hard", "holds", "silent", "article", "digest", "parent")
 
-    def __init__(self, tag: str, is_silent: bool, first: int, article: bool, parent: Element | None):
-        self.tag, self.silent, self.first, self.article, self.parent = tag, is_silent, first, article, parent
+    def __init__(self, tag: str, says: int, article: bool, parent: Element | None):
+        self.tag, self.says, self.article, self.parent = tag, says, article, parent
+        self.hard = says == ALWAYS or parent is not None and parent.hard
+        self.holds = False  # an article or main
+        self.silent: Element | None = None  # the outermost silent element around, or itself
         self.digest = xxhash.xxh64(tag)
 
+    def path(self, stop: Element | None = None) -> Iterator[Element]:
+        """The element and those around it, up to and with ``stop``."""
+        e = self
+        while e is not None and e.tag:
+            yield e
+            if e is stop:
+                return
+            e = e.parent
 
-def read(page: str) -> list[tuple[str, bool, list[int]]]:
-    """Blocks of a page: text, whether it lies in an article, and hashes of the subtrees around it."""
-    root = Element("", False, 0, False, None)
-    stack, blocks, run = [root], [], []
-    hashes: dict[int, int] = {}  # element, by id, to the hash of its subtree once it has ended
-    paths: list[list[Element]] = []
+
+def dropped(top: Element) -> bool:
+    """Is text at this place inside a silent element within a line?"""
+    for e in top.path():
+        if e.tag in BLOCKS:
+            return False
+        if e.says == ALWAYS or e.says == UNLESS and not e.holds:
+            return True
+    return False
+
+
+def parsed(page: str) -> list[tuple[str, bool, bool, list[int]]]:
+    """Blocks of a page: text, whether it lies in an article, whether in a silent element, and hashes of the subtrees around it."""
+    root = Element("", NOT, False, None)
+    stack, elements, run = [root], [root], []
+    blocks: list[tuple[str, Element]] = []
+    events: list[tuple[str, Element]] = []  # texts and ends of elements, in page order
 
     def flush() -> None:
         if run:
             text = " ".join(html.unescape("".join(run)).split())
             run.clear()
             if text:
-                top = stack[-1]
-                path, e = [], top
-                while e is not None and e.tag:
-                    path.append(e)
-                    e = e.parent
-                for e in path:
-                    e.digest.update("\n" + text)
-                blocks.append((text, top.article))
-                paths.append(path)
+                blocks.append((text, stack[-1]))
+                events.append(("\n" + text, stack[-1]))
 
     def end(count: int) -> None:
         for _ in range(count):
             e = stack.pop()
-            for around in stack[1:]:
-                around.digest.update("/" + e.tag)
+            events.append(("/" + e.tag, e))
 
     position, n = 0, len(page)
     while position < n:
         m = TAG.search(page, position)
+        stop = n if m is None else m.start()
+        if stop > position and not dropped(stack[-1]):
+            run.append(page[position:stop])
         if m is None:
-            if not stack[-1].silent:
-                run.append(page[position:])
             break
-        if not stack[-1].silent and m.start() > position:
-            run.append(page[position : m.start()])
         position = m.end()
         closing, tag, attributes = m[1], m[2], m[3]
         if tag is None:
@@ -159,23 +188,44 @@ def read(page: str) -> list[tuple[str, bool, list[int]]]:
         if attributes.endswith("/") and tag not in BLOCKS:
             continue
         top = stack[-1]
-        article = top.article or tag in ("article", "main")
-        stack.append(Element(tag, top.silent or silent(tag, attributes, top.article), len(blocks), article, top))
+        # An article that is a comment or advert by its own words says nothing of what is around.
+        if not top.hard and (tag == "main" or tag == "article" and not named(attributes)):
+            for e in top.path():
+                if e.holds:
+                    break
+                e.holds = True
+        stack.append(Element(tag, silent(tag, attributes, top.article), top.article or tag in ("article", "main"), top))
+        elements.append(stack[-1])
     flush()
     end(len(stack) - 1)
+    for e in elements[1:]:
+        e.silent = e.parent.silent or (e if e.says == ALWAYS or e.says == UNLESS and not e.holds else None)
+    # What is silent is part of its own subtrees, not of those around it.
+    for what, e in events:
+        for around in e.path(e.silent):
+            if what[0] == "\n" or around is not e:
+                around.digest.update(what)
+    hashes: dict[int, int] = {}  # element, by id, to the hash of its subtree
     out = []
-    for (text, article), path in zip(blocks, paths):
+    for text, top in blocks:
+        path = list(top.path(top.silent))
         # In an article, plain text is never template; neither are the article and the frame of the page.
         around = [e for e in path if e.tag not in ("html", "body", "article", "main")]
-        if article:
+        if top.article and not top.silent:
             inner = path[: next(k for k, e in enumerate(path) if e.tag in ("article", "main"))]
             around = [e for e in inner if e.tag in BLOCKS and e.tag not in TEXT_BLOCKS]
         for e in around:
-            hashes.setdefault(id(e), e.digest.intdigest() - (1 << 63))
-        out.append((text, article, [hashes[id(e)] for e in around]))
+            if id(e) not in hashes:
+                hashes[id(e)] = e.digest.intdigest() - (1 << 63)
+        out.append((text, top.article, top.silent is not None, [hashes[id(e)] for e in around]))
     return out
 
 
+def read(page: str) -> list[tuple[str, bool, list[int]]]:
+    """Blocks of a page that are not silent: text, whether it lies in an article, and hashes of the subtrees around it."""
+    return [(text, article, trees) for text, article, quiet, trees in parsed(page) if not quiet]
+
+
 def content(blocks: list[tuple[str, bool, list[int]]]) -> int:
     """Hash of the texts of a page, equal for copies."""
     return xxhash.xxh64("\n".join(t for t, _, _ in blocks)).intdigest() - (1 << 63)
@@ -228,9 +278,6 @@ def main_text(pages: DataFrame, least_pages: int = 4) -> DataFrame:
     some = read_pages.where(could)
     some = some.join(deleted, some["row"] == deleted["of_row"], "left").drop("of_row")
     joined = whole.unionByName(some.withColumn("gone", F.coalesce("gone", none)))
-    has_article = F.exists("blocks", lambda b: b["article"])
-    kept = F.filter(
-        "blocks", lambda b: (b["article"] | ~has_article) & ~F.arrays_overlap(b["trees"], F.col("gone"))
-    )
+    kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["trees"], F.col("gone")))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

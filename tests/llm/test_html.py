@@ -72,3 +72,21 @@ def test_template_of_small_hosts_and_of_sections(spark):
     rows += [(n, "http://large.example/", page.format(s=n % 40, n=n)) for n in range(1000, 1400)]
     got = texts_of(spark, rows)
     assert all(text == f"Text number {n}" for n, text in got.items())
+
+
+def test_text_outside_an_article_stays():
+    assert one("<div class=story><p>Story</p></div><article><h3>Teaser</h3></article>") == "Story\nTeaser"
+    for name in ("has-sidebar", "layout no-sidebar", "with-widget", "main-nav-wrapper"):
+        assert one(f"<div class='{name}' id='{name}'><p>Own</p></div>") == "Own", name
+    for name in ("sidebar", "layout nav", "widget"):
+        assert one(f"<div class='{name}'><p>Own</p></div>") == "", name
+        assert one(f"<div class='{name}'><p>Before</p><main><p>Own</p></main></div>") == "Before\nOwn", name
+    assert one("<form><div class=menu>Go</div><article>Own</article></form>") == "Own"
+    assert one("<article>Own</article><div id=comments><article class=comment-body>Nice</article></div>") == "Own"
+    assert one("<aside class=related><article>Card</article></aside><p>Own</p>") == "Own"
+
+
+def test_boxes_outside_an_article_are_judged_by_recurrence(spark):
+    page = "<div><p>Call us</p></div><div class=story><p>Story {n}</p></div><article><p>Card {n}</p></article>"
+    got = texts_of(spark, [(n, "http://mixed.example/", page.format(n=n)) for n in range(6)])
+    assert all(text == f"Story {n}\nCard {n}" for n, text in got.items())
