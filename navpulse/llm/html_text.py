@@ -1,8 +1,9 @@
 """Main text of web pages by site template removal.
 
 A lenient reader turns a page into blocks of text, each with the element subtrees it lies
-in; what an element itself says it is (navigation, form, script, advert, comments ...) is
-left out there. Every element subtree around a block has a hash over its tags and text.
+in. Every element subtree around a block has a hash over its tags and text, navigation,
+footers, forms and adverts included. In addition, blocks go by what an element itself says
+it is (navigation, form, advert, comments ...), recurring or not; scripts are no text.
 Spark counts, per host, the different pages on which a hash occurs, combining in each task
 before the shuffle; subtrees found on many pages of a host are its template and are deleted.
 Pages with the same blocks are copies and count once, whatever their page_id.
@@ -226,27 +227,26 @@ def read(page: str) -> list[tuple[str, bool, list[int]]]:
     return [(text, article, trees) for text, article, quiet, trees in parsed(page) if not quiet]
 
 
-def content(blocks: list[tuple[str, bool, list[int]]]) -> int:
-    """Hash of the texts of a page, equal for copies."""
-    return xxhash.xxh64("\n".join(t for t, _, _ in blocks)).intdigest() - (1 << 63)
+def block_rows(pages: DataFrame, lists: bool = True) -> DataFrame:
+    """page_id, url, host, the blocks of every page and a hash of its texts, equal for copies.
 
-
-def block_rows(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, the blocks of every page and a hash of their texts."""
+    With ``lists``, silent blocks have no text and are no part of the hash.
+    """
     source = pages.select(
         F.col("page_id"),
         F.col("url").cast("string").alias("url"),
         F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)).alias("host"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
     )
-    element = pa.struct([("text", pa.string()), ("article", pa.bool_()), ("trees", pa.list_(pa.int64()))])
+    element = pa.struct([("text", pa.string()), ("trees", pa.list_(pa.int64()))])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         made, contents = [], []
         for page in batch.column("html"):
-            blocks = read(page.as_py())
-            made.append([{"text": t, "article": a, "trees": h} for t, a, h in blocks])
-            contents.append(content(blocks))
+            blocks = [(None if quiet and lists else text, trees) for text, _, quiet, trees in parsed(page.as_py())]
+            made.append([{"text": text, "trees": trees} for text, trees in blocks])
+            whole = xxhash.xxh64("\n".join(text for text, _ in blocks if text is not None))
+            contents.append(whole.intdigest() - (1 << 63))
         return pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(made, pa.list_(element)),
              pa.array(contents, pa.int64())],
@@ -254,21 +254,24 @@ def block_rows(pages: DataFrame) -> DataFrame:
         )
 
     kind = source.schema["page_id"].dataType.simpleString()
-    blocks = "array<struct<text:string,article:boolean,trees:array<bigint>>>"
+    blocks = "array<struct<text:string,trees:array<bigint>>>"
     return map_batches(source, run, f"page_id {kind}, url string, host string, blocks {blocks}, content long")
 
 
-def main_text(pages: DataFrame, least_pages: int = 4) -> DataFrame:
+def main_text(pages: DataFrame, least_pages: int = 4, lists: bool = True) -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
     A subtree is template if it is on at least ``least_pages`` different pages of its host,
-    however many the host has.
+    however many the host has. Without ``lists``, recurrence alone deletes.
     """
-    read_pages = freeze(block_rows(pages).withColumn("row", F.monotonically_increasing_id()))
-    trees = read_pages.select("content", "row", "host", F.explode(F.array_distinct(F.flatten("blocks.trees"))).alias("tree"))
-    one_each = trees.groupBy("host", "tree", "content").agg(F.lit(1).alias("one"))
+    read_pages = freeze(block_rows(pages, lists).withColumn("row", F.monotonically_increasing_id()))
+    own = F.filter("blocks", lambda b: b["text"].isNotNull())
+    every = F.explode(F.array_distinct(F.flatten("blocks.trees"))).alias("tree")
+    one_each = read_pages.select("host", "content", every).groupBy("host", "tree", "content").agg(F.lit(1).alias("one"))
     seen = one_each.groupBy("host", "tree").agg(F.count("*").alias("on"))
     template = seen.where(F.col("on") >= least_pages).select("host", "tree")
+    read_pages = read_pages.select("page_id", "url", "host", "row", own.alias("blocks"))
+    trees = read_pages.select("row", "host", every)
     deleted = trees.join(template, ["host", "tree"]).groupBy(F.col("row").alias("of_row"))
     deleted = deleted.agg(F.collect_set("tree").alias("gone"))
     # Texts of pages without a subtree that could be template need not move.

@@ -90,3 +90,15 @@ def test_boxes_outside_an_article_are_judged_by_recurrence(spark):
     page = "<div><p>Call us</p></div><div class=story><p>Story {n}</p></div><article><p>Card {n}</p></article>"
     got = texts_of(spark, [(n, "http://mixed.example/", page.format(n=n)) for n in range(6)])
     assert all(text == f"Story {n}\nCard {n}" for n, text in got.items())
+
+
+def test_navigation_and_adverts_are_counted_too(spark):
+    page = """<nav><ul><li>Home</li><li>News</li></ul></nav><div class=ad>Buy</div>{more}
+    <article><p>Story {n}</p></article><footer>Site</footer>"""
+    rows = [(n, "http://a.example/", page.format(n=n, more="")) for n in range(4)]
+    rows += [(9, "http://a.example/", page.format(n=9, more="<div><ul><li>Home</li></ul><p>Own</p></div>"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    alone = {r["page_id"]: r["text"] for r in H.main_text(df, lists=False).collect()}
+    assert alone == {n: f"Story {n}" for n in range(4)} | {9: "Own\nStory 9"}
+    assert texts_of(spark, rows) == alone
+    assert [quiet for _, _, quiet, trees in H.parsed(rows[0][2]) if trees] == [True] * 4
