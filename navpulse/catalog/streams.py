@@ -78,12 +78,12 @@ def stream_late_rows(spark, d):
     share = F.pmod(F.xxhash64(F.date_trunc("hour", "ts")), F.lit(50))
     third = F.least(F.lit(2), F.floor((F.dayofyear("ts") - 1) / 10).cast("int"))
     quarter = F.when(share == 0, 3).otherwise(third)
-    for n in range(4):
-        part = events.withColumn("_n", quarter).filter(F.col("_n") == n).drop("_n")
-        part.coalesce(1).write.mode("append").parquet(f"{work}/in/part={n}")
-    files = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/in/part=*")
     job = pipeline.TickValidation(f"{work}/out", px.HOURS, px.feed_calendar(spark, d), expected_of)
-    job.start(px.project_ticks(px.project_events(files), "event_type"), f"{work}/checkpoint").awaitTermination()
+    for n in range(4):  # a run reads what came since the one before, in as many files as it has
+        part = events.withColumn("_n", quarter).filter(F.col("_n") == n).drop("_n")
+        part.write.mode("append").parquet(f"{work}/in/part={n}")
+        files = spark.readStream.schema(events.schema).parquet(f"{work}/in/part=*")
+        job.start(px.project_ticks(px.project_events(files), "event_type"), f"{work}/checkpoint").awaitTermination()
     ticks = job.read(spark, "ticks").filter(~F.col("filled"))
     return ticks.select(
         "ins_code", "ts", *COUNTERS,

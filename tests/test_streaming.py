@@ -127,3 +127,25 @@ def test_windows_take_rows_of_any_lateness(spark, tmp_path):
         job(spark.createDataFrame(part, schema), n)
     want = sliding_ratio(spark.createDataFrame(rows, schema), "fetched_at", F.col("status_code") != 200)
     assert rows_of(job.read(spark), want.columns) == rows_of(want, want.columns)
+
+
+def test_late_row_parts_keep_their_files(spark, tmp_path, monkeypatch):
+    from navpulse.catalog import streams
+    from test_catalog import FOLDER
+
+    if not Path(FOLDER).exists():
+        pytest.skip("no test tables here")
+    for file in Path(FOLDER).glob("*.parquet"):
+        if file.name != "events.parquet":
+            (tmp_path / file.name).symlink_to(file)
+    spark.read.parquet(f"{FOLDER}/events.parquet").repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(streams, "scratch_path", lambda *_: f"{tmp_path}/work")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    try:
+        streams.stream_late_rows(spark, str(tmp_path)).count()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert {p.name for p in (tmp_path / "work/checkpoint/commits").iterdir() if p.name.isdigit()} == set("0123")
+    for n in range(3):
+        assert len(list((tmp_path / f"work/in/part={n}").glob("*.parquet"))) > 1
