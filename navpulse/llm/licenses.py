@@ -3,7 +3,7 @@
 A text is cut into sentences, once with every line break as an end and once with line
 breaks as spaces (blank lines still end one), since a licence may stand on a line of its own or run over many. Each
 sentence is normalised; those that are known licence sentences become identifiers with
-their place. The identifiers of a text, in order, are matched against ordered rules: a
+their place. Some known sentences have slots for a holder, a project or a work. The identifiers of a text, in order, are matched against ordered rules: a
 rule holds if its identifiers follow each other with at most ``gap`` known sentences
 between two of them. Longer rules come first, and a sentence serves one rule only, so the
 text of a licence is not reported again by the shorter notices it contains.
@@ -63,6 +63,51 @@ SENTENCES = {
     "cc-by-sa-long": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "cc-by-nc-long": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
     "reserved": "All rights reserved",
+    "lgpl21-free": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "lgpl21-version": "either version 2.1 of the License, or (at your option) any later version",
+    "lgpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "lgpl-details": "See the GNU Lesser General Public License for more details",
+    "agpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "agpl-details": "See the GNU Affero General Public License for more details",
+    "epl1-header": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0",
+    "epl2-header": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "lgpl21-licensed": "Licensed under the GNU Lesser General Public License, version 2.1",
+    "lgpl3-licensed": "Licensed under the GNU Lesser General Public License, version 3",
+    "agpl3-licensed": "Licensed under the GNU Affero General Public License, version 3",
+    "epl2-licensed": "Licensed under the Eclipse Public License 2.0",
+    "zlib-licensed": "Licensed under the zlib License",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "zlib-origin": "The origin of this software must not be misrepresented",
+    "zlib-altered": "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software",
+    "zlib-notice": "This notice may not be removed or altered from any source distribution",
+}
+# Words of known sentences that differ from text to text, {} standing for 1 to 12 words.
+SLOTS = {
+    "bsd-endorse": (
+        "Neither the name of {} nor the names of {} may be used to endorse or promote products derived from this software without specific prior written permission",
+        "Neither the name of {} nor the names of {} may be used to endorse or promote products derived from this software without specific written permission",
+        "Neither the names of {} nor the names of {} may be used to endorse or promote products derived from this software without specific prior written permission",
+        "The name of {} may not be used to endorse or promote products derived from this software without specific prior written permission",
+        "The names of {} may not be used to endorse or promote products derived from this software without specific prior written permission",
+    ),
+    "epl1-header": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution {}",),
+    "epl2-header": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which {}",),
+    "mit-project": ("{} is licensed under the MIT License",),
+    "mit-name": ("{} is released under the MIT License",),
+    "apache-name": ("{} is licensed under the Apache License, Version 2.0", "{} is released under the Apache License, Version 2.0"),
+    "gpl3-name": ("{} is licensed under the GNU General Public License, version 3",),
+    "lgpl21-licensed": ("{} is licensed under the GNU Lesser General Public License, version 2.1",),
+    "lgpl3-licensed": ("{} is licensed under the GNU Lesser General Public License, version 3",),
+    "agpl3-licensed": ("{} is licensed under the GNU Affero General Public License, version 3",),
+    "epl2-licensed": ("{} is licensed under the Eclipse Public License 2.0",),
+    "zlib-licensed": ("{} is licensed under the zlib License",),
+    "gpl-free": ("{} is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",),
+    "gpl2-free": ("{} is free software",),
+    "gpl-hope": ("{} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",),
+    "lgpl3-free": ("{} is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",),
+    "agpl3-free": ("{} is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",),
+    "cc0": ("To the extent possible under law, {} has waived all copyright and related or neighboring rights to {}",),
 }
 # Rules, each a licence and the sentences that make it up, in their order.
 RULES = (
@@ -70,6 +115,11 @@ RULES = (
     ("Apache-2.0", ("apache-header", "apache-comply", "apache-copy", "apache-limits")),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-hope", "gpl-implied", "gpl-details")),
     ("GPL-2.0-or-later", ("gpl2-free", "gpl2-terms", "gpl2-version", "gpl-hope", "gpl-implied", "gpl-details")),
+    ("LGPL-2.1-or-later", ("gpl2-free", "lgpl21-free", "lgpl21-version", "gpl-hope", "gpl-implied", "lgpl-details")),
+    ("LGPL-2.1-or-later", ("gpl2-free", "lgpl21-free", "lgpl21-version")),
+    ("LGPL-3.0-or-later", ("lgpl3-free", "gpl-hope", "gpl-implied", "lgpl-details")),
+    ("AGPL-3.0-or-later", ("agpl3-free", "gpl-hope", "gpl-implied", "agpl-details")),
+    ("Zlib", ("zlib-as-is", "zlib-grant", "zlib-origin", "zlib-altered", "zlib-notice")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("ISC", ("isc-grant",)),
@@ -85,6 +135,15 @@ RULES = (
     ("GPL-3.0-only", ("gpl3-name",)),
     ("GPL-3.0-only", ("gpl3-licensed",)),
     ("GPL-3.0-or-later", ("gpl-free",)),
+    ("LGPL-3.0-or-later", ("lgpl3-free",)),
+    ("AGPL-3.0-or-later", ("agpl3-free",)),
+    ("LGPL-2.1-only", ("lgpl21-licensed",)),
+    ("LGPL-3.0-only", ("lgpl3-licensed",)),
+    ("AGPL-3.0-only", ("agpl3-licensed",)),
+    ("EPL-1.0", ("epl1-header",)),
+    ("EPL-2.0", ("epl2-header",)),
+    ("EPL-2.0", ("epl2-licensed",)),
+    ("Zlib", ("zlib-licensed",)),
     ("CC-BY-4.0", ("cc-by",)),
     ("CC-BY-SA-4.0", ("cc-by-sa",)),
     ("CC-BY-NC-4.0", ("cc-by-nc",)),
@@ -98,10 +157,16 @@ RULES = (
 )
 #: Every known sentence holds one of these.
 HINT = re.compile(
-    r"licen[sc]|permi|warrant|redistribut|copyright|free\s+software|public\s+domain|rights\s+reserved|merchantab|version\s+2", re.I
+    r"licen[sc]|permi|warrant|redistribut|copyright|free\s+software|public\s+domain|rights\s+reserved|merchantab|version\s+2"
+    r"|misrepresent|source\s+distribution", re.I
 )
 LINE = re.compile(r"[^\n\r.!?;]+(?:[.!?;]+(?!\s|$)[^\n\r.!?;]*)*")
 RUNNING = re.compile(r"[^.!?;]+(?:[.!?;]+(?!\s|$)[^.!?;]*)*")
+#: As RUNNING, but a company's short form within a sentence does not end it.
+SHORT = re.compile(r"\b(?:Inc|Ltd|Corp|Co)\.\s+[a-z]")
+NAMING = re.compile(
+    r"[^.!?;]+(?:(?:[.!?;]+(?!\s|$)|(?:(?<=\bInc)|(?<=\bLtd)|(?<=\bCorp)|(?<=\bCo))\.(?=\s+[a-z]))[^.!?;]*)*"
+)
 BLANK = re.compile(r"\n[ \t\r]*\n")
 SPDX = re.compile(r"\bspdx license identifier ([a-z0-9][a-z0-9 +-]*)$")
 
@@ -115,28 +180,51 @@ def normalised(sentence: str) -> str:
 
 
 KNOWN = {normalised(s): name for name, s in SENTENCES.items()}
+#: A name is no denial or condition.
+SLOT = r"(?:(?!(?:not?|nor|none|nothing|neither|never|unless|if|whether)\b)\w+)"
+SLOT = rf"{SLOT}(?: {SLOT}){{0,11}}"
+SLOTTED = [
+    (re.compile(" ".join(SLOT if part == "{}" else normalised(part) for part in re.split(r"(\{\})", form) if part.strip())), name)
+    for name, forms in SLOTS.items() for form in forms
+]
+
+
+def identified(words: str) -> str | None:
+    """Identifier of a normalised sentence."""
+    name = KNOWN.get(words)
+    if name is None:
+        name = next((name for form, name in SLOTTED if form.fullmatch(words)), None)
+    if name is None and (own := SPDX.search(words)):
+        name = "spdx:" + own[1].replace(" ", "-")
+    return name
 
 
 def known_sentences(text: str) -> list[tuple[int, int, str]]:
     """(start, end, identifier) of the known sentences, in order; of overlapping ones the longest."""
     if not HINT.search(text) and "spdx" not in text.lower():
         return []
-    found = set()
+    found, open_ended = set(), set()
     breaks = [m.span() for m in BLANK.finditer(text)]
-    paragraphs = zip([0, *[b for _, b in breaks]], [*[a for a, _ in breaks], len(text)])
-    running = chain.from_iterable(RUNNING.finditer(text, a, b) for a, b in paragraphs)
+    paragraphs = list(zip([0, *[b for _, b in breaks]], [*[a for a, _ in breaks], len(text)]))
+    kinds = (RUNNING, NAMING) if SHORT.search(text) else (RUNNING,)
+    running = chain.from_iterable(kind.finditer(text, a, b) for kind in kinds for a, b in paragraphs)
     for cut in (LINE.finditer(text), running):
         for m in cut:
             part = m[0]
             if not HINT.search(part) and "spdx" not in part.lower():
                 continue
             words = normalised(part)
-            name = KNOWN.get(words)
-            if name is None and (own := SPDX.search(words)):
-                name = "spdx:" + own[1].replace(" ", "-")
+            name = identified(words)
             if name is not None:
                 start = m.start() + len(part) - len(part.lstrip())
                 found.add((start, m.start() + len(part.rstrip()), name))
+                if words not in KNOWN:
+                    open_ended.add((start, m.start() + len(part.rstrip()), name))
+    # A slot at the beginning takes no words of the line before.
+    last = {}
+    for start, stop, name in found:
+        last[stop, name] = max(start, last.get((stop, name), 0))
+    found -= {s for s in open_ended if s[0] < last[s[1], s[2]]}
     chosen: list[tuple[int, int, str]] = []
     for start, end, name in sorted(found, key=lambda s: (s[0] - s[1], s)):
         if all(end <= a or start >= b for a, b, _ in chosen):

@@ -54,3 +54,27 @@ def test_scan(spark):
         for x in r["licenses"]:
             assert L.normalised(text[x["start"] : x["end"]]) in L.KNOWN
     assert L.licenses(df.where("false")).collect() == []
+
+
+def test_named_holders_projects_and_further_licences():
+    bsd = [L.SENTENCES[x] + "." for x in ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")]
+    for holder in ("Google Inc.", "the <organization>", "Foo Ltd", "the University of\n    California, Berkeley"):
+        text = "\n".join(bsd).replace("the copyright holder", holder)
+        assert names(text) == ["BSD-3-Clause"], holder
+    assert names("Foo is licensed under the Apache License, Version 2.0.") == ["Apache-2.0"]
+    assert names("Foo is not licensed under the MIT License.") == []
+    assert names("Foo Bar is licensed under the GNU Affero General Public License, version 3.") == ["AGPL-3.0-only"]
+    hope = " is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied\n" \
+        "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU {} General Public License for more details.\n"
+    terms = " you can redistribute it and/or modify it under the\nterms of the GNU {} General Public License as published by" \
+        " the Free Software Foundation{} either version {} of the License, or (at your option) any later version.\n\n"
+    lgpl = "This library is free software;" + terms.format("Lesser", ";", "2.1") + "This library" + hope.format("Lesser")
+    assert names(lgpl) == ["LGPL-2.1-or-later"]
+    for kind, licence in (("Lesser", "LGPL"), ("Affero", "AGPL")):
+        text = "Foo is free software:" + terms.format(kind, ",", "3") + "Foo" + hope.format(kind)
+        assert names(text) == [licence + "-3.0-or-later"]
+    assert names(L.SENTENCES["epl2-header"] + " which is available at https://www.eclipse.org/legal/epl-2.0/") == ["EPL-2.0"]
+    zlib = [L.SENTENCES["zlib-" + x] for x in ("as-is", "grant", "origin", "altered", "notice")]
+    assert names("{}. {}\n\n1. {}; you must not claim.\n2. {}.\n3. {}.".format(*zlib)) == ["Zlib"]
+    text = "Read\nThis work is licensed under the GNU General Public License, version 3.\n"
+    assert [s[0] for s in L.known_sentences(text)] == [5]
