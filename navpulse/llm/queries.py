@@ -11,6 +11,7 @@ from navpulse.llm import (
     exact_dedup,
     html_text,
     licenses,
+    line_dedup,
     packing,
     simhash,
     suffix_dedup,
@@ -120,3 +121,28 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("sentences", ",").alias("sentences"),
         F.size("licenses").cast("long").alias("n_licenses"),
     )
+
+
+@query(
+    "op11_line_dedup",
+    r"""
+    WITH lines AS (
+        SELECT doc_id, i, parts[i] AS line, len(parts) AS n_lines
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+             unnest(range(1, len(parts) + 1)) AS u(i)
+    ), keyed AS (
+        SELECT *, translate(
+            regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+        FROM lines
+    ), many AS (
+        SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+    )
+    SELECT doc_id, any_value(n_lines) AS n_lines, count(m.key) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (m.key IS NULL), '')) AS kept_sha256
+    FROM keyed LEFT JOIN many m USING (key) GROUP BY doc_id
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = line_dedup.line_dedup(table(spark, sf_dir, "documents"), min_documents=10, with_text=False)
+    return made.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
