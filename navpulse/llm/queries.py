@@ -14,6 +14,7 @@ from navpulse.llm import (
     line_dedup,
     packing,
     simhash,
+    spelling,
     suffix_dedup,
     token_counts,
     toxicity,
@@ -146,3 +147,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = line_dedup.line_dedup(table(spark, sf_dir, "documents"), min_documents=10, with_text=False)
     return made.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+@query("op12_spelling")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.vocabulary(table(spark, sf_dir, "documents"), min_points=6, min_count=5, typo_every=199)
+    return spelling.spelling_variants(words, factor=5)
