@@ -13,6 +13,7 @@ from navpulse.llm import (
     licenses,
     line_dedup,
     packing,
+    ranked_search,
     simhash,
     spelling,
     suffix_dedup,
@@ -153,3 +154,38 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = spelling.vocabulary(table(spark, sf_dir, "documents"), min_points=6, min_count=5, typo_every=199)
     return spelling.spelling_variants(words, factor=5)
+
+
+@query(
+    "op13_ranked_search",
+    r"""
+    WITH t AS (
+        SELECT doc_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM documents
+    ), q AS (
+        SELECT DISTINCT item_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark
+    ), sizes AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+    total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes),
+    norm AS (SELECT doc_id, 50 + (50 * n * docs) // terms AS m FROM sizes, total),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM t SEMI JOIN q USING (term) GROUP BY doc_id, term),
+    w AS (
+        SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+        FROM tf, total GROUP BY term
+    ), s AS (
+        SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+        FROM q JOIN tf USING (term) JOIN w USING (term) JOIN norm USING (doc_id)
+        GROUP BY item_id, doc_id
+    )
+    SELECT item_id, CAST(row_number() OVER r AS INTEGER) AS rank, doc_id, score
+    FROM s WHERE score > 0
+    WINDOW r AS (PARTITION BY item_id ORDER BY score DESC, doc_id)
+    QUALIFY row_number() OVER r <= 50
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
