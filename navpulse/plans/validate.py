@@ -62,46 +62,70 @@ def frozen_feed(cycles: DataFrame, limits: ValidationLimits) -> DataFrame:
     return counted.select("day", "ts", "feed_heven", "unchanged", stale.alias("feed_stale"))
 
 
+def price_segments(df: DataFrame, p: str) -> DataFrame:
+    """Adds what decides about a bad price of ``p``: ``_start``, ``_segments``, ``_least``, ``_most``.
+
+    A run is a good row and the bad ones after it. It is cut where a band takes in the raw
+    price of the bad row before. Inside such a segment the price held at its start is kept
+    until one band leaves it out, and from there on every row keeps its own: whether that
+    has happened is told by the highest low and the lowest high so far. Only the price held
+    at a segment's start depends on the segments before it, one (low, high, last raw) each.
+    Bands that stay as they are give one segment a run, so a row's size does not depend on
+    how many bad rows there are.
+    """
+    ordered = W.partitionBy(*KEY).orderBy("ts")
+    before = ordered.rowsBetween(W.unboundedPreceding, -1)
+    upto = ordered.rowsBetween(W.unboundedPreceding, W.currentRow)
+    raw, bad, here = F.col(p), F.col(f"_bad_{p}"), F.col("here")
+    seen = F.when(here, F.struct(raw.alias("raw"), bad.alias("bad")))
+    df = df.withColumn("_prev", F.last(seen, ignorenulls=True).over(before))
+    opens = bad & F.col("_prev.bad") & F.col("_prev.raw").between(F.col("band_low"), F.col("band_high"))
+    count = lambda c: F.count_if(F.coalesce(c, F.lit(False))).over(upto)
+    df = df.withColumns({"_run": count(here & ~bad), "_segment": count(here & (~bad | opens))}).drop("_prev")
+
+    # One order serves both windows: fund, day, run, segment, time.
+    segment = W.partitionBy(*KEY, "_run", "_segment").orderBy("ts")
+    so_far = segment.rowsBetween(W.unboundedPreceding, W.currentRow)
+    df = df.withColumns(
+        {
+            "_least": F.max(F.when(bad, F.col("band_low"))).over(so_far),
+            "_most": F.min(F.when(bad, F.col("band_high"))).over(so_far),
+            "_last_raw": F.last(F.when(here, raw), ignorenulls=True).over(so_far),
+            "_ends": F.lead(F.lit(1)).over(segment).isNull(),
+        }
+    )
+    run = W.partitionBy(*KEY, "_run").orderBy("_segment", "ts")
+    summary = F.struct(F.col("_least").alias("low"), F.col("_most").alias("high"), F.col("_last_raw").alias("raw"))
+    df = df.withColumns(
+        {
+            "_start": F.first(F.when(here & ~bad, raw), ignorenulls=True).over(
+                run.rowsBetween(W.unboundedPreceding, W.currentRow)
+            ),
+            "_segments": F.collect_list(F.when(F.col("_ends"), summary)).over(run.rowsBetween(W.unboundedPreceding, -1)),
+        }
+    )
+    return df.drop("_run", "_segment", "_last_raw", "_ends")
+
+
 def _fold_prices(df: DataFrame, prices: tuple[str, ...]) -> DataFrame:
     """Adds ``_new_<price>``: the raw one, or the previous repaired one while it fits the band.
 
     A row is *bad* when its price is outside its band; then the previous repaired price is
     kept if it lies in this row's band, else the raw price stays. Which price is "previous"
-    depends on all earlier bad rows of the same unbroken run. A run is folded once, at its
-    last row, into the list of its prices, and each row takes its own place in the list.
+    depends on all earlier bad rows of the same unbroken run.
     """
-    ordered = W.partitionBy(*KEY).orderBy("ts")
-    none = F.lit(None).cast("long")
-    start = F.struct(none.alias("held"), F.array().cast("array<bigint>").alias("out"))
+    fits = lambda h, low, high: low.isNull() | h.between(low, high)
     for p in prices:
-        run = W.partitionBy(*KEY, f"_{p}_run")
-        whole = run.orderBy("ts").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-        upto = run.orderBy("ts").rowsBetween(W.unboundedPreceding, W.currentRow)
-        step = F.struct(
-            F.col(p).alias("raw"), F.col(f"_bad_{p}").alias("bad"),
-            F.col("band_low").alias("low"), F.col("band_high").alias("high"),
-        )
-
-        def fold(acc: Column, x: Column) -> Column:
-            held = acc["held"]
-            now = F.when(x["bad"] & held.between(x["low"], x["high"]), held).otherwise(x["raw"])
-            return F.struct(now.alias("held"), F.concat(acc["out"], F.array(now)).alias("out"))
-
-        df = df.withColumns(
-            {
-                "_steps": F.collect_list(F.when(F.col("here"), step)).over(whole),
-                "_place": F.count_if(F.col("here")).over(upto),
-                "_ends": ~F.lead(f"_{p}_run").over(ordered).eqNullSafe(F.col(f"_{p}_run")),
-            }
+        df = price_segments(df, p)
+        held = F.aggregate(
+            F.coalesce("_segments", F.array().cast("array<struct<low:bigint,high:bigint,raw:bigint>>")),
+            F.col("_start"),
+            lambda h, x: F.when(fits(h, x["low"], x["high"]), h).otherwise(x["raw"]),
         )
-        repaired = F.when(
-            F.col("_ends") & (F.size("_steps") > 1), F.aggregate("_steps", start, fold, lambda acc: acc["out"])
-        )
-        df = df.withColumn("_folded", repaired).drop("_steps", "_ends")
-        df = df.withColumn("_folded", F.last("_folded", ignorenulls=True).over(whole))
-        own = F.coalesce(F.get("_folded", (F.col("_place") - 1).cast("int")), F.col(p))
-        df = df.withColumn(f"_new_{p}", F.when(F.col(f"_bad_{p}"), own).otherwise(F.col(p)))
-        df = df.drop("_folded", "_place")
+        df = df.withColumn("_held", held)
+        kept = F.col(f"_bad_{p}") & fits(F.col("_held"), F.col("_least"), F.col("_most"))
+        df = df.withColumn(f"_new_{p}", F.when(kept, F.col("_held")).otherwise(F.col(p)))
+        df = df.drop("_start", "_segments", "_least", "_most", "_held")
     return df
 
 
@@ -126,9 +150,6 @@ def check_values(rows: DataFrame, limits: ValidationLimits) -> DataFrame:
     for p in prices:
         bad = F.coalesce(banded & ~F.col(p).between(F.col("band_low"), F.col("band_high")), F.lit(False))
         df = df.withColumn(f"_bad_{p}", bad)
-    for p in prices:
-        good = F.when(F.col("here") & ~F.col(f"_bad_{p}"), 1).otherwise(0)
-        df = df.withColumn(f"_{p}_run", F.sum(good).over(upto))
     df = _fold_prices(df, prices)
 
     # 2. high and low hold open and last
