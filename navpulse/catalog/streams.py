@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable
+
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from navpulse.catalog import ORACLES, proxies as px, query
-from navpulse.catalog.validation import expected_of
+from navpulse.catalog.validation import TICKS, expected_of
 from navpulse.functions import flags as fl
 from navpulse.plans.validate import COUNTERS
 from navpulse.session import scratch_path
@@ -32,11 +35,7 @@ def _validated(spark, d) -> pipeline.TickValidation:
 
 @query("stream_validate", ORACLES["validate_counters"])
 def stream_validate(spark, d):
-    ticks = _validated(spark, d).read(spark, "ticks").filter(~F.col("filled"))
-    return ticks.select(
-        "ins_code", "ts", *COUNTERS,
-        fl.has_flag("quality_flags", fl.CUMULATIVE_DECREASE).alias("flagged"),
-    )
+    return _counters(_validated(spark, d).read(spark, "ticks"))
 
 
 @query("stream_issues", ORACLES["gap_issues"])
@@ -67,25 +66,125 @@ def stream_error_ratio(spark, d):
     return job.read(spark)
 
 
+def _in_parts(spark, d, part: Column, parts: int, run: Callable[[DataFrame, str, int], None]) -> None:
+    """The event feed as a growing folder: ``run`` gets the tick stream over it after each part came."""
+    work = scratch_path(spark, "stream")
+    events = px.table(spark, d, "events")
+    for n in range(parts):  # a run reads what came since the one before, in as many files as it has
+        rows = events.withColumn("_n", part).filter(F.col("_n") == n).drop("_n")
+        rows.write.mode("append").parquet(f"{work}/in/part={n}")
+        files = spark.readStream.schema(events.schema).parquet(f"{work}/in/part=*")
+        run(px.project_ticks(px.project_events(files), "event_type"), work, n)
+
+
+def _job(spark, d, work: str, **given) -> pipeline.TickValidation:
+    return pipeline.TickValidation(f"{work}/out", px.HOURS, px.feed_calendar(spark, d), expected_of, **given)
+
+
+def _counters(ticks: DataFrame) -> DataFrame:
+    return ticks.filter(~F.col("filled")).select(
+        "ins_code", "ts", *COUNTERS,
+        fl.has_flag("quality_flags", fl.CUMULATIVE_DECREASE).alias("flagged"),
+    )
+
+
+def _late_parts() -> Column:
+    """Three parts in time order, cut in the middle of an hour, and some hours of all days last."""
+    share = F.pmod(F.xxhash64(F.date_trunc("hour", "ts")), F.lit(50))
+    day = F.lit("2024-01-01").cast("timestamp")
+    place = F.floor((F.unix_timestamp("ts") - F.unix_timestamp(day) - 45_300) / 864_000).cast("int")
+    return F.when(share == 0, 3).otherwise(F.greatest(F.lit(0), F.least(F.lit(2), place)))
+
+
 @query("stream_late_rows", ORACLES["validate_counters"])
 def stream_late_rows(spark, d):
     """The same feed in four micro-batches of whole minutes; some hours of all days come last.
 
     State is handed on, and the late rows have the days they touch validated anew.
     """
-    work = scratch_path(spark, "stream")
-    events = px.table(spark, d, "events")
     share = F.pmod(F.xxhash64(F.date_trunc("hour", "ts")), F.lit(50))
     third = F.least(F.lit(2), F.floor((F.dayofyear("ts") - 1) / 10).cast("int"))
-    quarter = F.when(share == 0, 3).otherwise(third)
-    job = pipeline.TickValidation(f"{work}/out", px.HOURS, px.feed_calendar(spark, d), expected_of)
-    for n in range(4):  # a run reads what came since the one before, in as many files as it has
-        part = events.withColumn("_n", quarter).filter(F.col("_n") == n).drop("_n")
-        part.write.mode("append").parquet(f"{work}/in/part={n}")
-        files = spark.readStream.schema(events.schema).parquet(f"{work}/in/part=*")
-        job.start(px.project_ticks(px.project_events(files), "event_type"), f"{work}/checkpoint").awaitTermination()
-    ticks = job.read(spark, "ticks").filter(~F.col("filled"))
-    return ticks.select(
-        "ins_code", "ts", *COUNTERS,
-        fl.has_flag("quality_flags", fl.CUMULATIVE_DECREASE).alias("flagged"),
-    )
+    jobs = []
+
+    def run(stream: DataFrame, work: str, n: int) -> None:
+        jobs.append(_job(spark, d, work))
+        jobs[-1].start(stream, f"{work}/checkpoint").awaitTermination()
+
+    _in_parts(spark, d, F.when(share == 0, 3).otherwise(third), 4, run)
+    return _counters(jobs[-1].read(spark, "ticks"))
+
+
+@query(
+    "stream_feed_issues",
+    f"""
+WITH {TICKS},
+c AS (SELECT ts, CAST(ts AS DATE) AS day, max(hour(ts) * 10000 + (minute(ts) // 10) * 1000) AS heven FROM ev GROUP BY ts),
+j AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY ts)
+    - row_number() OVER (PARTITION BY day, heven ORDER BY ts) AS island FROM c WHERE heven > 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY day, heven, island ORDER BY ts) AS nth FROM j)
+SELECT ts, '' AS ins_code, 'error' AS severity, 'flagged' AS action,
+  'market watch unchanged for 3 cycles (hEven=' || heven || ')' AS detail
+FROM n WHERE nth = 4""",
+)
+def stream_feed_issues(spark, d):
+    """Spells of an unchanged feed time that cross micro-batches, or get late rows, are logged once."""
+    jobs = []
+
+    def run(stream: DataFrame, work: str, n: int) -> None:
+        jobs.append(_job(spark, d, work))
+        jobs[-1].start(stream, f"{work}/checkpoint").awaitTermination()
+
+    _in_parts(spark, d, _late_parts(), 4, run)
+    issues = jobs[-1].read(spark, "issues").filter(F.col("check") == "feed_stale")
+    return issues.select("ts", "ins_code", "severity", "action", "detail")
+
+
+@query("stream_faults", ORACLES["validate_counters"])
+def stream_faults(spark, d):
+    """The job dies before each of the writes of its last micro-batch, and is started again each time.
+
+    The rows are those of a run without faults.
+    """
+    jobs = []
+
+    def run(stream: DataFrame, work: str, n: int) -> None:
+        for dies_at in pipeline.TickValidation.WRITES if n == 1 else ():
+
+            def die(table: str, batch: int, at: str = dies_at) -> None:
+                if table == at:
+                    raise RuntimeError(f"fault before {table}")
+
+            broken = _job(spark, d, work, on_write=die).start(stream, f"{work}/checkpoint")
+            try:
+                broken.awaitTermination()
+            except StreamingQueryException:
+                continue
+            raise AssertionError(f"no fault before {dies_at}")
+        jobs.append(_job(spark, d, work))
+        jobs[-1].start(stream, f"{work}/checkpoint").awaitTermination()
+
+    last = F.to_date("ts") >= F.lit("2024-01-29").cast("date")
+    _in_parts(spark, d, last.cast("int"), 2, run)
+    return _counters(jobs[-1].read(spark, "ticks"))
+
+
+@query("stream_announced", f"WITH {TICKS} SELECT day AS trade_date, ts, count(*) AS funds FROM ticks GROUP BY 1, 2")
+def stream_announced(spark, d):
+    """The commit log: each cycle with the number of its funds."""
+    return _validated(spark, d).read(spark, "announced").select("trade_date", "ts", "funds")
+
+
+@query("stream_chained", ORACLES["validate_counters"])
+def stream_chained(spark, d):
+    """Two streams in a row: the second one takes what the first announces, part by part, late days included."""
+    tables = []
+
+    def run(stream: DataFrame, work: str, n: int) -> None:
+        first = _job(spark, d, work)
+        first.start(stream, f"{work}/checkpoint").awaitTermination()
+        second = pipeline.ValidatedDays(first, f"{work}/days")
+        second.start(f"{work}/checkpoint-days", spark).awaitTermination()
+        tables.append(f"{work}/days")
+
+    _in_parts(spark, d, _late_parts(), 4, run)
+    return _counters(spark.read.parquet(tables[-1]))

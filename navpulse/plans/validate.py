@@ -26,6 +26,8 @@ COUNTERS = (
     "ind_buy_volume", "ind_sell_volume", "inst_buy_volume", "inst_sell_volume",
 )
 KEY = ("ins_code", "day")
+#: Under this instrument the state holds what belongs to the feed as a whole.
+FEED = ""
 
 
 @dataclass(frozen=True)
@@ -314,8 +316,8 @@ def validate(
     feed_rows = ticks.withColumn("day", F.to_date("ts"))
     feed = feed_rows.groupBy("day", "ts").agg(F.max("feed_heven").alias("feed_heven"))
     if state is not None:
-        earlier = state.select(F.explode("feed_cycles").alias("_f")).select("_f.*").distinct()
-        feed = feed.unionByName(earlier)
+        feed = feed.unionByName(state.select(F.explode("feed_cycles").alias("_f")).select("_f.*"))
+        state = state.filter(F.col("ins_code") != FEED)
     frozen = frozen_feed(feed, limits)
     grid = _one_set(feed_rows, frozen, expected, state).repartition(*KEY)
     grid = grid.withColumn("_came", F.max("here").over(W.partitionBy(*KEY, "ts")))
@@ -476,13 +478,16 @@ def _feed_issues(frozen: DataFrame, feed_rows: DataFrame) -> DataFrame:
     )
     starts = frozen.withColumn("_edge", rising_edge(F.col("feed_stale"), by_day)).filter("_edge")
     return starts.join(runs, "ts").select(
-        "ts", "run_id", F.lit("").alias("ins_code"), F.lit("feed_stale").alias("check"),
+        "ts", "run_id", F.lit(FEED).alias("ins_code"), F.lit("feed_stale").alias("check"),
         F.lit("error").alias("severity"), F.lit("flagged").alias("action"), detail.alias("detail"),
     )
 
 
 def _end_state(grid: DataFrame, frozen: DataFrame, limits: ValidationLimits) -> DataFrame:
-    """One row per fund and day: its last stored row and the conditions that are active."""
+    """One row per fund and day: its last stored row and the conditions that are active.
+
+    And one row per day for the feed, with its newest cycles.
+    """
     tick = F.struct(*schemas.TICK_COLUMNS)
     at = F.col("ts")
     stored = F.col("here") | F.col("_fills")
@@ -498,7 +503,7 @@ def _end_state(grid: DataFrame, frozen: DataFrame, limits: ValidationLimits) ->
     recent = (
         frozen.withColumn("_n", F.row_number().over(newest))
         .filter(F.col("_n") <= limits.feed_stale_cycles + 2)
-        .groupBy("day")
+        .groupBy(F.lit(FEED).alias("ins_code"), "day")
         .agg(F.collect_list(F.struct("day", "ts", "feed_heven")).alias("feed_cycles"))
     )
     # A carried last row keeps the mark of a carried row.
@@ -509,4 +514,4 @@ def _end_state(grid: DataFrame, frozen: DataFrame, limits: ValidationLimits) ->
     row = F.when(
         F.col("_row").isNotNull(), F.col("_row").withField("quality_flags", mask.cast("int"))
     )
-    return last.withColumn("_row", row).drop("_filled_ts").join(recent, "day", "left")
+    return last.withColumn("_row", row).drop("_filled_ts").unionByName(recent, allowMissingColumns=True)

@@ -75,3 +75,19 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder of a stored table; one that does not exist is fine."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def folder_names(spark: SparkSession, path: str) -> set[str]:
+    """Names directly below a folder, by one listing; none if it does not exist."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return {s.getPath().getName() for s in files.listStatus(where)} if files.exists(where) else set()
+
+
+def move_folder(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder to a name that is free: readers see all of it or nothing."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path(target).getParent())
+    if files.exists(path(target)) or not files.rename(path(source), path(target)):
+        raise RuntimeError(f"{source} could not be moved to {target}")

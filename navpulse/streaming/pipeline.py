@@ -21,7 +21,7 @@ from navpulse import schemas
 from navpulse.operators.latest import latest_version
 from navpulse.plans.ops import ratio_of_counts, step_counts
 from navpulse.plans.validate import validate
-from navpulse.session import folder_exists, freeze
+from navpulse.session import folder_exists, folder_names, freeze, move_folder
 from navpulse.settings import MarketHours, ValidationLimits
 from navpulse.sources import sinks
 
@@ -64,8 +64,9 @@ def _put_days(df: DataFrame, table: str, batch: int) -> None:
 
 
 def _read_days(spark: SparkSession, table: str, days: list[dt.date], upto: int) -> DataFrame:
-    """Stored rows of some days, of micro-batches up to ``upto``; no other folder is listed."""
-    found = [p for p in (f"{table}/trade_date={d}" for d in days) if folder_exists(spark, p)]
+    """Stored rows of some days, of micro-batches up to ``upto``; no other day's folder is listed."""
+    known = folder_names(spark, table)
+    found = [f"{table}/{name}" for name in (f"trade_date={d}" for d in days) if name in known]
     rows = spark.read.option("basePath", table).parquet(*found)
     return rows.filter(F.col("batch") <= upto).withColumn("trade_date", F.col("trade_date").cast("date"))
 
@@ -80,11 +81,18 @@ class TickValidation:
     A micro-batch holds whole cycles. Rows that come in time order are checked against the
     state of the open day; a micro-batch with rows of an earlier cycle or day, however
     late, has the days they touch validated anew from the stored feed. Output folders below
-    ``out``: ``feed``, ``ticks``, ``issues`` and ``announced`` (written last) by day and
-    micro-batch; ``state`` (the open day's funds only) and ``rebuilt`` (days validated
-    anew) with one ``batch=N`` folder per micro-batch.
+    ``out``: ``feed``, ``ticks`` and ``issues`` by day and micro-batch; ``rebuilt`` (days
+    validated anew), ``state`` (the open day's funds, and the feed's own) and ``announced``
+    with one ``batch=N`` folder per micro-batch.
+
+    A micro-batch that fails between two writes is repeated: it replaces what it wrote. Only
+    ``announced``, written last, is a commit log: its folder appears by one rename, when all
+    rows it tells of can be read, and a repeated micro-batch leaves it as it is, so that
+    another stream may take it as its source. ``on_write`` is told of each write before it begins.
     """
 
+    WRITES = ("feed", "ticks", "issues", "rebuilt", "state", "announced")
+
     def __init__(
         self,
         out: str,
@@ -92,8 +100,10 @@ class TickValidation:
         calendar: DataFrame,
         expected: Callable[[DataFrame], DataFrame],
         limits: ValidationLimits = ValidationLimits(),
+        on_write: Callable[[str, int], None] = lambda table, batch: None,
     ) -> None:
         self.out = out.rstrip("/")
+        self.on_write = on_write
         self.hours = hours
         self.calendar = calendar
         self.expected = expected
@@ -102,6 +112,21 @@ class TickValidation:
     def folder(self, table: str, batch: int) -> str:
         return f"{self.out}/{table}/batch={batch}"
 
+    def _put(self, df: DataFrame, table: str, batch: int) -> None:
+        self.on_write(table, batch)
+        _put(df, self.folder(table, batch))
+
+    def _put_days(self, df: DataFrame, table: str, batch: int) -> None:
+        self.on_write(table, batch)
+        _put_days(df, f"{self.out}/{table}", batch)
+
+    def _announce(self, cycles: DataFrame, batch: int) -> None:
+        self.on_write("announced", batch)
+        spark, place = cycles.sparkSession, self.folder("announced", batch)
+        if not folder_exists(spark, place):
+            _put(cycles, self.folder("announcing", batch))
+            move_folder(spark, self.folder("announcing", batch), place)
+
     def _check(self, feed: DataFrame, state: DataFrame | None):
         return validate(feed, self.expected(feed), self.hours, self.calendar, self.limits, state, store=True)
 
@@ -114,7 +139,7 @@ class TickValidation:
             if not folder_exists(spark, before):
                 raise RuntimeError(f"state of micro-batch {batch - 1} is missing below {self.out}")
             state = spark.read.parquet(before)
-        _put_days(feed, f"{self.out}/feed", batch)
+        self._put_days(feed, "feed", batch)
 
         open_day, seen = (None, None)
         if state is not None:
@@ -130,8 +155,8 @@ class TickValidation:
         none = spark.createDataFrame([], "trade_date date")
         if not touched:  # a micro-batch without rows hands on what it was given
             empty = state if state is not None else self._check(feed.drop("trade_date"), None).state
-            _put(none, self.folder("rebuilt", batch))
-            _put(empty, self.folder("state", batch))
+            self._put(none, "rebuilt", batch)
+            self._put(empty, "state", batch)
             return
         states = []
         parts = []
@@ -145,20 +170,20 @@ class TickValidation:
             states.append(done.state)
         ticks = reduce(DataFrame.unionByName, [d.ticks for d in parts])
         issues = reduce(DataFrame.unionByName, [d.issues for d in parts])
-        _put_days(sinks.with_trade_date(ticks), f"{self.out}/ticks", batch)
-        _put_days(sinks.with_trade_date(issues), f"{self.out}/issues", batch)
+        self._put_days(sinks.with_trade_date(ticks), "ticks", batch)
+        self._put_days(sinks.with_trade_date(issues), "issues", batch)
         anew = spark.createDataFrame([(d,) for d in late], none.schema)
-        _put(anew, self.folder("rebuilt", batch))
+        self._put(anew, "rebuilt", batch)
         # Only the open day can go on; a row of any other day is a late one.
         newest = max(x for x in (open_day, *ordered, *late) if x is not None)
         if state is not None and newest not in (*ordered, *late):
             states.append(state)
         after = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), states)
-        _put(after.filter(F.col("day") == F.lit(newest)), self.folder("state", batch))
+        self._put(after.filter(F.col("day") == F.lit(newest)), "state", batch)
         cycles = feed.groupBy("trade_date", "ts").agg(
             F.max("run_id").alias("run_id"), F.count("*").alias("funds")
         )
-        _put_days(cycles, f"{self.out}/announced", batch)
+        self._announce(cycles, batch)
 
     def start(
         self, feed: DataFrame, checkpoint: str, trigger: dict = CATCH_UP
@@ -170,19 +195,58 @@ class TickValidation:
             .start()
         )
 
-    def read(self, spark: SparkSession, table: str) -> DataFrame:
+    def read(self, spark: SparkSession, table: str, days: list[dt.date] | None = None) -> DataFrame:
         """Rows of ``ticks`` or ``issues`` that hold: of a day validated anew, those since then.
 
-        Of ``announced``, the newest row of each cycle.
+        Of ``announced``, the newest row of each cycle. With ``days``, no other day is read.
         """
         rows = spark.read.parquet(f"{self.out}/{table}")
         rows = rows.withColumn("trade_date", F.col("trade_date").cast("date"))
+        if days is not None:
+            rows = rows.filter(F.col("trade_date").isin(days))
         if table == "announced":
             return latest_version(rows, ["trade_date", "ts"], ["batch"]).drop("batch")
         anew = spark.read.parquet(f"{self.out}/rebuilt").groupBy("trade_date").agg(F.max("batch").alias("_since"))
         since = F.coalesce(F.col("_since"), F.lit(-1))
         return rows.join(anew, "trade_date", "left").filter(F.col("batch") >= since).drop("_since", "batch")
 
+    def announcements(self, spark: SparkSession) -> DataFrame:
+        """The commit log as a stream: a row for each announced cycle (trade_date, ts, run_id, funds)."""
+        schema = "trade_date date, ts timestamp, run_id string, funds long"
+        return spark.readStream.schema(schema).parquet(f"{self.out}/announced/batch=*")
+
+
+class ValidatedDays:
+    """A stream behind another: keeps a table of validated rows by day, fed by what is announced.
+
+    Its source is the commit log of a :class:`TickValidation`; a micro-batch replaces the days of
+    its cycles, so taking a cycle twice changes nothing. An announced cycle whose rows are
+    not there is an error.
+    """
+
+    def __init__(self, upstream: TickValidation, target: str) -> None:
+        self.upstream = upstream
+        self.target = target
+
+    def __call__(self, announced: DataFrame, batch: int) -> None:
+        days = _days_of(announced)
+        rows = freeze(self.upstream.read(announced.sparkSession, "ticks", days))
+        told = announced.groupBy("trade_date", "ts").agg(F.max("funds").alias("funds"))
+        found = rows.filter(~F.col("filled")).groupBy("trade_date", "ts").agg(F.count("*").alias("_found"))
+        short = told.join(found, ["trade_date", "ts"], "left").filter(F.coalesce("_found", F.lit(0)) < F.col("funds"))
+        first = short.first()
+        if first is not None:
+            raise RuntimeError(f"cycle {first['ts']} was announced with {first['funds']} funds, {first['_found'] or 0} are readable")
+        sinks.replace_days(rows, self.target, sort=["ins_code", "ts"])
+
+    def start(self, checkpoint: str, spark: SparkSession, trigger: dict = CATCH_UP) -> StreamingQuery:
+        return (
+            self.upstream.announcements(spark).writeStream.foreachBatch(self)
+            .option("checkpointLocation", checkpoint)
+            .trigger(**trigger)
+            .start()
+        )
+
 
 class DailyRollup:
     """Keeps the end-of-day roll-up: a micro-batch recomputes the days it touches, and reads no others."""

@@ -4,6 +4,7 @@ import datetime as dt
 from pathlib import Path
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from navpulse.plans.ticks import expected_rows, universe_on_days
@@ -149,3 +150,49 @@ def test_late_row_parts_keep_their_files(spark, tmp_path, monkeypatch):
     assert {p.name for p in (tmp_path / "work/checkpoint/commits").iterdir() if p.name.isdigit()} == set("0123")
     for n in range(3):
         assert len(list((tmp_path / f"work/in/part={n}").glob("*.parquet"))) > 1
+
+
+def test_faults_between_writes_and_a_stream_behind(spark, tmp_path):
+    """Dies before each write in turn; announced cycles are there once, and complete, for the next stream."""
+    rows, cycles, funds = feed_files(spark, tmp_path / "in")
+    schema = frame(spark, rows[:1]).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{tmp_path}/in/part=*")
+    left = list(pipeline.TickValidation.WRITES)
+
+    def die(table, batch):
+        if batch == 1 and left and table == left[0]:
+            raise RuntimeError(f"fault before {left.pop(0)}")
+
+    job = pipeline.TickValidation(f"{tmp_path}/out", HOURS, calendar(spark), expected_for(funds), on_write=die)
+    behind = pipeline.ValidatedDays(job, f"{tmp_path}/days")
+    faults = 0
+    while True:
+        query = job.start(stream, f"{tmp_path}/checkpoint")
+        try:
+            query.awaitTermination()
+            break
+        except StreamingQueryException:
+            faults += 1
+        if faults in (2, 6):  # the next stream goes on with what has been announced
+            behind.start(f"{tmp_path}/checkpoint-days", spark).awaitTermination()
+    assert faults == len(pipeline.TickValidation.WRITES)
+    behind.start(f"{tmp_path}/checkpoint-days", spark).awaitTermination()
+
+    feed = frame(spark, rows)
+    batch = validate(feed, expected_for(funds)(feed), HOURS, calendar(spark), store=True)
+    ticks = ["ins_code", "ts", "last_price", "volume", "nav_redemption", "quality_flags", "filled", "repaired"]
+    assert rows_of(job.read(spark, "ticks"), ticks) == rows_of(batch.ticks, ticks)
+    assert rows_of(spark.read.parquet(f"{tmp_path}/days"), ticks) == rows_of(batch.ticks, ticks)
+    issues = ["ins_code", "ts", "check", "severity", "action", "detail"]
+    assert rows_of(job.read(spark, "issues"), issues) == rows_of(batch.issues, issues)
+    announced = spark.read.parquet(f"{tmp_path}/out/announced")
+    assert announced.count() == announced.select("ts").distinct().count() == len(set(cycles))
+
+
+def test_an_announced_cycle_without_rows_is_an_error(spark, tmp_path):
+    rows, cycles, funds = random_days(35, funds=2)
+    job = pipeline.TickValidation(f"{tmp_path}/out", HOURS, calendar(spark), expected_for(funds))
+    job(frame(spark, rows), 0)
+    told = job.read(spark, "announced").withColumn("funds", F.col("funds") + 1)
+    with pytest.raises(RuntimeError, match="was announced"):
+        pipeline.ValidatedDays(job, f"{tmp_path}/days")(told, 0)
