@@ -14,6 +14,7 @@ from navpulse.catalog.market import DAY, RETURNS_DAY_SQL
 from navpulse.catalog.payload_rows import KINDS, responses
 from navpulse.functions import text
 from navpulse.operators.calendar import last_trading_days, span_of
+from navpulse.operators.latest import latest_version
 from navpulse.operators.ranking import global_rank
 from navpulse.plans import analytics, history, marts, ops, replay, universe
 from navpulse.session import freeze, scratch_path
@@ -292,3 +293,27 @@ def archived_versions(spark, d):
     for half in (0, 1):
         sinks.append(rows.filter(F.col("units") % 2 == half), path)
     return archive.read_table(spark, path, schemas.FUND_UNITS, "fund_units").drop("updated_at")
+
+
+@query(
+    "retention_swap",
+    f"WITH {HISTORY} SELECT ins_code, trade_date, close_price FROM hist WHERE trade_date >= DATE '1998-08-02' - 400",
+)
+def retention_swap(spark, d):
+    """A published table after its old days went; an attempt before that died and showed readers nothing."""
+    table = scratch_path(spark, "published")
+    rows = latest_version(px.history(spark, d), *schemas.LATEST_WINS["fund_history"]).select("ins_code", "trade_date", "close_price")
+    years = rows.withColumn("year", F.year("trade_date"))
+    sinks.publish(years, table, ["year"])
+    stored = sinks.read_current(spark, table).count()
+
+    def die(version: int) -> None:
+        raise ConnectionError(f"fault before version {version} is current")
+
+    try:
+        sinks.expire_published(spark, table, "trade_date", 400, "1998-08-02", ["year"], die)
+    except ConnectionError:
+        if sinks.read_current(spark, table).count() != stored:
+            raise AssertionError("a failed attempt shows") from None
+    sinks.expire_published(spark, table, "trade_date", 400, "1998-08-02", ["year"])
+    return sinks.read_current(spark, table).drop("year")

@@ -430,15 +430,13 @@ def heat_limit(spark, d):
     "heat_cells",
     _returns_day_sql(_ratio)
     + """,
-cells AS MATERIALIZED (SELECT ins_code, h.horizon, CASE h.horizon WHEN 'r_1d' THEN r_1d WHEN 'r_1w' THEN r_1w
-    WHEN 'r_1m' THEN r_1m WHEN 'r_3m' THEN r_3m ELSE r_ytd END AS r
-  FROM r, (SELECT unnest(['r_1d', 'r_1w', 'r_1m', 'r_3m', 'r_ytd']) AS horizon) h),
-pos AS (SELECT horizon, abs(coalesce(r, 0)) AS a, row_number() OVER
-    (PARTITION BY horizon ORDER BY abs(coalesce(r, 0))) AS p, count(*) OVER (PARTITION BY horizon) AS n
-  FROM cells),
-lim AS (SELECT horizon, greatest(0.005, a) AS lim FROM pos WHERE p = n * 9 // 10 + 1)
-SELECT ins_code, c.horizon, round(least(greatest(coalesce(r / lim, 0), -1), 1), 6) AS heat
-FROM cells c JOIN lim USING (horizon)""",
+lim AS (SELECT list_transform(
+    [list(abs(coalesce(r_1d, 0))), list(abs(coalesce(r_1w, 0))), list(abs(coalesce(r_1m, 0))),
+     list(abs(coalesce(r_3m, 0))), list(abs(coalesce(r_ytd, 0)))],
+    lambda a: greatest(0.005, list_sort(a)[len(a) * 9 // 10 + 1])) AS lims FROM r),
+cells AS (SELECT ins_code, unnest(['r_1d', 'r_1w', 'r_1m', 'r_3m', 'r_ytd']) AS horizon,
+    unnest([r_1d, r_1w, r_1m, r_3m, r_ytd]) AS r, unnest(lims) AS lim FROM r, lim)
+SELECT ins_code, horizon, round(least(greatest(coalesce(r / lim, 0), -1), 1), 6) AS heat FROM cells""",
 )
 def heat_cells(spark, d):
     cells = marts.returns_unpivot(analytics.returns(px.market(spark, d), DAY), ["ins_code"])

@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from navpulse.catalog import proxies as px, query
 from navpulse.catalog.base_sql import EV, FUNDS, RUNS
 from navpulse.functions import text, times
-from navpulse.operators.calendar import from_jalali, require_calendar
-from navpulse.plans import ops, quality, sampling, universe
+from navpulse.operators import calendar
+from navpulse.operators.calendar import from_jalali, jalali_to_date, require_calendar
+from navpulse.operators.latest import latest_version
+from navpulse.plans import ops, quality, sampling, session_day, universe
+from navpulse.session import freeze
+from navpulse.settings import MarketHours
 from navpulse.sources import archive
 
 
@@ -283,6 +287,102 @@ def closing_snapshot(spark, d):
     return ops.restamp_at_close(rows, px.HOURS).drop("ingested_at")
 
 
+def _session_probes(spark, d):
+    """Events as probes of the feed; some days of the week's middle are listed holidays."""
+    shown = F.col("event_type").eqNullSafe("purchase") & (F.col("k") % 25 == 0)
+    probes = px.events(spark, d).select(
+        F.col("event_id").alias("probe"), "at", F.when(shown, F.to_date("ts")).alias("session_day"), (F.col("k") % 7 == 1).alias("failed")
+    )
+    listed = F.col("trading") & (F.day("day") % 4 == 0)
+    days = px.feed_calendar(spark, d).select(
+        "day", (F.col("trading") & ~listed).alias("trading"), F.when(listed, "official").otherwise(F.col("source")).alias("source")
+    )
+    return probes, days
+
+
+SESSION_SQL = f"""
+WITH {EV},
+p AS (SELECT event_id, seen, CAST(ts AS DATE) AS day, hour(seen) * 3600 + minute(seen) * 60 + second(seen) AS sod,
+    k % 7 = 1 AS failed, coalesce(event_type = 'purchase' AND k % 25 = 0, false) AND k % 7 != 1 AS shown,
+    CASE WHEN isodow(CAST(ts AS DATE)) > 5 THEN 'rest' WHEN day(CAST(ts AS DATE)) % 4 = 0 THEN 'holiday' ELSE 'trading' END AS kind
+  FROM ev),
+firsts AS (SELECT day, min((seen, event_id)) FILTER (shown) AS shown_at FROM p GROUP BY 1),
+shuts AS (SELECT p.day, min((seen, event_id)) AS shut_at FROM p JOIN firsts f ON f.day = p.day
+  WHERE kind = 'trading' AND sod >= 8 * 3600 + 1200 AND NOT failed AND (shown_at IS NULL OR (seen, event_id) < shown_at) GROUP BY 1),
+checks AS (SELECT day, min((seen, event_id)) AS check_at FROM p
+  WHERE kind = 'holiday' AND sod BETWEEN 8 * 3600 + 1200 AND 64800 GROUP BY 1),
+opens AS (SELECT c.day, check_at FROM checks c JOIN p ON p.day = c.day AND (p.seen, p.event_id) = check_at WHERE shown),
+decided AS (SELECT p.event_id AS probe, p.seen AS at, p.day, CASE
+    WHEN kind = 'rest' THEN 'rest'
+    WHEN kind = 'holiday' THEN CASE WHEN (seen, event_id) = o.check_at THEN 'opened'
+      WHEN (seen, event_id) > o.check_at THEN 'collect' ELSE 'holiday' END
+    WHEN (seen, event_id) = shut_at THEN 'closed' WHEN (seen, event_id) > shut_at THEN 'over'
+    WHEN (seen, event_id) >= shown_at OR failed THEN 'collect' ELSE 'waiting' END AS decision
+  FROM p LEFT JOIN firsts f ON f.day = p.day LEFT JOIN shuts s ON s.day = p.day LEFT JOIN opens o ON o.day = p.day)"""
+
+
+@query("session_decisions", SESSION_SQL + " SELECT * FROM decided")
+def session_decisions(spark, d):
+    return session_day.session_decisions(*_session_probes(spark, d), px.HOURS)
+
+
+@query(
+    "observed_days",
+    SESSION_SQL
+    + """ SELECT day, decision = 'opened' AS trading, CASE decision WHEN 'opened' THEN 'list was wrong' ELSE 'no trades' END AS note,
+  "at" AS recorded_at FROM decided WHERE decision IN ('opened', 'closed')""",
+)
+def observed_days(spark, d):
+    decisions = session_day.session_decisions(*_session_probes(spark, d), px.HOURS)
+    return session_day.observed_days(decisions, "no trades", "list was wrong")
+
+
+def _closing_cycles(spark, d):
+    """Minutes as cycles; before eight they show the session of the day before. Every third day has minutes."""
+    rows = px.events(spark, d).selectExpr(
+        "event_type AS ins_code", "ts", "IF(hour(ts) < 8, date_sub(to_date(ts), 1), to_date(ts)) AS session",
+        "minute(ts) % 4 = 0 AS refresh", "10000 + v AS last_price", "k AS volume", "IF(k % 3 = 0, k % 10, 0) AS trade_count", "at",
+    )
+    fetched = latest_version(rows, ["ins_code", "ts"], ["at"]).drop("at")
+    days = px.feed_calendar(spark, d)
+    return fetched, days.filter(F.day("day") % 3 == 0).select(F.col("day").alias("session")), days
+
+
+CLOSING_SQL = f"""
+WITH {EV},
+f AS (SELECT event_type AS ins_code, ts, CASE WHEN hour(ts) < 8 THEN CAST(ts AS DATE) - 1 ELSE CAST(ts AS DATE) END AS session,
+    minute(ts) % 4 = 0 AS refresh, 10000 + v AS last_price, k AS volume, CASE WHEN k % 3 = 0 THEN k % 10 ELSE 0 END AS trade_count
+  FROM ev QUALIFY row_number() OVER (PARTITION BY event_type, ts ORDER BY seen DESC) = 1),
+c AS (SELECT session, ts, bool_or(trade_count > 0) AS traded, bool_or(refresh) AS refresh,
+    isodow(CAST(ts AS DATE)) <= 5 AND hour(ts) * 60 + minute(ts) BETWEEN 480 AND 1080 AS is_open FROM f GROUP BY 1, 2),
+n AS (SELECT *, count(*) FILTER (traded AND NOT is_open) OVER (PARTITION BY session ORDER BY ts
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM c),
+decided AS (SELECT CAST(session AS DATE) AS session, ts, CASE WHEN is_open THEN 'open'
+    WHEN NOT refresh AND (day(session) % 3 = 0 AND session >= (SELECT min(CAST(ts AS DATE)) FROM ev) OR earlier > 0) THEN 'stored'
+    WHEN NOT traded THEN 'no_trades' ELSE 'committed' END AS decision FROM n)"""
+
+
+@query("closing_decisions", CLOSING_SQL + " SELECT * FROM decided")
+def closing_decisions(spark, d):
+    fetched, stored, days = _closing_cycles(spark, d)
+    return session_day.closing_decisions(fetched, stored, days, px.HOURS)
+
+
+@query(
+    "closing_commits",
+    CLOSING_SQL
+    + """
+SELECT f.ins_code, CAST(f.session AS TIMESTAMP) + INTERVAL 18 HOUR AS ts, last_price, volume, trade_count, f.ts AS ingested_at
+FROM f JOIN decided d ON d.session = f.session AND d.ts = f.ts AND decision = 'committed'
+QUALIFY row_number() OVER (PARTITION BY f.ins_code, f.session ORDER BY f.ts DESC) = 1""",
+)
+def closing_commits(spark, d):
+    """Rows stamped at the close, all columns; a refresh replaces the figures of the first snapshot."""
+    fetched, stored, days = _closing_cycles(spark, d)
+    fetched = freeze(fetched)
+    return session_day.closing_rows(fetched, session_day.closing_decisions(fetched, stored, days, px.HOURS), px.HOURS)
+
+
 SLOTS = " ".join(
     f"WHEN '{name}' THEN {zlib.crc32(name.encode()) % 5}"
     for name in ("click", "error", "purchase", "signup", "view")
@@ -442,6 +542,76 @@ def jalali_roundtrip(spark, d):
     return from_jalali(there, cal, *parts).select("day", "gregorian_day")
 
 
+YEARS_SQL = """
+places AS (SELECT unnest([1, 5, 9, 13, 17, 22, 26, 30]) AS place),
+years AS (SELECT y, (y // 33) * 8 + (SELECT count(*) FROM places WHERE place < y % 33) AS leaps FROM range(1340, 1440) t(y)),
+starts AS (SELECT y, DATE '2024-03-20'
+    + CAST((y - 1403) * 365 + leaps - (SELECT leaps FROM years WHERE y = 1403) AS INTEGER) AS start FROM years),
+dates AS (SELECT y, CAST(start + n AS DATE) AS day, n,
+    CASE WHEN n < 186 THEN n // 31 + 1 ELSE (n - 186) // 30 + 7 END AS jm,
+    CASE WHEN n < 186 THEN n % 31 + 1 ELSE (n - 186) % 30 + 1 END AS jd
+  FROM (SELECT y, start, unnest(range(0, CAST((SELECT min(s2.start) FROM starts s2 WHERE s2.start > s1.start) - start AS INTEGER)))::INTEGER AS n
+    FROM starts s1 WHERE y < 1439))"""
+
+
+@query(
+    "jalali_triples",
+    f"""
+WITH {YEARS_SQL},
+t AS (SELECT DISTINCT 1360 + o_orderkey % 70 AS y, o_custkey % 15 - 1 AS m, (o_orderkey // 7) % 34 - 1 AS d FROM orders)
+SELECT t.y::BIGINT AS jalali_year, t.m::BIGINT AS jalali_month, t.d::BIGINT AS jalali_day, day AS gregorian_day
+FROM t LEFT JOIN dates ON dates.y = t.y AND jm = t.m AND jd = t.d""",
+)
+def jalali_triples(spark, d):
+    """Years, months and days as they come, most of them no date: back to Gregorian by arithmetic."""
+    triples = px.table(spark, d, "orders").selectExpr(
+        "CAST(1360 + o_orderkey % 70 AS BIGINT) AS jalali_year", "CAST(o_custkey % 15 - 1 AS BIGINT) AS jalali_month",
+        "CAST(o_orderkey DIV 7 % 34 - 1 AS BIGINT) AS jalali_day",
+    ).distinct()
+    return triples.withColumn("gregorian_day", jalali_to_date("jalali_year", "jalali_month", "jalali_day"))
+
+
+def _rows_sql(rows) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows) + ")"
+
+
+CLOSURES = {dt.date(2025, 4, 8): "announced", dt.date(2026, 11, 4): "announced", dt.date(2028, 6, 29): "announced"}
+
+
+@query(
+    "calendar_years",
+    f"""
+WITH {YEARS_SQL},
+names AS (SELECT day, string_agg(name, '{calendar.NAME_GLUE}' ORDER BY place) AS name FROM (
+    SELECT day, name, min(place) AS place FROM (
+      SELECT day, name, place FROM dates JOIN {_rows_sql([(i, *r) for i, r in enumerate(calendar.SOLAR_HOLIDAYS)])} s(place, m, d, name)
+        ON jm = m AND jd = d
+      UNION ALL SELECT day, name, 100 + place FROM dates
+        JOIN {_rows_sql([(i, *r) for i, r in enumerate(calendar.LUNAR_HOLIDAYS)])} l(place, ly, m, d, name) ON y = ly AND jm = m AND jd = d)
+    GROUP BY day, name) GROUP BY day),
+extra AS (SELECT CAST(day AS DATE) AS day, note FROM {_rows_sql([(str(k), v) for k, v in CLOSURES.items()])} e(day, note)),
+seen AS (SELECT CAST(CAST(o_orderdate AS DATE) + 12000 AS DATE) AS day, count(*) % 2 = 0 AS trading, 'orders ' || count(*) AS note
+  FROM orders GROUP BY 1 HAVING sum(o_orderkey) % 23 = 0),
+span AS (SELECT (SELECT max(y) FROM starts WHERE start <= (SELECT min(CAST(o_orderdate AS DATE)) + 12000 FROM orders)) AS a,
+    (SELECT max(y) FROM starts WHERE start <= (SELECT max(CAST(o_orderdate AS DATE)) + 12000 FROM orders)) AS b),
+j AS (SELECT dates.*, names.name, extra.note AS xnote, seen.trading, seen.note,
+    CASE WHEN seen.day IS NOT NULL THEN 'observed' WHEN extra.day IS NOT NULL THEN 'extra' WHEN isodow(dates.day) IN (4, 5) THEN 'weekend'
+      WHEN names.name IS NOT NULL THEN 'official' END AS source
+  FROM dates JOIN span ON y BETWEEN a AND b LEFT JOIN names USING (day) LEFT JOIN extra USING (day) LEFT JOIN seen USING (day))
+SELECT y AS jalali_year, day, printf('%04d/%02d/%02d', y, jm, jd) AS day_fa, source = 'observed' AND trading AS trading,
+  CASE source WHEN 'observed' THEN note WHEN 'extra' THEN xnote ELSE name END AS reason, source
+FROM j WHERE source IN ('observed', 'extra', 'official')""",
+)
+def calendar_years(spark, d):
+    """The calendars of all years with orders (33 years on): observed before announced before weekly rest before listed."""
+    days = px.table(spark, d, "orders").select(F.date_add(F.to_date("o_orderdate"), 12_000).alias("day"), "o_orderkey")
+    seen = days.groupBy("day").agg(F.count("*").alias("_n"), F.sum("o_orderkey").alias("_keys")).filter("_keys % 23 = 0")
+    observed = seen.select("day", (F.col("_n") % 2 == 0).alias("trading"), F.concat(F.lit("orders "), "_n").alias("note"))
+    first, last = days.agg(F.min(calendar.jalali_year("day")), F.max(calendar.jalali_year("day"))).first()
+    hours = MarketHours(weekdays=(5, 6, 0, 1, 2), use_holidays=True, extra_closures=CLOSURES)
+    return calendar.calendar_of_years(spark, first, last, hours, observed)
+
+
 @query(
     "in_session",
     f"""

@@ -9,6 +9,7 @@ from navpulse.catalog.base_sql import BRAND_FLOWS, BRAND_PRICES, EV, ticks
 from navpulse.operators.calendar import minute_grid
 from navpulse.plans import analytics, backfill
 from navpulse.plans.history import FLOW_COLUMNS, history_rows, merge_history
+from navpulse.session import freeze, scratch_path
 from navpulse.settings import BackfillLimits
 
 NOW = "2024-02-01 00:00:00"
@@ -159,6 +160,58 @@ def backfill_log(spark, d):
     return done.log.drop("recorded_at")
 
 
+def _resumed(spark, d) -> str:
+    """A backfill in three runs: some fund-days fail in the first, the second does the rest, the third finds nothing."""
+    table = scratch_path(spark, "backfill")
+    live, tape = freeze(live_rows(spark, d)), trades(spark, d)
+    even = F.day("day") % 2 == 0
+    failed = tape.filter(even & (F.col("ins_code") == "view")).select("ins_code", "day", F.lit("timeout").alias("error")).distinct()
+
+    def run(rows: DataFrame, stamp: str, errors: DataFrame | None = None) -> int | None:
+        return backfill.resume(
+            spark, table, lambda done: backfill.backfill_intraday(tape, rows, done, px.HOURS, stamp, failed=errors)
+        )
+
+    units = [run(live.filter(even), "2024-02-01 00:00:00", failed), run(live, "2024-02-01 01:00:00"), run(live, "2024-02-01 02:00:00")]
+    if units != [0, 1, None]:
+        raise AssertionError(f"units written: {units}")
+    return table
+
+
+@query(
+    "backfill_resumed",
+    f"WITH {TAPE}, {LIVE}, {VERDICT}, {PASSED}, good AS (SELECT * FROM passed WHERE good)"
+    + minutes_sql("good", str(OPEN), "stop"),
+)
+def backfill_resumed(spark, d):
+    """The stored minutes of all units."""
+    return backfill.stored(spark, _resumed(spark, d), "minutes").drop("ingested_at", "unit")
+
+
+LOG_COLUMNS = """p.day, p.ins_code, CASE WHEN f IS NULL THEN 'no_trades' WHEN good THEN 'stored'
+    ELSE 'rejected' END AS status,
+  CASE WHEN f IS NULL THEN 0 ELSE overlap END AS overlap,
+  CASE WHEN f IS NULL THEN 0 ELSE matched END AS matched, coalesce(minutes, 0) AS minutes,
+  CASE WHEN f IS NULL OR good THEN '' ELSE 'first trade ' || lpad((f // 3600)::VARCHAR, 2, '0')
+    || ':' || lpad((f % 3600 // 60)::VARCHAR, 2, '0') END AS note"""
+
+
+@query(
+    "backfill_units",
+    f"""WITH {TAPE}, {LIVE}, {VERDICT}, {PASSED}, good AS (SELECT * FROM passed WHERE good),
+made AS ({minutes_sql("good", str(OPEN), "stop")}),
+n AS (SELECT ins_code, CAST(ts AS DATE) AS day, count(*) AS minutes FROM made GROUP BY 1, 2),
+firsts AS (SELECT ins_code, day, min(sod) AS f FROM tr GROUP BY 1, 2),
+entries AS (SELECT {LOG_COLUMNS}, day(p.day) % 2 = 0 AS early, day(p.day) % 2 = 0 AND p.ins_code = 'view' AND f IS NOT NULL AS fails
+  FROM passed p LEFT JOIN firsts USING (ins_code, day) LEFT JOIN n USING (ins_code, day))
+SELECT day, ins_code, status, overlap, matched, minutes, note, CASE WHEN early AND NOT fails THEN 0 ELSE 1 END AS unit FROM entries
+UNION ALL SELECT day, ins_code, 'error', 0, 0, 0, 'timeout', 0 FROM entries WHERE fails""",
+)
+def backfill_units(spark, d):
+    """The decision log with the unit each decision came in; a failed fund-day is decided in the next one."""
+    return backfill.stored(spark, _resumed(spark, d), "log").drop("recorded_at")
+
+
 @query(
     "official_verify",
     f"""WITH {TAPE}, {OFFICIAL},

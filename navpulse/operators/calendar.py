@@ -219,15 +219,30 @@ def calendar_of_year(
     """Listed days of a Jalali year that are not plain weekly rest."""
     if not 1400 <= jalali_year <= 1500:
         raise ValueError("year must be 1400-1500")
-    first = dt.date(jalali_year + 621, 3, 1)
-    last = dt.date(jalali_year + 622, 3, 31)
-    return (
-        trading_calendar(spark, first, last, hours, observed)
-        .filter(F.col("jalali_year") == jalali_year)
-        .filter(F.col("listed") & (F.col("source") != "weekend"))
-        .select("day", "day_fa", "trading", "reason", "source")
-        .orderBy("day")
-    )
+    return calendar_of_years(spark, jalali_year, jalali_year, hours, observed).drop("jalali_year").orderBy("day")
+
+
+def calendar_of_years(
+    spark: SparkSession, first: int, last: int, hours: MarketHours, observed: DataFrame | None = None
+) -> DataFrame:
+    """The same for all Jalali years of a span."""
+    days = trading_calendar(spark, dt.date(first + 621, 3, 1), dt.date(last + 622, 3, 31), hours, observed)
+    listed = days.filter(F.col("jalali_year").between(first, last) & F.col("listed") & (F.col("source") != "weekend"))
+    return listed.select("jalali_year", "day", "day_fa", "trading", "reason", "source")
+
+
+def jalali_to_date(year: Column | str, month: Column | str, day: Column | str) -> Column:
+    """Gregorian date of a Jalali one by the closed form; null for a date that does not exist.
+
+    Six months of 31 days, five of 30, and a last one of 29, or 30 in a leap year. Years
+    outside those that the leap rule holds for have no dates.
+    """
+    y, m, d = (F.col(c) if isinstance(c, str) else c for c in (year, month, day))
+    leap = F.datediff(new_year_day(y + 1), new_year_day(y)) == 366
+    length = F.when(m <= 6, 31).when((m <= 11) | leap, 30).otherwise(29)
+    exists = y.between(FIRST_YEAR, LAST_YEAR) & m.between(1, 12) & (d >= 1) & (d <= length)
+    into = F.when(m <= 6, (m - 1) * 31).otherwise(186 + (m - 7) * 30) + d - 1
+    return F.when(exists, F.date_add(new_year_day(y), into.cast("int")))
 
 
 def from_jalali(df: DataFrame, calendar: DataFrame, year: str, month: str, day: str) -> DataFrame:

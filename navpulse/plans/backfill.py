@@ -7,15 +7,17 @@ running totals are taken over those: at most 86,400 rows a group, however busy t
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from navpulse.functions import times
 from navpulse.operators.asof import asof_lookup, number_block
 from navpulse.operators.calendar import minute_grid
-from navpulse.session import freeze
+from navpulse.session import folder_names, freeze, move_folder
 from navpulse.settings import BackfillLimits, MarketHours
+from navpulse.sources import archive
 
 KEY = ["ins_code", "day"]
 HOUR_BLOCK = 3600
@@ -286,3 +288,33 @@ def report(log: DataFrame, funds: DataFrame | None = None) -> DataFrame:
             "rejected_symbols"
         ),
     )
+
+
+def stored(spark: SparkSession, table: str, part: str) -> DataFrame | None:
+    """``minutes`` or ``log`` of all units of a backfill table, with the ``unit``; None before the first."""
+    units = [name for name in folder_names(spark, table) if name.startswith("unit=")]
+    if not units:
+        return None
+    return spark.read.option("basePath", table).parquet(*[f"{table}/{name}/{part}" for name in sorted(units)])
+
+
+def resume(spark: SparkSession, table: str, rebuild: Callable[[DataFrame], Rebuilt]) -> int | None:
+    """Decide what is still open and store it; the number of the new unit, None if nothing was open.
+
+    ``rebuild`` gets the fund-days already decided (day, ins_code). Minutes and decisions of a
+    run are one unit: they are written under a name that readers pass over, and appear
+    together by one rename. A run that dies before it is done again from the start; one
+    that dies after it finds its fund-days decided. Errors are tried again.
+    """
+    log = stored(spark, table, "log")
+    none = spark.createDataFrame([], "day date, ins_code string")
+    done = rebuild(none if log is None else archive.decided(log.drop("unit")))
+    decisions = freeze(done.log)
+    if decisions.isEmpty():
+        return None
+    units = [int(n.removeprefix("unit=")) for n in folder_names(spark, table) if n.startswith("unit=")]
+    unit = max(units, default=-1) + 1
+    decisions.write.mode("overwrite").parquet(f"{table}/_unit={unit}/log")
+    done.minutes.write.mode("overwrite").parquet(f"{table}/_unit={unit}/minutes")
+    move_folder(spark, f"{table}/_unit={unit}", f"{table}/unit={unit}")
+    return unit

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from navpulse.operators.ranking import global_rank
+from navpulse.session import freeze
 
 
 def stratified_sample(
@@ -34,49 +35,55 @@ def stratified_sample(
     return rows.filter(chosen).select(*funds.columns, "rank")
 
 
-def interpolate(df: DataFrame, x: str, points: DataFrame, px: str = "x", py: str = "y") -> DataFrame:
+def interpolate(
+    df: DataFrame, x: str, points: DataFrame, px: str = "x", py: str = "y", cells: int | None = None
+) -> DataFrame:
     """Adds ``y``: piecewise linear through the points, constant beyond both ends.
 
-    The points are one probe's sample with distinct x. Segments are filed under equal
-    cells of the x axis, about one per point, so a row meets the few segments of its cell
-    by an equality join and the range test decides.
+    The points are one probe's sample with distinct x; without points, or for a null x, y is
+    null. Rows and segments are dealt to cells of equal depth, each finds the last segment
+    that starts before it in its cell, and one summary row a cell carries the segment that
+    reaches in from the left. So points may lie as close together as they like, and a value
+    that very many rows share lies in several cells.
     """
-    pts = points.select(
-        F.lit(1).alias("_k"), F.col(px).cast("double").alias("x"), F.col(py).cast("double").alias("y")
-    )
-    ends = pts.groupBy("_k").agg(
-        F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min_by("y", "x").alias("_y0"),
-        F.max_by("y", "x").alias("_y1"), F.count("*").alias("_n"),
-    )
-    width = (F.col("_x1") - F.col("_x0")) / F.col("_n")
-    ends = ends.withColumn("_w", F.when(width > 0, width).otherwise(1.0))  # one row
-
-    def cell(c: Column) -> Column:
-        return F.floor((c - F.col("_x0")) / F.col("_w"))
-
-    pieces = (
-        segments(pts)
-        .withColumn("_k", F.lit(1))
-        .join(F.broadcast(ends), "_k")
-        .select(
-            "x0", "y0", "x1", "y1",
-            F.explode(F.sequence(cell(F.col("x0")), cell(F.col("x1")))).alias("_cell"),
-        )
-    )
-    at = F.col(x).cast("double")
-    inside = (at > F.col("_x0")) & (at <= F.col("_x1"))
-    rows = df.withColumn("_k", F.lit(1)).join(F.broadcast(ends), "_k")
-    rows = rows.withColumn("_cell", F.when(inside, cell(at)))
-    line = (at > F.col("x0")) & (at <= F.col("x1"))
-    named = pieces.withColumnRenamed("_cell", "_of")
-    found = rows.join(named, (rows["_cell"] == named["_of"]) & line, "left")
-    slope = (F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0"))
+    pts = points.select(F.col(px).cast("double").alias("x"), F.col(py).cast("double").alias("y")).filter("x IS NOT NULL")
+    ends = pts.agg(
+        F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min_by("y", "x").alias("_y0"), F.max_by("y", "x").alias("_y1")
+    )  # one row
+    dealt = equal_cells(df, x, segments(pts), cells or 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    own = dealt.filter("_kind = 1").groupBy("_cell").agg(F.max(F.struct("_at", "_segment")).alias("_own"))
+    number = dealt.select("_cell").distinct().join(own, "_cell", "left")  # a row a cell
+    left = W.orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    carried = number.select("_cell", F.last("_own", ignorenulls=True).over(left)["_segment"].alias("_carried"))
+    before = W.partitionBy("_cell").orderBy("_at", "_kind", "_salt").rowsBetween(W.unboundedPreceding, -1)
+    found = dealt.withColumn("_last", F.last("_segment", ignorenulls=True).over(before)).filter("_kind = 0")
+    found = found.join(F.broadcast(carried), "_cell", "left").crossJoin(F.broadcast(ends))
+    line, at = F.coalesce("_last", "_carried"), F.col("_at")
+    slope = (line["y1"] - line["y0"]) / (line["x1"] - line["x0"])
     value = (
         F.when(at <= F.col("_x0"), F.col("_y0"))
         .when(at > F.col("_x1"), F.col("_y1"))
-        .otherwise(F.col("y0") + slope * (at - F.col("x0")))
+        .otherwise(line["y0"] + slope * (at - line["x0"]))
+    )
+    return found.select("_row.*", value.alias("y"))
+
+
+def equal_cells(df: DataFrame, x: str, lines: DataFrame, cells: int) -> DataFrame:
+    """Rows of ``df`` (_kind 0) and segments (_kind 1) in order of x, cut into ranges of about equal depth.
+
+    At the same x rows come before segments, and rows are told apart by a running number, so
+    that a cut can lie between equal values. Written to the shared folder, because the
+    ranges come from a sample and must not change.
+    """
+    row = F.struct(*[df[c] for c in df.columns])
+    rows = df.select(
+        F.col(x).cast("double").alias("_at"), F.lit(0).alias("_kind"), F.monotonically_increasing_id().alias("_salt"), row.alias("_row")
+    )
+    starts = lines.select(
+        F.col("x0").alias("_at"), F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_salt"), F.struct("x0", "y0", "x1", "y1").alias("_segment")
     )
-    return found.select(*[rows[c] for c in df.columns], value.alias("y"))
+    both = rows.unionByName(starts, allowMissingColumns=True).repartitionByRange(cells, "_at", "_kind", "_salt")
+    return freeze(both.withColumn("_cell", F.spark_partition_id()))
 
 
 def segments(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:

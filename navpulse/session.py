@@ -84,6 +84,11 @@ def folder_names(spark: SparkSession, path: str) -> set[str]:
     return {s.getPath().getName() for s in files.listStatus(where)} if files.exists(where) else set()
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(where)
+
+
 def move_folder(spark: SparkSession, source: str, target: str) -> None:
     """Rename a folder to a name that is free: readers see all of it or nothing."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path

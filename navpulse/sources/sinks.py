@@ -7,12 +7,12 @@ alone does not prune; rows are sorted inside a file so that row-group statistics
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from navpulse.operators.latest import last_known
-from navpulse.session import freeze, remove_folder
+from navpulse.session import folder_names, freeze, make_folder, move_folder, remove_folder
 
 
 def append(df: DataFrame, path: str, partition: Sequence[str] = ()) -> None:
@@ -82,3 +82,46 @@ def expire(
     rows = spark.read.parquet(source)
     kept = rows.filter(F.col(day) >= F.date_sub(F.lit(today).cast("date"), keep_days))
     kept.write.mode("errorifexists").partitionBy(day).parquet(target)
+
+
+def current_version(spark: SparkSession, table: str) -> int | None:
+    """Number of the published version of a table, None before the first."""
+    return max((int(name) for name in folder_names(spark, f"{table}/_current")), default=None)
+
+
+def read_current(spark: SparkSession, table: str) -> DataFrame:
+    """The published version; one that is being written is not seen."""
+    version = current_version(spark, table)
+    if version is None:
+        raise RuntimeError(f"nothing is published in {table}")
+    return spark.read.parquet(f"{table}/v={version}")
+
+
+def publish(
+    df: DataFrame, table: str, partition: Sequence[str] = (), before_switch: Callable[[int], None] = lambda version: None
+) -> int:
+    """Write a whole new version and make it the current one by a single rename.
+
+    A table has one writer. What a failed attempt left under the number is written over. The
+    version before stays for readers that are still scanning it; older ones go.
+    """
+    spark = df.sparkSession
+    now = current_version(spark, table)
+    version = 0 if now is None else now + 1
+    df.write.mode("overwrite").partitionBy(*partition).parquet(f"{table}/v={version}")
+    before_switch(version)
+    make_folder(spark, f"{table}/_next/{version}")
+    move_folder(spark, f"{table}/_next/{version}", f"{table}/_current/{version}")
+    for name in folder_names(spark, table):
+        if name.startswith("v=") and int(name[2:]) < version - 1:
+            remove_folder(spark, f"{table}/{name}")
+    return version
+
+
+def expire_published(
+    spark: SparkSession, table: str, day: str, keep_days: int, today: str, partition: Sequence[str] = (),
+    before_switch: Callable[[int], None] = lambda version: None,
+) -> int:
+    """Publish a version with the days that are still within their retention; ``day`` may be a partition column or not."""
+    kept = read_current(spark, table).filter(F.col(day) >= F.date_sub(F.lit(today).cast("date"), keep_days))
+    return publish(kept, table, partition, before_switch)
