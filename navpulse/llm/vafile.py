@@ -11,8 +11,8 @@ Every block gives its own k best, which is certain within the block, and the bes
 blocks are merged per query in two partial steps. So no task holds a table, and what meets
 for a query is k rows a block.
 
-Vectors that are null or have null, NaN or infinite components (or such that do not fit 31
-bits once scaled) take no part, nor do rows without an id; vectors of another length than
+Scores are exact 64-bit integers; a finite vector whose components or scores do not fit
+raises. Vectors that are null or have null, NaN or infinite components take no part, nor do rows without an id; vectors of another length than
 the query's are not compared with it. Repeated rows are candidates each, but rows with the
 query's own id are not. A query with fewer than k candidates gets all; one without any
 gives no rows.
@@ -28,16 +28,17 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from navpulse.llm.common import freeze
 
-LARGEST = 1 << 31
 
 
 def scaled(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFrame:
     """vec_id and the integer components of the vectors that take part."""
     parts = F.transform(F.col(embedding), lambda x: x.cast("double") * scale)
-    good = F.forall("parts", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < LARGEST))
+    good = F.forall("parts", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), parts.alias("parts"))
     rows = rows.where("vec_id IS NOT NULL AND parts IS NOT NULL").where(F.coalesce(good, F.lit(False)))
-    return rows.select("vec_id", F.transform("parts", lambda x: F.floor(x).cast("long")).alias("v"))
+    wide = F.raise_error(F.concat(F.lit("a component is too large for 64 bits in vector "), F.col("vec_id").cast("string"))).cast("long")
+    whole = F.transform("parts", lambda x: F.when(F.abs(x) < 2.0**63, F.floor(x).cast("long")).otherwise(wide))
+    return rows.select("vec_id", whole.alias("v"))
 
 
 def approximation(v: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,16 +55,28 @@ def approximation(v: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray, np
     return cell, low, high
 
 
-def block_top(queries: np.ndarray, query_ids: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int, cells: int):
-    """(query, vector, score) of each query's k best vectors of the block; v is in the order of ids."""
+def products(rows: np.ndarray, query: np.ndarray, small: bool) -> np.ndarray:
+    """Exact inner products; ``small`` if none of their sums can leave 64 bits."""
+    if small:
+        return rows @ query
+    made = [sum(x * y for x, y in zip(row, query.tolist())) for row in rows.tolist()]
+    if any(not -(1 << 63) <= x < 1 << 63 for x in made):
+        raise OverflowError("a score does not fit 64 bits")
+    return np.array(made, np.int64)
+
+
+def block_top(queries: np.ndarray, query_ids: np.ndarray, exact: np.ndarray, ids: np.ndarray, k: int, cells: int):
+    """(query, vector, score) of each query's k best vectors of the block, all in whole numbers, in the order of ids."""
+    v = exact.astype(float)
     cell, low, high = approximation(v, cells)
     dims = np.arange(v.shape[1])
     lows, highs = low[cell, dims], high[cell, dims]
-    exact, wide = v.astype(np.int64), np.abs(v).max(initial=0)
+    wide = np.abs(v).max(initial=0)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     step = max(1, (1 << 21) // max(1, len(v)))
     for a in range(0, len(queries), step):
-        q = queries[a : a + step]
+        whole = queries[a : a + step]
+        q = whole.astype(float)
         plus, minus = np.maximum(q, 0), np.minimum(q, 0)
         slack = np.abs(q).sum(axis=1, keepdims=True) * wide * 2.0**-45  # more than the rounding of the sums
         upper = plus @ highs.T + minus @ lows.T + slack
@@ -74,7 +87,7 @@ def block_top(queries: np.ndarray, query_ids: np.ndarray, v: np.ndarray, ids: np
             least = np.partition(lower, len(v) - k, axis=1)[:, len(v) - k]
         else:
             least = np.full(len(q), -np.inf)
-        whole = q.astype(np.int64)
+        small = (np.abs(q).sum(axis=1) * wide < 2.0**62).tolist()
         for i in range(len(q)):
             open_rows = np.flatnonzero((upper[i] >= least[i]) & (upper[i] > -np.inf))
             open_rows = open_rows[np.argsort(-upper[i, open_rows], kind="stable")]
@@ -83,7 +96,7 @@ def block_top(queries: np.ndarray, query_ids: np.ndarray, v: np.ndarray, ids: np
                 if len(scores) >= k and upper[i, open_rows[at]] < np.partition(scores, len(scores) - k)[len(scores) - k]:
                     break  # the k-th score is certain
                 new = open_rows[at : at + more]
-                rows, scores = np.append(rows, new), np.append(scores, exact[new] @ whole[i])
+                rows, scores = np.append(rows, new), np.append(scores, products(exact[new], whole[i], small[i]))
                 at, more = at + len(new), 2 * more
             best = np.lexsort((ids[rows], -scores))[:k]
             found.append((np.full(len(best), query_ids[a + i]), ids[rows[best]], scores[best]))
@@ -145,7 +158,7 @@ def top_k(
                 if not len(others):
                     continue
                 at = np.arange(dims)
-                q, v = (values[starts[rows][:, None] + at].astype(float) for rows in (own, others))
+                q, v = (values[starts[rows][:, None] + at] for rows in (own, others))
                 made = block_top(q, ids[own], v, ids[others], k, cells)
                 if made is not None and len(made[0]):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["query_id", "vec_id", "score"])

@@ -12,7 +12,7 @@ from navpulse.llm import vafile as V
 def brute(rows, k):
     good = []
     for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) and abs(256 * x) < V.LARGEST for x in v):
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
             good.append((i, [math.floor(256 * x) for x in v]))
     out = {}
     for q, a in {i: v for i, v in good if i % 5 == 0}.items():
@@ -27,7 +27,7 @@ def test_top_k(spark, block, cells):
     rows = [(i, [rnd.uniform(-1, 1) for _ in range(6)]) for i in range(90)]
     rows += [(i, rows[3][1]) for i in range(200, 230)]  # ties
     rows += [(300, None), (305, [1.0, None]), (310, [math.nan] * 6), (315, [math.inf] * 6), (None, [1.0] * 6)]
-    rows += [(320, [1.0, 2.0]), (325, []), (330, [1e30] * 6), (335, [0.0] * 6)]
+    rows += [(320, [1.0, 2.0]), (325, []), (330, [1e7, -1e7] * 3), (331, [3e10, 1.0, -2e10, 0.0, 5e9, 7.0]), (335, [0.0] * 6)]
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, rank int, a int")
     import struct
 
@@ -47,6 +47,13 @@ def test_few_and_no_candidates(spark):
     assert V.top_k(df, df.where("false")).collect() == []
 
 
+def test_scores_beyond_64_bits_raise(spark):
+    for big in (1e30, 1e9):
+        df = spark.createDataFrame([(0, [big] * 9), (1, [big] * 9)], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="64 bits"):
+            V.top_k(df, df.where("vec_id = 0")).collect()
+
+
 def test_bounds_hold():
     rnd = np.random.default_rng(1)
     v = rnd.integers(-300, 300, (200, 5)).astype(float)
