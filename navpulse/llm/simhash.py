@@ -12,7 +12,8 @@ have been reached leave the set still to be compared. A list of near copies cost
 passes over it, not a pass for each member, and gives at most one link a member. Equal
 fingerprints are one node from the start.
 
-Null and empty texts have fingerprint zero and link like others. Rows that repeat give a
+Null and empty texts have fingerprint zero and link like others. Rows without an id link
+too; a component of such rows only has no name (null). Rows that repeat give a
 row each. An empty table gives no rows.
 """
 
@@ -169,12 +170,10 @@ def near_duplicates(
     made = freeze(fingerprints(docs, words, seed))
     nodes = freeze(made.groupBy("fp").agg(F.min("doc_id").alias("least")))
     edges = freeze(links(nodes, bits, positions))
-    ids = edges.join(nodes.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(
-        nodes.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b"
-    )
-    labels = components(ids.select("x", "y"), "x", "y")
-    classes = nodes.join(labels, nodes["least"] == labels["node"], "left").select(
-        F.col("fp").alias("of"), F.coalesce("component", "least").alias("component_id")
-    )
+    # Fingerprints are joined first and named last, so one that has only rows without an id still links.
+    labels = components(edges, "a", "b")
+    named = freeze(nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", F.coalesce("component", "fp").alias("class"), "least"))
+    least = named.groupBy("class").agg(F.min("least").alias("component_id"))
+    classes = freeze(named.join(least, "class").select(F.col("fp").alias("of"), "component_id"))
     joined = made.join(classes, F.col("fp") == F.col("of"))
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

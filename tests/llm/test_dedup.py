@@ -159,3 +159,24 @@ def test_components(spark):
         parent[y] = x
     touched = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: root(x) for x in touched}
+
+
+def test_links_through_rows_without_an_id(spark):
+    """A chain of texts, each near the next; those in the middle have no id."""
+    rnd = random.Random(12)
+    words = [f"word{i}" for i in range(400)]
+    chain, prints = [], []
+    while len(chain) < 40:
+        chain.append(" ".join(words))
+        prints.append(H.fingerprint(chain[-1].encode(), 4, 42))
+        words[rnd.randrange(len(words))] = f"new{len(chain)}"
+    rows = [(i if i % 7 == 3 else None, t) for i, t in enumerate(chain)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    near = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4
+    group = list(range(len(chain)))
+    for _ in chain:
+        group = [min(group[b] for b in range(len(chain)) if near(a, b)) for a in range(len(chain))]
+    ids = {g: min((i for j, i in enumerate(x for x, _ in rows) if group[j] == g and i is not None), default=None) for g in set(group)}
+    want = sorted(((i, ids[group[j]]) for j, (i, _) in enumerate(rows)), key=repr)
+    got = sorted(((r["doc_id"], r["component_id"]) for r in H.near_duplicates(df).collect()), key=repr)
+    assert got == want and len(set(group)) < len(chain)
