@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from navpulse.llm.common import flat_bytes, freeze, map_batches, schema_of, texts
+from navpulse.llm.common import flat_bytes, free_name, freeze, map_batches, schema_of, texts
 from navpulse.llm.exact_dedup import GRAM, rolling
 
 BLOCK = 1 << 19
@@ -383,13 +383,14 @@ def repeats(docs: DataFrame, size: int, buckets: int | None = None) -> DataFrame
 
 
 def with_ranges(docs: DataFrame, min_bytes: int, buckets: int | None) -> DataFrame:
-    """All columns of ``docs`` and the packed ranges of each row, in ``_ranges``."""
+    """All columns of ``docs`` and the packed ranges of each row, in the last column."""
     if min_bytes < GRAM + 8:
         raise ValueError("strings must be longer than the beginnings by which they meet")
     ranges = repeats(texts(docs), min_bytes, buckets)
-    packed = ranges.select(F.col("doc_id").alias("_of"), (F.shiftleft("lo", 32) + F.col("hi")).alias("r"))
-    lists = packed.groupBy("_of").agg(F.collect_list("r").alias("_ranges"))
-    return docs.join(lists, docs["doc_id"].cast("long") == lists["_of"], "left").drop("_of")
+    of, name = free_name(docs.columns, "_of"), free_name(docs.columns, "_ranges")
+    packed = ranges.select(F.col("doc_id").alias(of), (F.shiftleft("lo", 32) + F.col("hi")).alias("r"))
+    lists = packed.groupBy(of).agg(F.collect_set("r").alias(name))  # rows of one id bring the same ranges
+    return docs.join(lists, docs["doc_id"].cast("long") == lists[of], "left").select(*docs.columns, name)
 
 
 def cut_out(raw: bytes, ranges: list[int] | None, min_bytes: int) -> tuple[bytes, list[list[int]]]:
@@ -411,7 +412,7 @@ def without_repeats(docs: DataFrame, min_bytes: int = 100, buckets: int | None =
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, gone, spans, kept, sha = [], [], [], [], []
-        for text, ranges in zip(batch.column("text").cast(pa.binary()), batch.column("_ranges")):
+        for text, ranges in zip(batch.column("text").cast(pa.binary()), batch.column(batch.num_columns - 1)):
             raw = text.as_py()
             rest, cut = cut_out(raw, ranges.as_py(), min_bytes)
             sizes.append(len(raw))
@@ -441,7 +442,7 @@ def shortened(docs: DataFrame, min_bytes: int = 100, buckets: int | None = None)
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept = [
             cut_out(text.as_py(), ranges.as_py(), min_bytes)[0].decode(errors="ignore")
-            for text, ranges in zip(batch.column("text").cast(pa.binary()), batch.column("_ranges"))
+            for text, ranges in zip(batch.column("text").cast(pa.binary()), batch.column(batch.num_columns - 1))
         ]
         columns = [pa.array(kept, pa.string()) if c == "text" else batch.column(c) for c in names]
         return pa.RecordBatch.from_arrays(columns, names)

@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from navpulse.llm.common import byte_slices, freeze, map_batches, schema_of, texts
+from navpulse.llm.common import byte_slices, free_name, freeze, map_batches, schema_of, texts
 
 WORDS = re.compile(r"[^\W_](?:[^\W_]|[@$*](?=[^\W_]))*")
 #: Terms of fewer letters must match exactly.
@@ -192,7 +192,9 @@ def sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     usable = usable.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out())
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    return texts(docs).join(F.broadcast(chosen), "doc_id")  # at most max_rows pairs of numbers
+    # At most max_rows pairs of numbers, and one text for each, however often an id repeats.
+    found = texts(docs).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
 
 
 def learn_lexicon(train: DataFrame, max_terms: int) -> tuple[list[str], list[str]]:
@@ -292,22 +294,32 @@ def lexicon_of(words: list[str], stems: list[str]) -> Lexicon:
     return _lexicons[key]
 
 
+def score_columns(columns: list[str]) -> tuple[str, str]:
+    """Names of the added columns that none of the given ones has."""
+    return free_name(columns, "toxicity"), free_name(columns, "toxic")
+
+
 def scored(docs: DataFrame, model: Model, threshold: float = 0.3, slice_bytes: int = 4 << 20) -> DataFrame:
-    """All columns of ``docs``, then ``toxicity`` (0 to 1) and ``toxic`` (at or above ``threshold``)."""
-    source = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    """All columns of ``docs``, then ``toxicity`` (0 to 1) and ``toxic`` (at or above ``threshold``).
+
+    The names are those of :func:`score_columns` where ``docs`` has such columns already.
+    """
     names = docs.columns
+    score, hit = score_columns(names)
+    text = free_name(names, "_text")
+    source = docs.withColumn(text, F.coalesce(F.col("text").cast("string"), F.lit("")))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lexicon, column, out = lexicon_of(model.words, model.stems), batch.column("_text"), []
+        lexicon, column, out = lexicon_of(model.words, model.stems), batch.column(text), []
         for a, b in byte_slices(column, slice_bytes):
             out += [model.score(features(t, lexicon)) for t in column.slice(a, b - a).to_pylist()]
         hits = [s >= threshold for s in out]
         return pa.RecordBatch.from_arrays(
             [*[batch.column(c) for c in names], pa.array(out, pa.float64()), pa.array(hits, pa.bool_())],
-            [*names, "toxicity", "toxic"],
+            [*names, score, hit],
         )
 
-    return map_batches(source, run, f"{schema_of(docs)}, toxicity double, toxic boolean")
+    return map_batches(source, run, f"{schema_of(docs)}, `{score}` double, `{hit}` boolean")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 20_000) -> DataFrame:
