@@ -114,11 +114,12 @@ def pack_shard(
 
 def packed(items: DataFrame, capacity: int = 2048, shard_size: int = 1 << 20) -> DataFrame:
     """doc_id, piece, start, size, bin_id and bin_offset for (doc_id, size, source, cluster)."""
-    rows = freeze(items.select("doc_id", "size", "source", "cluster"))
+    # The running number spreads rows that share an id, or have none; it is written with them.
+    rows = freeze(items.select("doc_id", "size", "source", "cluster", F.monotonically_increasing_id().alias("row")))
     total = rows.agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-total // shard_size))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
-    dealt = dealt.repartition("shard").sortWithinPartitions("shard", F.desc("size"), "doc_id", "source", "cluster")
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "row"), F.lit(shards)))
+    dealt = dealt.drop("row").repartition("shard").sortWithinPartitions("shard", F.desc("size"), "doc_id", "source", "cluster")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         """The rows of one shard at a time."""

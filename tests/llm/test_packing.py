@@ -83,3 +83,11 @@ def test_lengths_and_clusters_of_texts(spark):
     assert got[1]["cluster"] == got[2]["cluster"] and got[3]["cluster"] == got[4]["cluster"]
     made = P.pack_documents(df, 2048).collect()
     assert sum(r["size"] for r in made if r["doc_id"] == 6) == 9000 and len([r for r in made if r["doc_id"] == 6]) == 5
+
+
+def test_rows_without_an_id_are_spread_over_shards(spark):
+    rows = [(None, 40, None, 7)] * 2000
+    df = spark.createDataFrame(rows, "doc_id long, size long, source string, cluster long")
+    made = P.packed(df, capacity=100, shard_size=8000)
+    shards = {r["shard"]: r["count"] for r in made.groupBy((F.col("bin_id") / (1 << 32)).cast("int").alias("shard")).count().collect()}
+    assert len(shards) == 10 and sum(shards.values()) == 2000 and max(shards.values()) < 400
