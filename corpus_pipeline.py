@@ -25,7 +25,8 @@ def without(docs: DataFrame, groups: DataFrame, kept) -> DataFrame:
 def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject the documents that the model calls toxic."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).where("NOT toxic").select(*docs.columns)
+    _, hit = toxicity.score_columns(docs.columns)
+    return toxicity.scored(docs, model).where(~F.col(hit)).select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
