@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline as C
@@ -93,7 +94,7 @@ def test_stages_bear_empty_and_odd_tables(spark, small):
 
 def test_contract():
     assert 4 <= len(C.STAGES) <= 5
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES}
     assert {*QUERIES, "pipeline"} <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
 
 
@@ -105,3 +106,17 @@ def test_query(spark, duck, name):  # noqa: F811
     if name in ORACLES:
         cur = duck.execute(ORACLES[name])
         assert got == canonical([c[0] for c in cur.description], cur.fetchall())
+
+
+def test_stages_keep_columns_of_any_name(spark, small):
+    """Columns called like those the operators use come through each stage as they were."""
+    folder, _ = small
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(80)
+    extra = ["toxic", "toxicity", "_text", "_ranges", "_of", "kept", "keep_id", "component_id", "fp", "class", "row", "of", "hashes"]
+    for c in extra:
+        docs = docs.withColumn(c, F.concat(F.lit(f"{c} "), "doc_id"))
+    for name, stage in C.STAGES[:-1]:
+        made = stage(spark, docs, folder)
+        assert made.columns == docs.columns, name
+        assert all(r[c] == f"{c} {r['doc_id']}" for r in made.collect() for c in extra), name
+    C.STAGES[-1][1](spark, docs, folder).collect()
