@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from navpulse import schemas
 from navpulse.catalog import proxies as px, query
 from navpulse.catalog.base_sql import FUNDS, HISTORY
-from navpulse.catalog.cycles import CYCLE_SQL, SPAN, cycle_responses, cycle_runs, cycle_universe
+from navpulse.catalog.cycles import ALL_DAYS, CYCLE_SQL, cycle_responses, cycle_runs, cycle_universe
 from navpulse.catalog.market import DAY, RETURNS_DAY_SQL
 from navpulse.catalog.payload_rows import KINDS, responses
 from navpulse.functions import text
@@ -145,14 +145,14 @@ def history_failures(spark, d):
     "fund_bars",
     f"""
 WITH {HISTORY}
-SELECT trade_date, close_price, close_price AS value,
+SELECT ins_code, trade_date, close_price, close_price AS value,
   CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN close_price
     WHEN o_orderpriority IN ('4-NOT SPECIFIED', '5-LOW') THEN -close_price ELSE 0 END AS ind_net_flow
-FROM hist WHERE ins_code = '1' AND trade_date <= DATE '{DAY}' AND trade_date > DATE '{DAY}' - 4000""",
+FROM hist WHERE trade_date <= DATE '{DAY}' AND trade_date > DATE '{DAY}' - 4000""",
 )
 def fund_bars(spark, d):
-    """The daily bars in the detail of one fund."""
-    return analytics.fund_detail(px.market(spark, d), "1", DAY, 4000)[2]
+    """The daily bars of every fund."""
+    return analytics.daily_bars(px.market(spark, d), DAY, 4000)
 
 
 def sized_funds(spark, d):
@@ -222,11 +222,11 @@ WITH run AS (SELECT o_orderkey AS k, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP
     + to_minutes((540 + o_orderkey % 300)::INT) AS tick, CAST(o_orderdate AS DATE) AS day FROM orders)
 SELECT k::VARCHAR AS run_id, tick, 3 + 2 * count(*) AS responses
 FROM run JOIN lineitem ON l_orderkey = k
-WHERE day BETWEEN DATE '{SPAN[0]}' AND DATE '{SPAN[1]}' GROUP BY 1, 2""",
+WHERE day BETWEEN DATE '{ALL_DAYS[0]}' AND DATE '{ALL_DAYS[1]}' GROUP BY 1, 2""",
 )
 def raw_of_span(spark, d):
     """Archived responses with the tick of their run, for the days asked for."""
-    raw = archive.raw_of_days(cycle_responses(spark, d), cycle_runs(spark, d), *SPAN)
+    raw = archive.raw_of_days(cycle_responses(spark, d), cycle_runs(spark, d), *ALL_DAYS)
     return raw.groupBy("run_id", "tick").agg(F.count("*").alias("responses"))
 
 

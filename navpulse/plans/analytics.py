@@ -601,13 +601,17 @@ def fund_detail(
     if not 5 <= days <= 4000:
         raise ValueError("days must be 5-4000")
     one = lambda df: df.filter(F.col("ins_code") == ins_code)
-    history = newest(_window(one(market.history), day, days, "trade_date"), "fund_history")
-    bars = history.select(
-        "trade_date", "close_price", "value",
-        metrics.net_flow("ind_buy_value", "ind_sell_value").alias("ind_net_flow"),
-    ).orderBy("trade_date")
     narrowed = Market(
         ticks=one(market.ticks), funds=one(market.funds), history=one(market.history),
         calendar=market.calendar,
     )
+    bars = daily_bars(narrowed, day, days).drop("ins_code").orderBy("trade_date")
     return snapshot(market, day, ins_code), returns(narrowed, day), bars
+
+
+def daily_bars(market: Market, day: dt.date, days: int = 120) -> DataFrame:
+    """Close, traded value and individuals' net flow of every fund and day."""
+    return newest(_window(market.history, day, days, "trade_date"), "fund_history").select(
+        "ins_code", "trade_date", "close_price", "value",
+        metrics.net_flow("ind_buy_value", "ind_sell_value").alias("ind_net_flow"),
+    )

@@ -1,9 +1,10 @@
 """Typed rows from archived JSON responses.
 
-Each payload is described by its envelope key and fields; one ``from_json`` with a declared
-schema reads it. Scalars are read as text and converted afterwards, because the provider
-writes integers as ``157502.0``, as ``157502`` or as an empty string. A response that
-cannot be read becomes an error row and never fails the batch.
+Each payload is described by its envelope key and fields; one ``from_json`` with declared
+types reads it. The provider writes integers as ``157502.0`` or ``157502``, both of which a
+double takes, but also in quotes or as an empty string: only such responses are read again
+as text, and converted afterwards. A response that cannot be read becomes an error row
+and never fails the batch.
 """
 
 from __future__ import annotations
@@ -207,19 +208,41 @@ def _convert(raw: Column, kind: str) -> Column:
     return normalize_text(raw) if kind == "text" else clean_code(raw)
 
 
-def _row_type(payload: Payload) -> T.StructType:
-    row = T.StructType([T.StructField(name, T.StringType()) for _, name, _ in payload.fields])
+#: Filled by ``from_json`` with the payload where a value does not have its declared type.
+REST = "_rest"
+
+
+def _scalar(kind: str, typed: bool) -> T.DataType:
+    return T.DoubleType() if typed and kind in ("int", "float") else T.StringType()
+
+
+def _row_type(payload: Payload, typed: bool = False) -> T.StructType:
+    row = T.StructType([T.StructField(name, _scalar(kind, typed)) for _, name, kind in payload.fields])
     if payload.levels:
-        level = T.StructType([T.StructField(n, T.StringType()) for _, n, _ in payload.levels])
+        level = T.StructType([T.StructField(n, _scalar(kind, typed)) for _, n, kind in payload.levels])
         row = row.add(payload.levels_name, T.ArrayType(level))
     return row
 
 
-def _body_type(payload: Payload) -> T.StructType:
-    body: T.DataType = _row_type(payload)
+def _body_type(payload: Payload, typed: bool = False) -> T.StructType:
+    body: T.DataType = _row_type(payload, typed)
     if payload.inner:
         body = T.StructType().add(payload.inner, body)
-    return T.StructType().add(payload.envelope, T.ArrayType(body) if payload.many else body)
+    whole = T.StructType().add(payload.envelope, T.ArrayType(body) if payload.many else body)
+    return whole.add(REST, T.StringType()) if typed else whole
+
+
+def _typed_row(row: Column, payload: Payload) -> Column:
+    """A row read as text in the declared types."""
+
+    def scalar(value: Column, kind: str) -> Column:
+        return value.try_cast("double") if kind in ("int", "float") else value
+
+    fields = [scalar(row[name], kind).alias(name) for _, name, kind in payload.fields]
+    if payload.levels:
+        one = lambda x: F.struct(*[scalar(x[n], kind).alias(n) for _, n, kind in payload.levels])
+        fields.append(F.transform(row[payload.levels_name], one).alias(payload.levels_name))
+    return F.when(row.isNotNull(), F.struct(*fields))
 
 
 def _unreadable_number(row: Column, payload: Payload) -> Column:
@@ -282,15 +305,44 @@ def _problem(doc: Column, payload: Payload) -> Column:
     )
 
 
+def _answered() -> Column:
+    return F.coalesce(F.col("status_code").between(200, 299), F.lit(False))
+
+
+def _as_declared(payload: Payload) -> Column:
+    """The payload by one parse into declared types."""
+    return F.from_json("payload", _body_type(payload, True), {"columnNameOfCorruptRecord": REST})
+
+
+def _as_text(payload: Payload) -> Column:
+    return F.from_json("payload", _body_type(payload))
+
+
+def _fits(doc: Column, payload: Payload) -> Column:
+    """Every value had its declared type, so nothing is left to judge."""
+    return doc[REST].isNull() & _body(doc, payload).isNotNull()
+
+
+def _listed(body: Column, payload: Payload) -> Column:
+    return body if payload.many else F.when(body.isNotNull(), F.array(body))
+
+
 def _usable_rows(payload: Payload) -> Column:
-    """The rows of a response as an array; null when it cannot be used or is empty."""
+    """The rows of a response as an array; null when it cannot be used or is empty.
+
+    Only what does not fit the declared types (numbers in quotes, empty texts, no body) is
+    read again as text and judged value by value.
+    """
+
+    def judged(doc: Column) -> Column:
+        rows = F.transform(_listed(_body(doc, payload), payload), lambda row: _typed_row(row, payload))
+        return F.when(_problem(doc, payload).isNull(), rows)
 
     def rows(doc: Column) -> Column:
-        body = _body(doc, payload)
-        listed = body if payload.many else F.when(body.isNotNull(), F.array(body))
-        return F.when(_problem(doc, payload).isNull(), listed)
+        usual = _listed(_body(doc, payload), payload)
+        return F.when(_fits(doc, payload), usual).otherwise(_once(_as_text(payload), judged))
 
-    return _once(F.from_json("payload", _body_type(payload)), rows)
+    return F.when(_answered(), _once(_as_declared(payload), rows))
 
 
 def parse(raw: DataFrame, endpoint: str, keep: tuple[str, ...] = ("run_id",)) -> DataFrame:
@@ -328,7 +380,9 @@ def parse(raw: DataFrame, endpoint: str, keep: tuple[str, ...] = ("run_id",)) ->
 
 
 def _problem_of(payload: Payload) -> Column:
-    return _once(F.from_json("payload", _body_type(payload)), lambda doc: _problem(doc, payload))
+    slow = _once(_as_text(payload), lambda doc: _problem(doc, payload))
+    fits = _once(_as_declared(payload), lambda doc: _fits(doc, payload))
+    return F.when(_answered() & fits, F.lit(None)).otherwise(slow)
 
 
 def errors(raw: DataFrame) -> DataFrame:
