@@ -15,6 +15,7 @@ Repeated rows are scanned each; an empty table gives no rows; other columns are
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from itertools import chain
 
 import pyarrow as pa
@@ -225,42 +226,58 @@ def known_sentences(text: str) -> list[tuple[int, int, str]]:
     for start, stop, name in found:
         last[stop, name] = max(start, last.get((stop, name), 0))
     found -= {s for s in open_ended if s[0] < last[s[1], s[2]]}
-    chosen: list[tuple[int, int, str]] = []
+    chosen: list[tuple[int, int, str]] = []  # in order, none overlaps another
     for start, end, name in sorted(found, key=lambda s: (s[0] - s[1], s)):
-        if all(end <= a or start >= b for a, b, _ in chosen):
-            chosen.append((start, end, name))
-    return sorted(chosen)
+        at = bisect_left(chosen, (start, end, name))
+        if (at == 0 or chosen[at - 1][1] <= start) and (at == len(chosen) or chosen[at][0] >= end):
+            chosen.insert(at, (start, end, name))
+    return chosen
 
 
 def matched(sentences: list[tuple[int, int, str]], gap: int) -> list[tuple[str, int, int, int]]:
-    """(licence, start, end, sentences) of the rules that hold, by place."""
-    free, out = list(range(len(sentences))), []
+    """(licence, start, end, sentences) of the rules that hold, by place.
+
+    Each rule goes once over the sentences that no longer rule has taken; they are a linked
+    list, so taking one costs nothing for the others.
+    """
+    names, end, out = [name for *_, name in sentences], len(sentences), []
+    after, before = [*range(1, end + 1), 0], [*range(-1, end)]  # place -1, the last of the list, is before the first
+    known = set(names)
     for licence, rule in sorted(RULES, key=lambda r: -len(r[1])):
-        at = 0
-        while at < len(free):
-            taken = follow([sentences[i][2] for i in free], at, rule, gap)
+        if not known.issuperset(rule):
+            continue
+        at = after[-1]
+        while at != end:
+            taken = follow(names, after, at, rule, gap)
             if taken is None:
-                at += 1
+                at = after[at]
                 continue
-            rows = [sentences[free[i]] for i in taken]
-            out.append((licence, rows[0][0], rows[-1][1], len(rows)))
-            free = [x for i, x in enumerate(free) if i not in set(taken)]
-    for i in free:
-        start, end, name = sentences[i]
+            left = before[at]
+            for i in taken:
+                after[before[i]], before[after[i]] = after[i], before[i]
+            out.append((licence, sentences[taken[0]][0], sentences[taken[-1]][1], len(taken)))
+            at = after[left]
+    at = after[-1]
+    while at != end:
+        start, stop, name = sentences[at]
         if name.startswith("spdx:"):
-            out.append((name, start, end, 1))
+            out.append((name, start, stop, 1))
+        at = after[at]
     return sorted(out, key=lambda r: (r[1], r[2], r[0]))
 
 
-def follow(names: list[str], at: int, rule: tuple[str, ...], gap: int) -> list[int] | None:
+def follow(names: list[str], after: list[int], at: int, rule: tuple[str, ...], gap: int) -> list[int] | None:
     """Places of the rule's sentences from ``at`` on, or None."""
     if names[at] != rule[0]:
         return None
-    taken = [at]
+    taken, end = [at], len(names)
     for want in rule[1:]:
-        after = taken[-1] + 1
-        place = next((i for i in range(after, min(after + gap + 1, len(names))) if names[i] == want), None)
-        if place is None:
+        place = after[taken[-1]]
+        for _ in range(gap):
+            if place == end or names[place] == want:
+                break
+            place = after[place]
+        if place == end or names[place] != want:
             return None
         taken.append(place)
     return taken

@@ -78,3 +78,21 @@ def test_named_holders_projects_and_further_licences():
     assert names("{}. {}\n\n1. {}; you must not claim.\n2. {}.\n3. {}.".format(*zlib)) == ["Zlib"]
     text = "Read\nThis work is licensed under the GNU General Public License, version 3.\n"
     assert [s[0] for s in L.known_sentences(text)] == [5]
+
+
+def test_many_licence_lines_take_time_in_proportion():
+    import time
+
+    text = "Licensed under the MIT license.\nLicensed under the Apache License, Version 2.0.\n"
+    spent = []
+    for n in (500, 4000):
+        began = time.perf_counter()
+        sentences = L.known_sentences(text * n)
+        made = L.matched(sentences, 2)
+        spent.append(time.perf_counter() - began)
+        assert len(sentences) == 2 * n and made
+    assert spent[1] < 8 * spent[0] * 4  # it was the square: 64 times
+    names = [(i, i + 1, f"n{i}") for i in range(100_000)]
+    began = time.perf_counter()
+    assert L.matched(names, 2) == []
+    assert time.perf_counter() - began < 5
