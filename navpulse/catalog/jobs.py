@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from navpulse import schemas
 from navpulse.catalog import proxies as px, query
-from navpulse.catalog.base_sql import FUNDS, HISTORY
+from navpulse.catalog.base_sql import EV, FUNDS, HISTORY, UNITS
 from navpulse.catalog.cycles import ALL_DAYS, CYCLE_SQL, cycle_responses, cycle_runs, cycle_universe
 from navpulse.catalog.market import DAY, RETURNS_DAY_SQL
 from navpulse.catalog.payload_rows import KINDS, responses
@@ -19,6 +20,7 @@ from navpulse.operators.ranking import global_rank
 from navpulse.plans import analytics, history, marts, ops, replay, universe
 from navpulse.session import freeze, scratch_path
 from navpulse.sources import archive, payloads, sinks
+from navpulse.streaming import pipeline
 
 WORD, KIND = text.TYPE_WORDS[1]
 STAMP = "2024-02-01 08:00:00"
@@ -317,3 +319,78 @@ def retention_swap(spark, d):
             raise AssertionError("a failed attempt shows") from None
     sinks.expire_published(spark, table, "trade_date", 400, "1998-08-02", ["year"])
     return sinks.read_current(spark, table).drop("year")
+
+
+@query(
+    "universe_fallback",
+    f"""
+WITH {EV}, {FUNDS}, {UNITS},
+last_units AS (SELECT ins_code, nullif(arg_max(units, trade_date), 0) AS units FROM units GROUP BY 1),
+known AS (SELECT f.ins_code, c_custkey % 3 = 0 AS synced FROM funds f JOIN customer ON c_custkey::VARCHAR = f.ins_code
+  WHERE c_acctbal >= 0 AND fund_type IN ('equity', 'index', 'sector', 'leveraged'))
+SELECT DATE '2024-01-02' AS day, ins_code, units FROM known LEFT JOIN last_units USING (ins_code) WHERE synced
+UNION ALL SELECT DATE '2024-01-03', ins_code, units FROM known LEFT JOIN last_units USING (ins_code)""",
+)
+def universe_fallback(spark, d):
+    """The funds synced on a day; on the next, when none was, the last known ones."""
+    stamp = F.when(F.col("ins_code").cast("long") % 3 == 0, "2024-01-02 09:00:00").otherwise("2024-01-01 09:00:00")
+    funds = freeze(px.funds(spark, d).withColumn("updated_at", stamp.cast("timestamp")))
+    units = px.units(spark, d)
+
+    def of(day: dt.date):
+        return archive.universe_of_day(funds, units, day).select(F.lit(day).alias("day"), "ins_code", "units")
+
+    return of(dt.date(2024, 1, 2)).unionByName(of(dt.date(2024, 1, 3)))
+
+
+@query(
+    "flow_order",
+    f"""
+WITH {FUNDS}, {HISTORY}, g AS (SELECT DISTINCT trade_date, fund_type FROM hist JOIN funds USING (ins_code))
+SELECT trade_date, fund_type, row_number() OVER (ORDER BY trade_date, fund_type) AS place FROM g""",
+)
+def flow_order(spark, d):
+    """Places of the days' flows, by date and then type."""
+    members = px.funds(spark, d).select("ins_code", "fund_type")
+    groups = px.history(spark, d).join(members, "ins_code").select("trade_date", "fund_type").distinct()
+    return global_rank(groups, [F.col("trade_date"), F.col("fund_type")], "place")
+
+
+@query(
+    "bars_in_order",
+    f"""
+WITH {HISTORY}
+SELECT ins_code, trade_date, row_number() OVER (ORDER BY trade_date, ins_code) AS place
+FROM hist WHERE trade_date <= DATE '{DAY}' AND trade_date > DATE '{DAY}' - 4000""",
+)
+def bars_in_order(spark, d):
+    """All bars in the order of their days, whatever order they are stored in."""
+    shuffled = px.market(spark, d)
+    bars = analytics.daily_bars(replace(shuffled, history=shuffled.history.repartition("ins_code")), DAY, 4000)
+    return global_rank(bars.select("ins_code", "trade_date"), [F.col("trade_date"), F.col("ins_code")], "place")
+
+
+@query(
+    "raw_first",
+    """
+SELECT o_orderstatus AS endpoint, count(*) AS responses, sum(o_orderkey)::BIGINT AS keys,
+  count(*) FILTER (o_orderkey % 10 = 3) AS not_json FROM orders GROUP BY 1""",
+)
+def raw_first(spark, d):
+    """Responses go to the archive as they came, readable or not, before anything parses them."""
+    work = scratch_path(spark, "raw")
+    made = px.table(spark, d, "orders").selectExpr(
+        "CAST(o_orderdate AS TIMESTAMP) AS fetched_at", "CAST(o_orderkey AS STRING) AS run_id", "'p' AS provider",
+        "o_orderstatus AS endpoint", "CAST(o_custkey AS STRING) AS ins_code", "200 AS status_code",
+        "IF(o_orderkey % 10 = 3, 'not json', '{}') AS payload",
+    )
+    have = set(made.columns)
+    shape = [(F.col(f.name) if f.name in have else F.lit(1)).cast(f.dataType).alias(f.name) for f in schemas.RAW_RESPONSES]
+    made.select(*shape).write.parquet(f"{work}/in")
+    stream = pipeline.raw_stream(spark, f"{work}/in", files_per_batch=4)
+    pipeline.archive_first(stream, f"{work}/raw", f"{work}/checkpoint").awaitTermination()
+    stored = spark.read.schema(schemas.RAW_RESPONSES).parquet(f"{work}/raw")
+    return stored.groupBy("endpoint").agg(
+        F.count("*").alias("responses"), F.sum(F.col("run_id").cast("long")).alias("keys"),
+        F.count_if(F.col("payload") == "not json").alias("not_json"),
+    )
