@@ -394,3 +394,33 @@ def raw_first(spark, d):
         F.count("*").alias("responses"), F.sum(F.col("run_id").cast("long")).alias("keys"),
         F.count_if(F.col("payload") == "not json").alias("not_json"),
     )
+
+
+@query(
+    "history_sync",
+    """
+WITH f AS (SELECT p_partkey AS p, p_size AS s, CASE WHEN p_size % 7 = 0 THEN 'daily_history:' || p_partkey || ': HTTP 503'
+    WHEN p_size % 11 = 0 AND p_size % 5 != 0 THEN 'client_type_history:' || p_partkey || ': parse error: a number is not one' END AS error
+  FROM part)
+SELECT p::VARCHAR AS ins_code, CASE WHEN error IS NULL THEN 2 ELSE 0 END AS rows, error,
+  CASE WHEN error IS NULL THEN 11 * s END::BIGINT AS closes, CASE WHEN error IS NULL AND s % 5 = 0 THEN 0 WHEN error IS NULL THEN 3 * p END::BIGINT AS bought
+FROM f""",
+)
+def history_sync(spark, d):
+    """Every part as a fund with two answers; some fail, some cannot be read, the others are stored."""
+    part = px.table(spark, d, "part").selectExpr("CAST(p_partkey AS STRING) AS ins_code", "p_partkey AS p", "p_size AS s")
+    shape = "'r1' AS run_id", "ins_code", "CAST(NULL AS TIMESTAMP) AS fetched_at"
+    prices = part.selectExpr(
+        *shape, "'daily_history' AS endpoint", "IF(s % 7 = 0, 503, 200) AS status_code",
+        """concat('{"closingPriceDaily":[{"dEven":20240110,"pClosing":', s * 10, ',"qTotTran5J":"7"},',
+          '{"dEven":20240109,"pClosing":', s, '.0,"qTotCap":5}]}') AS payload""",
+    )
+    flows = part.selectExpr(
+        *shape, "'client_type_history' AS endpoint", "IF(s % 5 = 0, 503, 200) AS status_code",
+        """concat('{"clientType":[{"recDate":20240110,"buy_I_Value":', IF(s % 11 = 0, '"x"', CAST(p * 3 AS STRING)), '}]}') AS payload""",
+    )
+    table = scratch_path(spark, "history")
+    report = history.sync(freeze(prices.unionByName(flows)), 30, STAMP, table)
+    stored = archive.read_table(spark, table, schemas.FUND_HISTORY, "fund_history")
+    sums = stored.groupBy("ins_code").agg(F.sum("close_price").alias("closes"), F.sum("ind_buy_value").alias("bought"))
+    return report.join(sums, "ins_code", "left")

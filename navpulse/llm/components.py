@@ -2,9 +2,10 @@
 
 Each round hangs every larger neighbour of a node onto the node's smallest neighbour, then
 every smaller one likewise; the edge list never grows beyond its length, and a logarithmic
-number of rounds leaves a star around the smallest node of each component. A node with
-very many edges meets its minimum in a join that adaptive execution can split. The edge
-list of a round is written to the shared folder, which cuts the lineage.
+number of rounds leaves a star around the smallest node of each component. Minima are taken
+per task first, but in the join with its minimum the edges of one node, two longs each,
+come to one task. The edge list of a round is written to the shared folder, which cuts the
+lineage.
 """
 
 from __future__ import annotations

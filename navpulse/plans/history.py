@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from navpulse import schemas
 from navpulse.functions import times
 from navpulse.operators.latest import latest_version
+from navpulse.session import freeze
+from navpulse.sources import payloads, sinks
 
 FLOW_COLUMNS = tuple(
     f"{who}_{side}_{what}"
@@ -47,7 +49,28 @@ def history_rows(
 
 def failed_funds(raw: DataFrame) -> DataFrame:
     """Funds whose price history could not be read; the others are written all the same."""
-    from navpulse.sources.payloads import errors
-
-    bad = errors(raw.filter(F.col("endpoint") == "daily_history"))
+    bad = payloads.errors(raw.filter(F.col("endpoint") == "daily_history"))
     return bad.select("ins_code", "error")
+
+
+def sync(raw: DataFrame, days: int, updated_at: str, table: str) -> DataFrame:
+    """Read, merge and append the histories of all funds; one row a fund: rows written, error.
+
+    ``raw``: price and client histories of one sync. A fund whose prices were not answered, or of
+    which an answer cannot be read, gets no rows and does not stop the others; one whose
+    client history was not answered gets its prices alone.
+    """
+    prices, flows = F.col("endpoint") == "daily_history", F.col("endpoint") == "client_type_history"
+    judged = raw.filter(prices | (flows & F.col("status_code").between(200, 299)))
+    failed = freeze(payloads.errors(judged).groupBy("ins_code").agg(F.min("error").alias("error")))
+    named = ("ins_code",)
+
+    def read(endpoint: str) -> DataFrame:
+        return payloads.parse(raw, endpoint, named).join(failed, "ins_code", "left_anti")
+
+    rows = freeze(history_rows(read("daily_history"), read("client_type_history"), days, updated_at))
+    sinks.append(rows, table)
+    written = rows.groupBy("ins_code").agg(F.count("*").alias("rows"))
+    asked = raw.filter(prices).select("ins_code").distinct()
+    made = asked.join(written, "ins_code", "left").join(failed, "ins_code", "left")
+    return made.select("ins_code", F.coalesce("rows", F.lit(0)).alias("rows"), "error")

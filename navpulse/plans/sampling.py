@@ -49,7 +49,7 @@ def interpolate(
     pts = points.select(F.col(px).cast("double").alias("x"), F.col(py).cast("double").alias("y")).filter("x IS NOT NULL")
     ends = pts.agg(
         F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min_by("y", "x").alias("_y0"), F.max_by("y", "x").alias("_y1")
-    )  # one row
+    ).withColumn("_k", F.lit(1))  # one row
     dealt = equal_cells(df, x, segments(pts), cells or 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     own = dealt.filter("_kind = 1").groupBy("_cell").agg(F.max(F.struct("_at", "_segment")).alias("_own"))
     number = dealt.select("_cell").distinct().join(own, "_cell", "left")  # a row a cell
@@ -57,7 +57,7 @@ def interpolate(
     carried = number.select("_cell", F.last("_own", ignorenulls=True).over(left)["_segment"].alias("_carried"))
     before = W.partitionBy("_cell").orderBy("_at", "_kind", "_salt").rowsBetween(W.unboundedPreceding, -1)
     found = dealt.withColumn("_last", F.last("_segment", ignorenulls=True).over(before)).filter("_kind = 0")
-    found = found.join(F.broadcast(carried), "_cell", "left").crossJoin(F.broadcast(ends))
+    found = found.join(F.broadcast(carried), "_cell", "left").withColumn("_k", F.lit(1)).join(F.broadcast(ends), "_k")
     line, at = F.coalesce("_last", "_carried"), F.col("_at")
     slope = (line["y1"] - line["y0"]) / (line["x1"] - line["x0"])
     value = (
