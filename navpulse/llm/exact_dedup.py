@@ -135,7 +135,6 @@ def grouped(rows: DataFrame) -> DataFrame:
     """The row that stays in each group of equal recipes; partial maxima make hot groups small."""
     best = F.max(F.struct("points", F.bitwise_not("doc_id").alias("id"), F.bitwise_not("row").alias("row"))).alias("best")
     groups = rows.groupBy("recipe").agg(best, F.count("*").alias("group_size")).withColumnRenamed("recipe", "of")
-    groups = freeze(groups)  # a plain scan, so that the join can split the rows of a hot group
     joined = rows.join(groups, F.col("recipe") == F.col("of"))
     return joined.select(
         "doc_id",
