@@ -43,12 +43,14 @@ def cycle_records(
 ) -> DataFrame:
     """The record of each run: requests, funds, issues, status and note, by one row per run.
 
-    ``ticks`` are validated rows (with filled and repaired) or built ones.
+    ``ticks`` are validated rows (with filled and repaired) or built ones. ``expected`` are
+    fund and cycle pairs, or their number per run as ``expected_funds`` (``due_funds``).
     """
     asked = raw.groupBy("run_id").agg(
         F.count("*").alias("requests"), F.count_if(~F.col("status_code").between(200, 299)).alias("failed")
     )
-    due = expected.groupBy("run_id").agg(F.count("*").alias("expected_funds"))
+    counted = "expected_funds" in expected.columns
+    due = expected if counted else expected.groupBy("run_id").agg(F.count("*").alias("expected_funds"))
     fresh = ~F.col("filled") if "filled" in ticks.columns else F.lit(True)
     repaired = F.col("repaired") if "repaired" in ticks.columns else F.lit(False)
     came = ticks.groupBy("run_id").agg(
