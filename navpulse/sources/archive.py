@@ -27,15 +27,19 @@ def read_table(
 
 
 def raw_of_days(
-    raw: DataFrame, runs: DataFrame, first: dt.date | None = None, last: dt.date | None = None
+    raw: DataFrame, runs: DataFrame, first: dt.date | None = None, last: dt.date | None = None, few: bool = False
 ) -> DataFrame:
-    """Archived responses of the runs whose tick falls in the span, with the tick."""
+    """Archived responses of the runs whose tick falls in the span, with the tick.
+
+    ``few`` says that the span is short against the archive: its run ids go to all tasks, and
+    the payloads of other runs are not shuffled.
+    """
     ticks = runs.select("run_id", "tick").filter(F.col("tick").isNotNull())
     if first is not None:
         ticks = ticks.filter(F.col("tick") >= F.lit(first).cast("timestamp"))
     if last is not None:
         ticks = ticks.filter(F.col("tick") < F.date_add(F.lit(last), 1).cast("timestamp"))
-    return raw.join(ticks, "run_id")
+    return raw.join(F.broadcast(ticks) if few else ticks, "run_id")
 
 
 def active_funds(

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 
 import pytest
 
-from navpulse.catalog import cycles
+from navpulse import schemas, session
+from navpulse.catalog import cycles, jobs
+from navpulse.operators.calendar import trading_calendar
+from navpulse.plans import replay, ticks as tick_plan
+from navpulse.plans.validate import validate
+from navpulse.settings import MarketHours
 
 DAY = dt.datetime(1995, 3, 2)
 
@@ -57,3 +63,87 @@ def test_archive_of_an_order(spark, folder):
     assert sum(r.run_id is None for r in made) == 3  # lines without an order key are one response of each kind
     lines = [(r.run_id, r.ins_code, r.status_code) for r in made if r.endpoint == "closing_price_info"]
     assert lines.count(("300", "11", 200)) == 2 and not [x for x in lines if x[0] == "99"]
+
+
+def unfolded(lines):
+    return [line for line in lines if re.search(r"explode\(_?cycles", line)]
+
+
+def plan_lines(df):
+    return df._jdf.queryExecution().executedPlan().toString().splitlines()
+
+
+def rows_of(df, *columns):
+    return sorted(map(str, df.select(*columns or df.columns).collect()))
+
+
+def test_responses_of_runs_without_a_minute_are_not_parsed(spark, folder):
+    """Of the two orders of one minute the later counts; the other's responses go before any shuffle."""
+    made = cycles.cycles(spark, folder)
+    assert {r.run_id for r in made.ticks.collect()} == {"600", "8"}
+    assert any("BroadcastHashJoin" in line and "LeftSemi" in line for line in plan_lines(made.ticks))
+
+
+def test_pairs_are_not_shuffled_to_find_the_missing(spark, folder):
+    made = cycles.cycles(spark, folder)
+    assert rows_of(made.missing) == rows_of(tick_plan.missing_funds(made.expected, made.ticks), *made.missing.columns)
+    missing = cycles.cycle_missing(spark, folder)
+    assert unfolded(plan_lines(missing)) and not unfolded(below_exchanges(missing))
+
+
+def test_record_counts_pairs_without_making_them(spark, folder):
+    record = jobs.cycle_record(spark, folder)
+    assert not unfolded(plan_lines(record))
+    expected = cycles.cycles(spark, folder).expected
+    pairs = {r.run_id: r["count"] for r in expected.groupBy("run_id").count().collect()}
+    # The failed order's minute is a cycle of its day too; the minute's earlier order is none.
+    assert pairs == {r.run_id: r.expected_funds for r in record.collect() if r.expected_funds}
+    assert set(pairs) == {"26", "600", "7", "8"}
+
+
+def tick(code, minute, **given):
+    at = DAY + dt.timedelta(minutes=540 + minute)
+    row = dict.fromkeys(schemas.TICK_COLUMNS, 100) | {"ins_code": code, "ts": at, "run_id": f"r{minute}", "ingested_at": at}
+    row |= {"nav_at": None, "nav_redemption": None, "quality_flags": 0, "band_low": 50, "band_high": 200, "feed_heven": minute}
+    return row | given
+
+
+def test_leading_absences_decide_nothing(spark):
+    """Validated with the decisive pairs only, a day has the same rows, issues and state."""
+    minutes = [0, 1, 2, 3, 4, 5, 6, 20, 21, 22]
+    runs = [(f"r{m}", DAY + dt.timedelta(minutes=540 + m), DAY + dt.timedelta(minutes=540 + m)) for m in minutes]
+    ran = tick_plan.cycles_of(spark.createDataFrame(runs, "run_id string, tick timestamp, finished_at timestamp"))
+    rows = [
+        tick("a", 0), tick("a", 4, last_price=300), tick("b", 5, last_price=300), tick("b", 20, last_price=90, volume=1),
+        tick("c", 22), tick("d", 2, nav_redemption=7), tick("d", 3),
+    ]
+    shape = ", ".join(
+        f"{c} {'timestamp' if c in ('ts', 'ingested_at', 'nav_at') else 'string' if c in ('ins_code', 'run_id') else 'int' if c == 'quality_flags' else 'long'}"
+        for c in (*schemas.TICK_COLUMNS, "band_low", "band_high", "feed_heven")
+    )
+    ticks = spark.createDataFrame([tuple(r[f.split()[0]] for f in shape.split(", ")) for r in rows], shape)
+    universe = spark.createDataFrame([(c, DAY.date()) for c in "abcdez"], "ins_code string, day date")
+    hours = MarketHours()
+    calendar = trading_calendar(spark, DAY.date(), DAY.date(), hours)
+    expected, decisive = tick_plan.expected_rows(ran, universe), tick_plan.decisive_rows(universe, ran, ticks)
+    # a: all ten; b: from minute 5 on and the first; c: first and last; d: but 1; e, z: first and last.
+    assert (expected.count(), decisive.count()) == (60, 10 + 6 + 2 + 9 + 4)
+    whole, short = (validate(ticks, due, hours, calendar) for due in (expected, decisive.select(*expected.columns)))
+    for part in ("ticks", "issues", "state"):
+        assert rows_of(getattr(whole, part)) == rows_of(getattr(short, part))
+    assert {r.ins_code for r in short.issues.collect() if r.check == "missing_fund"} == set("abcdez")
+
+
+def test_a_span_is_taken_from_the_archive_without_a_shuffle(spark, folder, monkeypatch):
+    """A replay reads its span's responses out of the archive once; no payload of the archive is shuffled for it."""
+    frozen = []
+    monkeypatch.setattr(replay, "freeze", lambda df: frozen.append(df) or session.freeze(df), raising=False)
+    raw = session.freeze(cycles.cycle_responses(spark, folder))
+    calendar = trading_calendar(spark, DAY.date(), DAY.date(), MarketHours())
+    universe = cycles.cycle_universe(spark, folder)
+    done, made = replay.replay(raw, cycles.cycle_runs(spark, folder), universe, MarketHours(), calendar, DAY.date(), DAY.date())
+    assert [r.run_id for r in made.market.collect()] == ["600"]
+    assert sorted((r.ins_code, r.filled) for r in done.ticks.collect()) == [("11", False), ("11", True), ("11", True)]
+    (responses,) = frozen
+    assert not any("payload" in line for line in below_exchanges(responses))
+    assert {r.run_id for r in responses.collect()} == {"26", "300", "600"}
