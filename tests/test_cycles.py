@@ -7,9 +7,10 @@ import json
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from navpulse import schemas, session
-from navpulse.catalog import cycles, jobs
+from navpulse.catalog import QUERIES, cycles, jobs
 from navpulse.operators.calendar import trading_calendar
 from navpulse.plans import replay, ticks as tick_plan
 from navpulse.plans.validate import validate
@@ -91,6 +92,60 @@ def test_pairs_are_not_shuffled_to_find_the_missing(spark, folder):
     assert unfolded(plan_lines(missing)) and not unfolded(below_exchanges(missing))
 
 
+def test_a_missing_pair_costs_no_conversion_and_no_columns_nobody_reads(spark, folder):
+    """A cycle's time is told once per cycle; with it only the times of a day travel, to all tasks whatever they measure."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        missing = QUERIES["cycle_missing"](spark, folder)
+        plan = plan_lines(missing)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    unfolds = next(i for i, line in enumerate(plan) if "Generate posexplode(_cycles" in line)
+    assert not [line for line in plan[:unfolds] if "cast(" in line or "run_id" in line]
+    assert "BroadcastHashJoin [day" in next(line for line in plan[unfolds:] if "Join" in line)
+    made = cycles.cycles(spark, folder).missing
+    assert [tuple(r) for r in made.select("ins_code", F.col("ts").cast("timestamp_ntz")).orderBy("ins_code", "ts").collect()] == [
+        tuple(r) for r in missing.orderBy("ins_code", "ts").collect()
+    ]
+    told = {(r.ts, r.run_id) for r in made.collect()}
+    assert {run for _, run in told} == {"26", "600", "7"} and len(told) == 3
+
+
+def test_archive_is_shuffled_once(spark, folder):
+    """Lines and dates of an order travel once, and every response comes out of the order's one row."""
+    plan = plan_lines(cycles.cycle_responses(spark, folder))
+    assert sum("Exchange" in line for line in plan) == 1
+    assert sum("Generate" in line for line in plan) == 1 and not [line for line in plan if "Join" in line]
+
+
+def test_archive_of_a_date_that_comes_twice_or_is_null(spark, tmp_path):
+    """A line's own responses come once per row of its order; those of the whole order once."""
+    orders = [(1, DAY), (1, DAY + dt.timedelta(days=1)), (2, None), (None, DAY), (3, DAY)]
+    lines = [(1, 1, 12, 5, 3.0, 1.5), (1, 1, 110, 5, 3.0, 1.5), (2, 1, 11, 5, 3.0, 1.5), (None, 1, 10, 5, 3.0, 1.5), (4, 1, 10, 5, 3.0, 1.5)]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    shape = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double"
+    spark.createDataFrame(lines, shape).write.parquet(f"{tmp_path}/lineitem.parquet")
+    made = cycles.cycle_responses(spark, str(tmp_path)).collect()
+    of = lambda run, endpoint: [r.payload for r in made if (r.run_id, r.endpoint) == (run, endpoint)]
+    assert [w["insCode"] for w in json.loads(of("1", "market_watch")[0])["marketwatch"]] == ["110", "12", "b110", "b12"]
+    assert sorted(json.loads(p)["etf"]["deven"] for p in of("1", "etf") if "deven" in p) == [19950302, 19950303]
+    assert (len(of("1", "etf")), len(of("1", "closing_price_info")), len(of("1", "client_type_all"))) == (4, 4, 1)
+    assert of("2", "etf") == [None] and len(of("2", "closing_price_info")) == 1
+    assert sorted(str(r.run_id) for r in made if r.endpoint == "market_overview") == ["1", "2", "4", "None"]
+    assert not of("4", "etf") and not of(None, "etf") and not of("3", "market_watch")
+
+
+def test_universe_is_shuffled_once_and_shared(spark, folder):
+    plan = plan_lines(cycles.cycle_universe(spark, folder).select("ins_code", "day"))
+    assert sum("Exchange hashpartitioning(ins_code" in line for line in plan) == 1
+    assert not [line for line in plan if "Exchange hashpartitioning(l_partkey" in line]
+    missing = cycles.cycle_missing(spark, folder)
+    missing.collect()
+    final = missing._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"ReusedExchange \[ins_code#\d+, day", final.split("== Initial Plan ==")[0])
+
+
 def test_record_counts_pairs_without_making_them(spark, folder):
     record = jobs.cycle_record(spark, folder)
     assert not unfolded(plan_lines(record))
